@@ -1,0 +1,11 @@
+"""Operators for text corpora. Nothing else in the library imports this package.
+
+Functions that run on executors are shipped by value, so workers do not need
+the package on their own path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
