@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import format_chats, read_loss, read_turns
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .packing import pack_documents
 from .shared import load
 
@@ -15,15 +18,80 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(probe).alias("text"),
+    )
+    chats = format_chats(rows.unionByName(more))
+    back = chats.select("conv_id", "formatted", "valid", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("segments")).alias("loss"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op4_mixing, op5_best_fit_packing, op9_exact_dedup, op10_chat_formatting)}
 
 
 SQL = {
+    "op4_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+            FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight,
+                     source_size::DOUBLE * 3.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
+        r AS (SELECT *, cap / weight AS ratio FROM w),
+        l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM r),
+        t AS (SELECT source, source_size, least(cap, max(share) OVER () * weight) AS target FROM l),
+        p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS copies FROM t),
+        b AS (SELECT *, target - (copies * source_size)::DOUBLE AS budget FROM p),
+        c AS (SELECT d.*, b.* EXCLUDE (source),
+                     sum(size) OVER (PARTITION BY d.source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after,
+                     sum(size) OVER (PARTITION BY d.source, place) AS own
+              FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+        k AS (SELECT *, least(3, copies + CASE WHEN budget > 0 AND (after <= budget OR
+                     (after - own <= budget AND after - budget < budget - (after - own))) THEN 1 ELSE 0 END)::INTEGER AS n FROM c)
+        SELECT doc_id, size, source_size, target, (size * n)::BIGINT AS taken, n AS copies FROM k""",
+    "op10_chat_formatting": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, len(regexp_extract_all(text, '\\\\|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<<TURN>>|<</TURN>>|<</ROLE>>'))
+                        AS escapes,
+                     CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 END AS marks,
+                     lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(marks + length(text) + escapes)::BIGINT AS formatted_chars,
+               bool_and(coalesce(before, 'start') || '>' || role IN
+                   ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
+        FROM e GROUP BY conv_id""",
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS len,
