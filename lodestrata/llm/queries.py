@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_loss, read_turns
 from .exact_dedup import exact_dedup
+from .media import digest_media, store_texts
 from .mixing import mix
 from .packing import pack_documents
 from .shared import load
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_media(store_texts(load(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,7 +55,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_best_fit_packing, op9_exact_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op4_mixing, op5_best_fit_packing, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
 
 
 SQL = {
