@@ -13,6 +13,7 @@ from .media import digest_media, store_texts
 from .mixing import mix
 from .packing import pack_documents
 from .shared import load
+from .warc import read_archives, write_archives
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = read_archives(write_archives(load(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_date")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -55,10 +61,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_best_fit_packing, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_warc, op4_mixing, op5_best_fit_packing, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
 
 
 SQL = {
+    "op2_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages)
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = min(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
+               nullif(min(page_id) OVER (PARTITION BY html), page_id) AS refers_to,
+               strftime(make_timestamp((946684800 + page_id % 600000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date
+        FROM p""",
     "op4_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
