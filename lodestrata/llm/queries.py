@@ -13,9 +13,14 @@ from .media import digest_media, store_texts
 from .mixing import mix
 from .packing import pack_documents
 from .shared import load
+from .simhash import near_duplicates
 from .warc import read_archives, write_archives
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_media(store_texts(load(spark, sf_dir, "documents")))
 
@@ -61,7 +66,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_mixing, op5_best_fit_packing, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_warc, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
 
 
 SQL = {
