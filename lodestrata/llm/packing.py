@@ -20,7 +20,9 @@ from .shared import table, worker_state
 #: so some thousand sequences a block keep the waste below a thousandth.
 BLOCK = 16_384
 #: Entries of a worker's cache from a word to its ids.
-CACHE = 1_200_000
+CACHE = 1_500_000
+#: Bytes of a word that stays in a full cache.
+SHORT = 9
 #: Marks that always make a token of their own behind an ASCII letter or digit.
 TAIL = b".,;:!?"
 
@@ -39,8 +41,8 @@ class _Tokens:
     texts are encoded together, with a mark between them whose id no word has.
     As the tokenizer lower-cases and cuts between letters and marks, A-Z are
     lower-cased first (but not near its special tokens) and a word with marks
-    behind it takes the ids of both parts. The cache is emptied when full, which
-    bounds memory.
+    behind it takes the ids of both parts. When the cache is full, only short
+    words, the frequent ones, stay in it (or none), which bounds memory.
     """
 
     MARK = b"\x01"
@@ -83,7 +85,9 @@ class _Tokens:
                 size += len(texts[lo])
                 lo += 1
             if len(self.cache) > CACHE:
-                self.cache.clear()
+                self.cache = {w: x for w, x in self.cache.items() if len(w) <= SHORT}
+                if len(self.cache) > CACHE // 2:
+                    self.cache = {}
             if new := set().union(*group).difference(self.cache):
                 self._learn(new)
             for words in group:
