@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_loss, read_turns
 from .exact_dedup import exact_dedup
+from .langid import fold_of, identify, learn
 from .media import digest_media, store_texts
 from .mixing import mix
 from .packing import pack_documents
@@ -29,6 +30,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    filters = learn(docs.where(~held_out).select("text", "lang"))
+    return identify(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archives(write_archives(load(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_date")
@@ -66,7 +74,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
 
 
 SQL = {
