@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .langid import fold_of, identify, learn
 from .media import digest_media, store_texts
 from .mixing import mix
+from .ngram_lm import score, train
 from .packing import pack_documents
 from .shared import load
 from .simhash import near_duplicates
@@ -42,6 +43,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_date")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    model = train(docs.where(~held_out).select("text"))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -74,7 +82,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
 
 
 SQL = {
