@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_loss, read_turns
 from .exact_dedup import exact_dedup
+from .html import extract
 from .langid import fold_of, identify, learn
 from .media import digest_media, store_texts
 from .mixing import mix
@@ -27,6 +28,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_media(store_texts(load(spark, sf_dir, "documents")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(load(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -82,7 +87,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op9_exact_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op8_html_extraction, op9_exact_dedup, op10_chat_formatting)}
 
 
 SQL = {
