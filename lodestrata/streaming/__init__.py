@@ -1,0 +1 @@
+"""Empty on purpose: every operator is a batch operator, and none needs a stream."""
