@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .case import Query
+from .evaluation import QUERIES as EVALUATION
 from .relational import QUERIES as RELATIONAL
 
-QUERIES: dict[str, Query] = {**RELATIONAL}
+QUERIES: dict[str, Query] = {**RELATIONAL, **EVALUATION}
