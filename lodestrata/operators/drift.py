@@ -60,7 +60,8 @@ def ks_statistic(df: DataFrame, column: str, sample: Column) -> DataFrame:
     gap = F.abs((F.col("ca") + F.col("bna")) / F.col("tna") - (F.col("cb") + F.col("bnb")) / F.col("tnb"))
     out = inside.join(F.broadcast(ranges), "p").agg(F.max(gap).alias("ks"), F.max("tna").alias("n_a"), F.max("tnb").alias("n_b"))
     scale = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))) * F.col("ks")
-    series = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * scale * scale) for k in range(1, 101)), F.lit(0.0))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * scale * scale))
+    series = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     return out.withColumn("p_value", F.when(F.col("ks") <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))))
 
 

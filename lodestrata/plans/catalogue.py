@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .analysis import QUERIES as ANALYSIS
 from .case import Query
 from .evaluation import QUERIES as EVALUATION
 from .relational import QUERIES as RELATIONAL
 
-QUERIES: dict[str, Query] = {**RELATIONAL, **EVALUATION}
+QUERIES: dict[str, Query] = {**RELATIONAL, **EVALUATION, **ANALYSIS}
