@@ -182,10 +182,10 @@ def minimum_cut(drop: list[float], keep: list[float], links: list[tuple[int, int
     """
     n = len(drop)
     over = [d - k for d, k in zip(drop, keep, strict=True)]
-    if not links or min(over, default=0.0) >= 0:
+    if not links:
         return [x > 0 for x in over]
-    if max(over) <= 0:
-        return [False] * n
+    if max(over) <= 0 or min(over) >= 0:
+        return [max(over) > 0] * n
     room: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in links:
         room[a][b] = room[a].get(b, 0.0) + w

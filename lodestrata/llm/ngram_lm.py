@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,8 @@ COUNT_STEP, SCORE_STEP = 1 << 21, 1 << 19
 #: Bytes of input for each bucket of n-grams, and the bounds of their number. The
 #: driver and each worker hold a file name for each bucket.
 BUCKET_BYTES, FEWEST, MOST = 16 << 20, 64, 65_536
+#: Files that a worker holds open.
+OPEN = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: White space never occurs in a word, so its hash names the end of a text.
 END = b"\n"
@@ -135,28 +138,33 @@ class Model:
 
 
 class Arrays:
-    """A worker's view of a model's files."""
+    """A worker's view of a model's files, of which it keeps the last used ones open."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.words = [_map(a, "<u8") if a else np.zeros(0, "<u8") for a, _ in model.words]
-        self.counts = [_map(b, "<u8") if b else np.zeros(0, "<u8") for _, b in model.words]
-        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.follows: dict[int, np.ndarray] = {}
+        self.open: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def file(self, path: str, kind: str) -> np.ndarray:
+        if path not in self.open:
+            self.open[path] = _map(path, kind) if path else np.zeros(0, kind)
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end(path)
+        return self.open[path]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (unknown: -1) and count of each hash."""
         m = self.model
         distinct, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
-        cuts = np.searchsorted(distinct >> np.uint64(64 - m.bits), np.arange(len(self.words) + 1, dtype=np.uint64))
+        cuts = np.searchsorted(distinct >> np.uint64(64 - m.bits), np.arange(len(m.words) + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            words, part = self.words[b], slice(cuts[b], cuts[b + 1])
+            words, part = self.file(m.words[b][0], "<u8"), slice(cuts[b], cuts[b + 1])
             if len(words):
                 at = np.minimum(np.searchsorted(words, distinct[part]), len(words) - 1)
                 known = words[at] == distinct[part]
                 ids[part] = np.where(known, at + m.first[b], -1)
-                counts[part] = np.where(known, self.counts[b][at], 0)
+                counts[part] = np.where(known, self.file(m.words[b][1], "<u8")[at], 0)
         return ids[back], counts[back]
 
     def bucket(self, context: np.ndarray, count: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -175,9 +183,7 @@ class Arrays:
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             if not self.model.pairs[b][0]:
                 continue
-            if b not in self.pairs:
-                self.pairs[b] = (_map(self.model.pairs[b][0], "<u8"), _map(self.model.pairs[b][1], "<u4"))
-            k, n = self.pairs[b]
+            k, n = (self.file(path, kind) for path, kind in zip(self.model.pairs[b], ("<u8", "<u4"), strict=True))
             mine = order[cuts[b] : cuts[b + 1]]
             i = np.minimum(np.searchsorted(k, distinct[mine]), len(k) - 1)
             out[mine] = np.where(k[i] == distinct[mine], n[i], 0)
@@ -188,11 +194,9 @@ class Arrays:
         distinct, back = np.unique(ids, return_inverse=True)
         out = np.zeros((len(distinct), 4), np.int64)
         part = distinct // self.model.width
-        for r in np.unique(part[distinct >= 0]).tolist():
-            if r not in self.follows:
-                self.follows[r] = _map(self.model.follows[r], "<u4").reshape(-1, 4)
+        for r in np.unique(part[distinct >= 0]).tolist() if self.model.texts else ():
             mine = np.flatnonzero(part == r)
-            out[mine] = self.follows[r][distinct[mine] - r * self.model.width]
+            out[mine] = self.file(self.model.follows[r], "<u4").reshape(-1, 4)[distinct[mine] - r * self.model.width]
         return out[back]
 
     def score(self, hashes: np.ndarray, sizes: np.ndarray):

@@ -9,7 +9,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,36 +237,40 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, patie
 
 
 def pack(parts: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFrame:
-    """``parts`` (with a ``length`` of at most ``capacity``) and sequence_id, offset.
-
-    Full pieces are sequences of their own. The others are dealt at random,
-    but by a hash of their place, into blocks of about ``block`` pieces; each
-    block is packed by best fit and then by swaps. ``offset`` is gapless from 0
-    within a sequence. Rows that repeat are packed as often as they occur. The
-    number of blocks follows the number of pieces, so a task's memory does not
-    grow with the corpus. ``parts`` is read twice and should be a table.
+    """``parts`` (a number ``row``, unique, and a ``length`` of at most ``capacity``) with
+    sequence_id and offset.
+
+    Full pieces are sequences of their own. The others are dealt by a hash of
+    their row into blocks of about ``block`` pieces; each block is packed by best
+    fit and then by swaps. ``offset`` is gapless from 0 within a sequence. Rows
+    that repeat have numbers of their own and are packed as often as they occur.
+    The number of blocks follows the number of pieces, so a task's memory does
+    not grow with the corpus. ``parts`` is read twice and should be a table.
     """
-    names = parts.columns
     count = parts.where(F.col("length") < capacity).count()
     blocks = max(1, -(-count // block))
-    # By place in the table, not by value: rows that repeat spread like others.
-    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["__block"].iloc[0])
-        pdf = pdf.drop(columns="__block").sort_values(names, kind="stable").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy(np.int64)
+    deal = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
+    # Ids, if they are there, stay behind and meet their places afterwards.
+    narrow = [c for c, kind in parts.dtypes if not kind.startswith("array")]
+    schema = parts.select(*narrow).schema.add("sequence_id", "long").add("offset", "long")
+
+    def run(got: pa.Table) -> pa.Table:
+        number = got["block"][0].as_py()
+        got = got.drop_columns("block").sort_by("row")
+        lengths = got["length"].to_numpy()
         bins = swap_search(best_fit(lengths, capacity), lengths, capacity)
-        sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        sequence, offset = np.zeros(len(got), np.int64), np.zeros(len(got), np.int64)
         for s, b in enumerate(bins):
             sequence[b] = (number << 32) + s
             offset[b] = np.cumsum(lengths[b]) - lengths[b]
-        return pdf.assign(sequence_id=sequence, offset=offset)
+        return got.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    rest = parts.where(F.col("length") < capacity).withColumn("__block", deal).groupBy("__block").applyInPandas(run, schema)
-    full = parts.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return full.unionByName(rest)
+    rest = parts.where(F.col("length") < capacity).select(*narrow, deal).groupBy("block").applyInArrow(run, schema)
+    full = parts.where(F.col("length") == capacity).select(*narrow, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = full.unionByName(rest)
+    if len(narrow) < len(parts.columns):
+        out = parts.join(table(out.select("row", "sequence_id", "offset")), "row")
+    return out.drop("row")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 4096, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -277,4 +280,5 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
     written to the shared folder, so each text is tokenized once. An empty table
     gives no rows, a null or empty text one piece that holds only the end id.
     """
-    return pack(table(pieces(docs, key, text, capacity, tokenizer, with_ids=with_ids)), capacity)
+    parts = pieces(docs, key, text, capacity, tokenizer, with_ids=with_ids)
+    return pack(table(parts.withColumn("row", F.monotonically_increasing_id())), capacity)
