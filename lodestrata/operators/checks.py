@@ -26,6 +26,12 @@ def require_unique(df: DataFrame, on: str | Sequence[str], what: str = "table")
     return df
 
 
+def key_profile(df: DataFrame, on: str | Sequence[str]) -> tuple[int, int]:
+    """(rows, rows of the most frequent key), in one pass."""
+    r = df.groupBy(*keys(on)).count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
+    return r["n"], r["most"]
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The named columns in this order."""
     if missing := [n for n in names if n not in df.columns]:

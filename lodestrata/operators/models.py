@@ -68,7 +68,10 @@ def build(estimator, numeric: Sequence[str], categorical: Sequence[str], target:
 
 
 def fold_scores(df: DataFrame, pipeline: Pipeline, target: str, fold: str, after: Callable[[int, float], bool] | None = None) -> list[float]:
-    """RMSLE of each fold of a model fitted on the others; ``after`` may end the loop."""
+    """RMSLE of each fold of a model fitted on the others; ``after`` may end the loop.
+
+    The rows are kept in memory or on disk meanwhile, as every fold reads them often."""
+    df = df.persist()
     out: list[float] = []
     for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
         model = pipeline.fit(df.where(F.col(fold) != k))
@@ -76,6 +79,7 @@ def fold_scores(df: DataFrame, pipeline: Pipeline, target: str, fold: str, after
         out.append(model.transform(df.where(F.col(fold) == k)).agg(F.sqrt(F.avg(e * e))).first()[0])
         if after and after(len(out), statistics.fmean(out)):
             break
+    df.unpersist()
     return out
 
 
@@ -130,6 +134,7 @@ def final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], ca
 
     With ``stop_on`` that part's rows decide when boosting stops.
     """
+    parts = {k: v.persist() for k, v in parts.items()}
     rows = parts[train]
     if stop_on:
         rows = rows.withColumn("__v", F.lit(False)).unionByName(parts[stop_on].withColumn("__v", F.lit(True)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checks import checked_join, keys, require_same_count
+from .checks import key_profile, keys
 
 # Scans
 
@@ -30,9 +30,9 @@ def load_tables(tables: dict[str, DataFrame], key: Sequence[str], drop: dict[str
                 raise ValueError(f"{c} is in {seen[c]} and in {name}")
             seen[c] = name
     if equal_rows and out:
-        first, *rest = out.values()
-        for df in rest:
-            require_same_count(first, df, "tables of one key")
+        counts = {name: df.count() for name, df in out.items()}
+        if len(set(counts.values())) > 1:
+            raise ValueError(f"tables of one key differ in rows: {counts}")
     return out
 
 
@@ -40,9 +40,18 @@ def load_tables(tables: dict[str, DataFrame], key: Sequence[str], drop: dict[str
 
 
 def chain_join(tables: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
-    """All tables side by side, one to one, without losing a row of the first."""
-    out = reduce(lambda a, b: checked_join(a, b, on, "inner", "one_to_one"), tables)
-    require_same_count(tables[0], out, "chained join")
+    """All tables side by side, one to one, without losing a row of the first.
+
+    Each table is profiled once, which gives both its uniqueness and its size."""
+    sizes = []
+    for i, df in enumerate(tables):
+        n, most = key_profile(df, on)
+        if most > 1:
+            raise ValueError(f"table {i} of a chained join: the key {keys(on)} repeats")
+        sizes.append(n)
+    out = reduce(lambda a, b: a.join(b, keys(on)), tables)
+    if (n := out.count()) != sizes[0]:
+        raise ValueError(f"chained join: {sizes[0]} rows became {n}")
     return out
 
 

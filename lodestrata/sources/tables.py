@@ -50,7 +50,7 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape=chr(34))
 
 
 def write_json(value: Any, path: str | Path) -> None:
