@@ -8,13 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import free_name, table
 
 #: Fingerprints of one index block, of one packed group within it, and children of a node.
 BLOCK, GROUP, FAN = 2_048, 64, 8
 #: The directory of blocks goes to every worker, so their number has a bound
 #: (two 64-bit patterns a block: one MB); beyond it, blocks grow.
 MOST_BLOCKS = 65_536
+#: Rows of a component that one task compares with each other.
+LOCAL = 64
 #: Shingles whose bits are counted, and pairs that are compared, at a time.
 STEP = 1 << 16
 
@@ -23,7 +25,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text: the majority, bit by bit, of its shingles' XXH64.
 
     A-Z are lower-cased; a text of fewer words has one shingle, one of none has
-    fingerprint zero.
+    fingerprint zero. Shingles count as often as they occur.
     """
     import xxhash
 
@@ -40,15 +42,40 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def shingles(words: list[bytes], n: int) -> set[bytes]:
+    """The different runs of ``n`` words; of fewer words, all of them as one."""
+    if len(words) < n:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(n)))))  # noqa: B905
+
+
+def set_fingerprints(text: bytes, shingle: int, seed: int = 42) -> list[int]:
+    """Two independent SimHashes of a text's different shingles, each counted once."""
+    import xxhash
+
+    h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles(text.lower().split(), shingle)), np.uint64)
+    again = h ^ (h >> np.uint64(31))
+    again *= np.uint64(0xBF58476D1CE4E5B9)
+    again ^= again >> np.uint64(27)
+    again *= np.uint64(0x94D049BB133111EB)
+    out = []
+    for x in (h, again ^ (again >> np.uint64(31))):
+        ones = np.zeros(64, np.int64)
+        for lo in range(0, len(x), STEP):
+            ones += np.unpackbits(x[lo : lo + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True))
+    return out
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """key and fingerprint (a signed 64-bit number) of each text; null counts as empty."""
+    """Key and fingerprint (a signed 64-bit number) of each text; null counts as empty."""
 
     def run(batches):
         for batch in batches:
             out = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], [key, "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint long")
+    return docs.select(key, text).mapInArrow(run, docs.select(key).schema.add("fingerprint", "long"))
 
 
 def gray_rank(code: Column) -> Column:
@@ -120,7 +147,7 @@ def join_up(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def links(codes: DataFrame, limit: int = 2, code: str = "fingerprint") -> DataFrame:
+def links(codes: DataFrame, limit: int = 2, code: str = "fingerprint", block: int | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct ``codes`` that
     differ in ``limit`` bits at most.
 
@@ -131,7 +158,7 @@ def links(codes: DataFrame, limit: int = 2, code: str = "fingerprint") -> DataFr
     """
     codes = codes.select(F.col(code).alias("code"))
     n = codes.count()
-    blocks = int(min(MOST_BLOCKS, max(1, -(-n // BLOCK))))
+    blocks = int(min(MOST_BLOCKS, max(1, -(-n // (block or BLOCK)))))
 
     def lay(batches):
         from pyspark import TaskContext
@@ -237,8 +264,93 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     return each.join(found, "fingerprint").select(key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose key names their component, one for each component."""
-    stay = near_duplicates(docs, key, text, limit, shingle).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__stays")).distinct()
-    kept = docs.join(table(stay), F.col(key).eqNullSafe(F.col("__stays")), "left_semi")
-    return kept.dropDuplicates([key])
+def similarity(a: set, b: set) -> float:
+    """Jaccard's measure; two empty sets are equal."""
+    common = len(a & b)
+    return common / (len(a) + len(b) - common) if a or b else 1.0
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5, limit: int = 5, words: int = 2, block: int = 8_192) -> DataFrame:
+    """``rid`` of the rows that go because a row that stays has nearly their text.
+
+    Candidates come from SimHash: two fingerprints of the different runs of
+    ``words`` words, each linked at ``limit`` bits through a Gray-ordered index of
+    its own; a row belongs with all that either one links it to.
+    Within a component the row with the smallest key stays; others go if their
+    runs of ``shingle`` words have a Jaccard similarity of ``least`` or more
+    with a row that stays, checked exactly on whole texts; of the rest again the
+    smallest stays, and so on. No two rows that stay are near copies that the
+    index links, and every row that goes has a near copy that stays.
+
+    Components of up to LOCAL rows are settled in one task each. In larger ones,
+    all rows are compared with the one that stays, in as many tasks as it takes,
+    until few are left: a group of copies costs a comparison for each, not for
+    each pair. ``rid`` is key and hash of the text (see ``row_id``).
+    """
+    rows = docs.select(row_id(key, text).alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def both(batches):
+        for batch in batches:
+            found = [set_fingerprints(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], ["rid", "key", "f0", "f1"])
+
+    each = table(rows.mapInArrow(both, rows.select("rid", "key").schema.add("f0", "long").add("f1", "long")).dropDuplicates(["rid"]))
+    for f in ("f0", "f1"):
+        labels = components(links(each.select(f).distinct(), limit, f, block)).select(F.col("node").alias(f), F.col("root").alias(f"{f}_root"))
+        each = table(each.join(labels, f, "left").withColumn(f, F.coalesce(f"{f}_root", f)).drop(f"{f}_root"))
+    # Rows that share a root on either side are joined into one component. Roots of
+    # the second side are hashed apart from the first's; a clash would only add
+    # candidates.
+    for f in ("f0", "f1"):
+        shared = table(each.groupBy(f).count().where("count > 1").select(f, F.lit(True).alias(f"{f}_shared")))
+        each = table(each.join(shared, f, "left"))
+    some = table(each.where("f0_shared or f1_shared").select("rid", "key", F.col("f0").alias("a"), F.xxhash64("f1").alias("b")))
+    labels = components(some.select("a", "b")).withColumnRenamed("node", "a")
+    left = table(some.join(labels, "a", "left").select("rid", "key", F.coalesce("root", "a").alias("root")))
+    texts = table(rows.select("rid", "text").join(left.select("rid"), "rid", "left_semi").dropDuplicates(["rid"]))
+
+    def sets(column):
+        return [shingles(x.as_buffer().to_pybytes().lower().split() if x.is_valid else [], shingle) for x in column.cast(pa.binary())]
+
+    def settle(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("rid", "ascending")]).combine_chunks()
+        stay, gone = [], []
+        for rid, own in zip(group["rid"].to_pylist(), sets(group["text"]), strict=True):
+            if any(similarity(own, other) >= least for other in stay):
+                gone.append(rid)
+            else:
+                stay.append(own)
+        return pa.table({"rid": pa.array(gone, pa.string())})
+
+    def compare(batches):
+        for batch in batches:
+            near = [similarity(a, b) >= least for a, b in zip(sets(batch.column("text")), sets(batch.column("other")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("key"), batch.column("root"), pa.array(near, pa.bool_())], ["rid", "key", "root", "near"])
+
+    gone = None
+    while not left.isEmpty():
+        sizes = table(left.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("rid"))).alias("first")).select("root", "n", F.col("first.rid").alias("first")))
+        sized = table(left.join(sizes, "root"))
+        found = table(sized.where(F.col("n") <= LOCAL).join(texts, "rid").select("root", "key", "rid", "text").groupBy("root").applyInArrow(settle, "rid string"))
+        gone = found if gone is None else gone.unionByName(found)
+        pairs = sized.where((F.col("n") > LOCAL) & (F.col("rid") != F.col("first"))).join(texts, "rid")
+        other = texts.select(F.col("rid").alias("first"), F.col("text").alias("other"))
+        compared = table(pairs.join(other, "first").select("rid", "key", "root", "text", "other").mapInArrow(compare, left.select("rid", "key", "root").schema.add("near", "boolean")))
+        gone = gone.unionByName(compared.where("near").select("rid"))
+        left = compared.where("not near").drop("near")
+    return some.select("rid").limit(0) if gone is None else gone
+
+
+def row_id(key: str, text: str) -> Column:
+    """A row's key and the hash of its text: the same for repeated rows only."""
+    return F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay by ``near_copies``, repeated rows once, with all columns."""
+    rid = free_name(docs, "__rid")
+    gone = table(near_copies(docs, key, text, least).select(F.col("rid").alias(rid)))
+    kept = docs.withColumn(rid, row_id(key, text)).join(gone, rid, "left_anti")
+    if not docs.select(row_id(key, text).alias(rid)).groupBy(rid).count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([rid])
+    return kept.select(docs.columns)
