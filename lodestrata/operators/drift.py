@@ -66,13 +66,18 @@ def ks_statistic(df: DataFrame, column: str, sample: Column) -> DataFrame:
 
 
 def drift_table(reference: DataFrame, other: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Per column: stability index and its band, KS statistic and p-value, both means."""
+    """Per column: stability index and its band, KS statistic and p-value, both means.
+
+    The columns of both samples are kept while each is sorted and counted."""
+    reference, other = reference.select(*columns).persist(), other.select(*columns).persist()
     out = []
     for c in columns:
         both = reference.select(c, F.lit(True).alias("__a")).unionByName(other.select(c, F.lit(False).alias("__a")))
         k = ks_statistic(both, c, F.col("__a")).first()
         m = both.agg(F.avg(F.when(F.col("__a"), F.col(c))).alias("a"), F.avg(F.when(~F.col("__a"), F.col(c))).alias("b")).first()
         out.append((c, psi(reference, other, c, bins), k["ks"], k["p_value"], m["a"], m["b"]))
+    reference.unpersist()
+    other.unpersist()
     df = reference.sparkSession.createDataFrame(out, "feature string, psi double, ks double, ks_p double, mean_a double, mean_b double")
     return df.withColumn("band", band(F.col("psi")))
 

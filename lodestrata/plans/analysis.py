@@ -132,8 +132,9 @@ def psi_sql(c: str) -> str:
 
 @QUERIES.add(with_("model") + " " + " UNION ALL ".join(psi_sql(c) for c in ("quantity", "value", "balance")))
 def q11_psi(spark, d):
-    m = model_table(spark, d)
+    m = model_table(spark, d).where("split in ('train', 'test')").select("split", "quantity", "value", "balance").persist()
     rows = [(c, drift.psi(m.where("split = 'train'"), m.where("split = 'test'"), c)) for c in ("quantity", "value", "balance")]
+    m.unpersist()
     return rounded(spark.createDataFrame(rows, "feature string, psi double"))
 
 
