@@ -12,6 +12,8 @@ from .shared import free_name, table
 
 #: Fingerprints of one index block, of one packed group within it, and children of a node.
 BLOCK, GROUP, FAN = 2_048, 64, 8
+#: Neighbouring codes that are compared one by one where their common pattern fits.
+LEAF = 16
 #: The directory of blocks goes to every worker, so their number has a bound
 #: (two 64-bit patterns a block: one MB); beyond it, blocks grow.
 MOST_BLOCKS = 65_536
@@ -135,6 +137,21 @@ class GrayIndex:
             yield query, node
 
 
+def close_pairs(codes: np.ndarray, queries: np.ndarray, limit: int):
+    """(query, code) numbers, in parts, that differ in ``limit`` bits at most; ``codes`` are in
+    Gray order. The hierarchy stands over groups of LEAF neighbours; groups that it
+    cannot rule out are compared code by code."""
+    at = np.arange(0, len(codes), LEAF)
+    index = GrayIndex(np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at))
+    rows = np.pad(codes, (0, -len(codes) % LEAF), "edge").view(np.uint64).reshape(-1, LEAF)
+    wanted = queries.view(np.uint64)
+    for query, group in index.pairs(queries, np.full(len(queries), -1, np.int64), limit):
+        for lo in range(0, len(query), STEP):
+            q, g = query[lo : lo + STEP], group[lo : lo + STEP]
+            i, j = np.nonzero(np.bitwise_count(rows[g] ^ wanted[q, None]) <= limit)
+            yield q[i], np.minimum(g[i] * LEAF + j, len(codes) - 1)
+
+
 def join_up(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Union of a[i] and b[i] for all i, in place; each root is its tree's smallest."""
     while len(a):
@@ -201,8 +218,7 @@ def links(codes: DataFrame, limit: int = 2, code: str = "fingerprint", block: in
         mine = mine[np.argsort(rank, kind="stable")]
         every = np.concatenate([mine, guests])
         parent = np.arange(len(every))
-        index = GrayIndex(mine, mine)
-        for query, node in index.pairs(every, np.full(len(every), -1, np.int64), limit):
+        for query, node in close_pairs(mine, every, limit):
             apart = query != node
             join_up(parent, query[apart], node[apart])
         while (parent[parent] != parent).any():

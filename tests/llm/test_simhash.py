@@ -45,14 +45,19 @@ def test_links_give_the_components_of_all_close_pairs(spark, monkeypatch, block)
     assert 60 <= len(mine) < len(codes) / 3
 
 
-def test_index_finds_every_close_pair():
-    words = np.array(clustered(2, 20, 20), np.uint64).view(np.int64)
-    index = simhash.GrayIndex(words, words)
+@pytest.mark.parametrize("limit", [0, 2, 5])
+def test_index_finds_every_close_pair(limit):
+    words = np.array(clustered(2, 40, 20), np.uint64)
+    rank = words.copy()
+    for step in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(step)
+    words = words[np.argsort(rank)].view(np.int64)
     found = set()
-    for q, n in index.pairs(words, np.full(len(words), -1, np.int64), 2):
+    for q, n in simhash.close_pairs(words, words, limit):
         found |= set(zip(q.tolist(), n.tolist()))
-    want = {(i, j) for i in range(len(words)) for j in range(len(words)) if (int(words[i] ^ words[j]) & (2**64 - 1)).bit_count() <= 2}
-    assert found == want
+    unsigned = words.view(np.uint64).tolist()
+    want = {(i, j) for i, a in enumerate(unsigned) for j, b in enumerate(unsigned) if (a ^ b).bit_count() <= limit}
+    assert found == want and len(want) >= len(words)
 
 
 def test_fingerprint_is_the_majority_of_shingle_bits():
