@@ -18,7 +18,7 @@ LEAF = 16
 #: (two 64-bit patterns a block: one MB); beyond it, blocks grow.
 MOST_BLOCKS = 65_536
 #: Rows of a component that one task compares with each other.
-LOCAL = 64
+LOCAL = 512
 #: Shingles whose bits are counted, and pairs that are compared, at a time.
 STEP = 1 << 16
 
@@ -286,7 +286,7 @@ def similarity(a: set, b: set) -> float:
     return common / (len(a) + len(b) - common) if a or b else 1.0
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5, limit: int = 5, words: int = 2, block: int = 8_192) -> DataFrame:
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5, limit: int = 3, words: int = 2, block: int = 2_048) -> DataFrame:
     """``rid`` of the rows that go because a row that stays has nearly their text.
 
     Candidates come from SimHash: two fingerprints of the different runs of
