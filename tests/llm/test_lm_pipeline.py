@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 
 import corpus_pipeline
-from lodestrata.llm import ngram_lm, packing, queries, simhash
+from lodestrata.llm import ngram_lm, packing, queries
 from lodestrata.llm.shared import load, table
 
 SF = "/root/testdata/sf0.001"
@@ -93,6 +94,13 @@ def test_frequent_contexts_are_spread(spark):
         assert r["score"] == pytest.approx(sum(math.log10(plain.p(a, b)) for a, b in zip([None, *w], w)))
 
 
+def simhash(t):
+    w = (t or "").encode().lower().split()
+    s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
 def test_pipeline_stages(spark):
     """Every stage but the mix and the packing against plain Python; those by their invariants."""
     docs = load(spark, SF, "documents")
@@ -110,16 +118,21 @@ def test_pipeline_stages(spark):
     for k in ids[1]:
         groups["".join(text[k].split())].append(k)
     assert set(ids[2]) == {min(g, key=lambda k: (-len(text[k]), k)) for g in groups.values()}
-    sets = {k: simhash.shingles(text[k].encode().lower().split(), 5) for k in ids[2]}
-    codes = {k: [c & (2**64 - 1) for c in simhash.set_fingerprints(text[k].encode(), 2)] for k in ids[2]}
-    alike = lambda a, b: simhash.similarity(sets[a], sets[b]) >= 0.8
-    stay = sorted(ids[3])
-    assert set(ids[3]) <= set(ids[2]) and set(ids[3].values()) == {1}
-    for k in set(ids[2]) - set(stay):
-        assert any(alike(k, other) for other in stay)
-    for i, a in enumerate(stay):
-        for b in stay[:i]:
-            assert not (any((x ^ y).bit_count() <= 3 for x, y in zip(codes[a], codes[b])) and alike(a, b))
+    fps = {k: simhash(text[k]) for k in ids[2]}
+    parent = {k: k for k in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    names = sorted(fps)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert set(ids[3]) == {find(k) for k in names} and set(ids[3].values()) == {1}
     assert set(ids[4]) <= set(ids[3]) and max(ids[4].values()) <= 3
     packed = corpus_pipeline.STAGES[-1][1](spark, seen[-1], SF).collect()
     tok = packing._tokens(packing.default_tokenizer())
