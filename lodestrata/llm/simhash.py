@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import free_name, table
 
 #: Fingerprints of one index block, of one packed group within it, and children of a node.
 BLOCK, GROUP, FAN = 2_048, 64, 8
@@ -237,8 +237,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     return each.join(found, "fingerprint").select(key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_id(key: str, text: str) -> Column:
+    """A row's key and the hash of its text: the same for repeated rows only."""
+    return F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull().cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose key names their component, one for each component."""
-    stay = near_duplicates(docs, key, text, limit, shingle).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__stays")).distinct()
-    kept = docs.join(table(stay), F.col(key).eqNullSafe(F.col("__stays")), "left_semi")
-    return kept.dropDuplicates([key])
+    """One row of ``docs`` for each component: the one with the smallest key (nulls last).
+
+    Rows are told apart by key and text, so that null keys and keys that repeat
+    with other texts cost no document."""
+    rid = free_name(docs, "__rid")
+    rows = table(docs.select(row_id(key, text).alias("rid"), F.col(key).alias("key"), F.col(text).alias("text")).transform(lambda d: _with_fingerprints(d, shingle)))
+    labels = components(links(rows.select("fingerprint").distinct(), limit)).withColumnRenamed("node", "fingerprint")
+    named = table(rows.join(labels, "fingerprint", "left").select("rid", "key", F.coalesce("root", "fingerprint").alias("root")))
+    return _survivors(docs, named, rid, key, text)
+
+
+def _with_fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """rid, key and fingerprint of rows of rid, key and text."""
+
+    def run(batches):
+        for batch in batches:
+            out = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.int64())], ["rid", "key", "fingerprint"])
+
+    return rows.mapInArrow(run, rows.select("rid", "key").schema.add("fingerprint", "long"))
+
+
+def _survivors(docs: DataFrame, named: DataFrame, rid: str, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose (key, rid) is the least of its root in ``named``."""
+    known = named.where("key is not null").groupBy("root").agg(F.min("key").alias("least"))
+    first = named.join(table(known), "root", "left").where(F.col("key").eqNullSafe(F.col("least")))
+    stay = table(first.groupBy("root").agg(F.min("rid").alias(rid), F.count(F.lit(1)).alias("n")))
+    kept = docs.withColumn(rid, row_id(key, text)).join(stay.select(rid), rid, "left_semi")
+    # Only where a row that stays may be repeated are whole rows exchanged again.
+    if not stay.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([rid])
+    return kept.select(docs.columns)

@@ -86,3 +86,9 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.drop_near_duplicates(df).count() == 0
+
+
+def test_null_and_repeated_keys_keep_their_unlinked_texts(spark):
+    rows = [(None, "one text about rivers and hills"), (None, "another on ships at sea today"), (None, "another on ships at sea today"), (None, "some words that an id shares"), (4, "first of the repeated ids here"), (4, "second text wholly unlike that one"), (2, "some words that an id shares")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[5], rows[6]]))
