@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .shared import free_name, table
 
@@ -17,6 +18,10 @@ BLOCK, GROUP, FAN = 2_048, 64, 8
 MOST_BLOCKS = 65_536
 #: Shingles whose bits are counted, and pairs that are compared, at a time.
 STEP = 1 << 16
+#: Bands of a text's shingle sketch and orders in each: texts with a Jaccard
+#: similarity of 0.8 share one with a probability of 1 - (1 - 0.8^5)^24 = 0.99993.
+BANDS, ROWS = 24, 5
+ORDERS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -242,6 +247,92 @@ def row_id(key: str, text: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull().cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def shingles(text: bytes, n: int = 5) -> set[bytes]:
+    """The different runs of ``n`` words of a text, A-Z lower-cased; of fewer words, all as one."""
+    words = text.lower().split()
+    if len(words) < n:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(n)))))  # noqa: B905
+
+
+def similarity(a: set, b: set) -> float:
+    """Jaccard's measure; two empty sets are equal."""
+    common = len(a & b)
+    return common / (len(a) + len(b) - common) if a or b else 1.0
+
+
+def sketch(text: bytes, n: int = 5) -> np.ndarray:
+    """BANDS hashes of the least values of ROWS independent orders of a text's ``n``-word
+    shingles: two texts share each with the probability of their Jaccard
+    similarity to the power ROWS. None for a text of no words."""
+    import xxhash
+
+    found = shingles(text, n)
+    h = np.fromiter((xxhash.xxh64_intdigest(x, 7) for x in found), np.uint64, len(found))
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(ORDERS), 2**64 - 1, np.uint64)
+    for lo in range(0, len(h), 1_024):
+        for k in range(0, len(ORDERS), 30):
+            np.minimum(least[k : k + 30], (ORDERS[k : k + 30, None] * h[lo : lo + 1_024]).min(axis=1), out=least[k : k + 30])
+    least = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least)], np.uint64).view(np.int64)
+
+
+def near_copies(rows: DataFrame, texts: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Edges (n, m) whose components are those of the near copies among ``rows``: their sets of
+    ``shingle``-word runs have a Jaccard similarity of ``least`` or more, confirmed
+    on whole texts.
+
+    ``rows`` (n, rid, bands) are documents, ``texts`` (rid, text) their texts. Documents
+    that share a band are candidates. First, all of a band's are compared with
+    one of them, another one in each band, so that a large group of copies costs a comparison for each; then,
+    within the bands that still hold several components, all pairs of
+    different components are.
+    """
+    each = rows.select("n", F.explode("bands").alias("band"))
+    many = each.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("n").bitwiseXOR(F.col("band"))).bitwiseXOR(F.col("band")).alias("m")).where("size > 1")
+    each = table(each.join(table(many.select("band", "m")), "band"))
+    names = rows.select("n", "rid")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (n, m) that are near copies, as (a, b)."""
+        pairs = table(pairs.distinct())
+        used = table(pairs.select("n").unionByName(pairs.select(F.col("m").alias("n"))).distinct().join(names, "n"))
+        own = table(texts.join(used, "rid").select("n", "text").dropDuplicates(["n"]))
+        other = own.select(F.col("n").alias("m"), F.col("text").alias("other"))
+        joined = pairs.join(own, "n").join(other, "m")
+
+        def compare(batches):
+            seen: dict[int, set] = {}
+            held = 0
+
+            def of(n, x):
+                nonlocal held
+                if n not in seen:
+                    if held > STEP:
+                        seen.clear()
+                        held = 0
+                    seen[n] = shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
+                    held += len(seen[n])
+                return seen[n]
+
+            for batch in batches:
+                n, m, text, other = (batch.column(c) for c in range(4))
+                near = [similarity(of(i, x), of(j, y)) >= least for i, j, x, y in zip(n.to_pylist(), m.to_pylist(), text.cast(pa.binary()), other.cast(pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+        return table(joined.select("n", "m", "text", "other").mapInArrow(compare, "a long, b long"))
+
+    stars = verified(each.where("n != m").select("n", "m"))
+    joint = components(stars).withColumnRenamed("node", "n")
+    each = table(each.join(joint, "n", "left").select("n", "band", F.coalesce("root", "n").alias("root")))
+    mixed = table(each.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band"))
+    rest = table(each.join(mixed, "band"))
+    over = rest.select("band", F.col("n").alias("m"), F.col("root").alias("other"))
+    return stars.unionByName(verified(rest.join(over, "band").where("n < m and root != other").select("n", "m")))
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2, shingle: int = 3) -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest key (nulls last).
 
@@ -265,6 +356,26 @@ def _with_fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, rows.select("rid", "key").schema.add("fingerprint", "long"))
 
 
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, words: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component of near copies: the one with the smallest key
+    (nulls last).
+
+    Documents are linked when their runs of ``words`` words have a Jaccard similarity
+    of ``least`` or more (see ``near_copies``); texts without words never are."""
+    rid = free_name(docs, "__rid")
+    texts = docs.select(row_id(key, text).alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            bands = [sketch(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bands, pa.list_(pa.int64()))], ["rid", "key", "bands"])
+
+    rows = table(texts.mapInArrow(run, texts.select("rid", "key").schema.add("bands", ArrayType(LongType()))).withColumn("n", F.monotonically_increasing_id()))
+    joint = components(near_copies(rows, texts.select("rid", "text"), least, words))
+    named = table(rows.select("rid", "key", F.col("n").alias("node")).join(joint, "node", "left").select("rid", "key", F.coalesce("root", "node").alias("root")))
+    return _survivors(docs, named, rid, key, text)
+
+
 def _survivors(docs: DataFrame, named: DataFrame, rid: str, key: str, text: str) -> DataFrame:
     """The rows of ``docs`` whose (key, rid) is the least of its root in ``named``."""
     known = named.where("key is not null").groupBy("root").agg(F.min("key").alias("least"))

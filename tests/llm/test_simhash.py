@@ -92,3 +92,29 @@ def test_null_and_repeated_keys_keep_their_unlinked_texts(spark):
     rows = [(None, "one text about rivers and hills"), (None, "another on ships at sea today"), (None, "another on ships at sea today"), (None, "some words that an id shares"), (4, "first of the repeated ids here"), (4, "second text wholly unlike that one"), (2, "some words that an id shares")]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[5], rows[6]]))
+
+
+def test_near_copies_beyond_the_fingerprint_limit_are_dropped(spark):
+    """Against all pairs: groups of near copies, and unlike texts that share a passage."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 5_000, n)]
+    texts, passage = [], word(60)
+    for size in (40, 2, 2, 3):
+        base = word(120)
+        for _ in range(size):
+            copy = list(base)
+            copy[int(rng.integers(len(copy)))] = "changed"
+            texts.append(" ".join(copy))
+    texts += [" ".join(passage + word(40)) for _ in range(30)]
+    sets = [simhash.shingles(t.encode()) for t in texts]
+    codes = [simhash.fingerprint(t.encode()) & (2**64 - 1) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if simhash.similarity(sets[i], sets[j]) >= 0.8}
+    assert any((codes[i] ^ codes[j]).bit_count() > 2 for i, j in near)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(df).collect()}
+    assert kept == set(root)
+    assert len(kept) == 34
