@@ -174,15 +174,25 @@ def fold_of(key: Column, folds: int) -> Column:
 
 
 def keep_identified(docs: DataFrame, filters: Filters, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least the score ``least``."""
+    """The rows of ``docs`` whose language is known with a score above ``least``: a text of
+    which no language has a gram goes.
+
+    Filters that hold no gram, as no row has a label or all labelled texts are too
+    few, can tell no languages apart; then every text with a letter stays."""
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = names.index(text)
+    blank = not filters.bits.any()
+
+    def keeps(f: Filters, x: str | None) -> bool:
+        if blank:
+            return x is not None and has_letter(x)
+        lang, score = f.predict(x)
+        return lang != UNKNOWN and score > least
 
     def run(batches):
         f = shared.value
         for batch in batches:
-            found = [f.predict(x.as_py()) for x in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([keeps(f, x.as_py()) for x in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

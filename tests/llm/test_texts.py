@@ -191,3 +191,16 @@ def test_language_filters_hold_many_languages_and_correct_false_hits():
 def test_no_labels_no_language(spark):
     f = langid.learn(spark.createDataFrame([], "text string, lang string"))
     assert f.predict("words") == ("und", 0.0)
+
+
+def test_identified_texts_have_a_gram_of_some_language(spark):
+    rows = [("the river and the other rivers", "en")] * 5 + [("der fluss und die anderen wege", "de")] * 5
+    f = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    asked = spark.createDataFrame([("the other river",), ("zzqx kkwv qqqq",), ("12 !!",), (None,)], "text string")
+    assert [r["text"] for r in langid.keep_identified(asked, f).collect()] == ["the other river"]
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_without_labels_or_learned_grams_texts_with_letters_stay(spark, lang):
+    df = spark.createDataFrame([("some words", lang), ("12 !!", None), (None, None), ("", None)], "text string, lang string")
+    assert [r["text"] for r in langid.keep_identified(df, langid.learn(df)).collect()] == ["some words"]
