@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 
 # Fixed values of the markup language: what holds no running text, what starts
 # and ends a block, what has no end tag.
-RAW = "script|style|title|textarea|noscript|template|iframe|svg|select|button|object|canvas|audio|video|math|xmp|noframes"
+RAW = "script|style|title|textarea|iframe|xmp|noframes"
+#: Elements left out with all that is in them, if their end tag is there.
+SKIPPED = frozenset("template svg select button canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -38,7 +40,7 @@ FOR = frozenset({"article", "main"})
 WORDS_FOR = frozenset("article post entry story content main text body".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)(?:.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -73,6 +75,35 @@ def _hints(tag: str, rest: str) -> tuple[bool, bool, bool]:
     return against and tag not in ("body", "html", "main"), tag in FOR, named and tag != "body"
 
 
+def _tokens(page: str) -> list[tuple[int, int, str, bool, str | None]]:
+    """(start, end, name, whether it ends, attributes) of tags; the name is empty for what is
+    passed over: comments, raw text, and skipped elements from start to end tag."""
+    out: list[tuple[int, int, str, bool, str | None]] = []
+    # Where skipped elements without an end tag so far started, by name.
+    open_: dict[str, list[int]] = {x: [] for x in SKIPPED}
+    skips: dict[int, int] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m[1] and open_["svg"] and m[2].endswith("/>"):
+            # A foreign element: closed.
+            at = m.end(2)
+        tag = "" if m[4] is None else m[4].lower()
+        if tag in SKIPPED:
+            if m[3]:
+                if open_[tag]:
+                    skips[open_[tag].pop()] = len(out)
+            elif not (tag == "svg" and (m[5] or "").endswith("/>")):
+                open_[tag].append(len(out))
+        out.append((m.start(), at, tag, bool(m[3]), m[5]))
+    kept, i = [], 0
+    while i < len(out):
+        end = skips.get(i, i)
+        kept.append(out[i] if end == i else (out[i][0], out[end][1], "", False, None))
+        i = end + 1
+    return kept
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; tags that are missing are implied."""
     out: list[Block] = []
@@ -102,22 +133,18 @@ def blocks(page: str) -> list[Block]:
             if anchor:
                 linked += len(text)
 
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
-        if tag is None:
-            take(m.start())
-            at = m.end()
+    for start, end, tag, ends_it, rest in _tokens(page):
+        take(start)
+        at = end
+        if not tag:
             continue
-        take(m.start())
-        at = m.end()
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            anchor = not m[2]
+            anchor = not ends_it
         elif tag in BLOCKS:
             flush()
-            if m[2]:
+            if ends_it:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -135,7 +162,7 @@ def blocks(page: str) -> list[Block]:
                         break
             if tag not in VOID:
                 number += 1
-                against, section, named = _hints(tag, m[4] or "")
+                against, section, named = _hints(tag, rest or "")
                 top = stack[-1]
                 stack.append((tag, number, against or top[2], section or top[3], named or top[4]))
     take(len(page))

@@ -175,3 +175,14 @@ def test_chat_order_nulls_and_automaton(spark):
     assert got[1]["formatted"] == "[INST]a[/INST]<s>b</s>" and len(got[4]["segments"]) == 6
     assert [s["text"] for s in got[1]["segments"] if s["loss"]] == ["b"]
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<svg class=i/>", "<svg><style/><path/></svg>", "<video-player></video-player>", "<button-x>", "<object-y>", "<button>", "<svg>a <svg>b</svg> c</svg>", "<video>old browser</video>", "<script>a</scripty> b</script >"])
+def test_text_after_odd_elements_stays(odd):
+    words = "some plain words of an article that goes on for a while"
+    assert html.main_text(f"<article><p>{words}</p>{odd}<p>{words}</p></article>").split("\n") == [words, words]
+
+
+@pytest.mark.parametrize("name", ["math", "object", "noscript"])
+def test_text_that_shows_in_its_place_stays(name):
+    assert html.main_text(f"<article><p>as we see, <{name}>x is two</{name}> and so it is for all of the others</p></article>") == "as we see, x is two and so it is for all of the others"
