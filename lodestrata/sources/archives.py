@@ -42,6 +42,7 @@ def archive_summary(entries: DataFrame, season: Column) -> DataFrame:
     return entries.groupBy(season.alias("season")).agg(F.count(F.lit(1)).alias("n"), F.min("modified").alias("first"), F.max("modified").alias("last"))
 
 
-def extracted(page: Column, pattern: str, chars: int = HEAD) -> Column:
-    """The first group of a pattern in a page's head; null where it does not match."""
-    return F.nullif(F.regexp_extract(F.substring(page, 1, chars), pattern, 1), F.lit(""))
+def extracted(page: Column, pattern: str, chars: int | None = None) -> Column:
+    """The first group of a pattern in a page, or in its first ``chars`` characters; null
+    where it does not match."""
+    return F.nullif(F.regexp_extract(page if chars is None else F.substring(page, 1, chars), pattern, 1), F.lit(""))

@@ -216,3 +216,9 @@ def test_files(spark, tmp_path):
     entries = archives.zip_entries(spark, str(tmp_path / "z.zip"))
     assert values(entries, "name", "canonical") == [("s1/a.html", "http://a/1"), ("s1/b.html", None)]
     assert values(archives.archive_summary(entries, F.substring_index("name", "/", 1)), "season", "n") == [("s1", 2)]
+
+
+def test_titles_behind_long_scripts_are_found(spark):
+    df = spark.createDataFrame([("x" * 250_000 + "<title>late</title>",), ("<title>soon</title>",), (None,)], "html string")
+    title = archives.extracted(F.col("html"), "<title>([^<]*)</title>")
+    assert [r[0] for r in df.select(title).collect()] == ["late", "soon", None]
