@@ -93,31 +93,42 @@ def variance_explained(df: DataFrame, prediction, target: str) -> float:
     return float("nan") if not r["v"] else 1 - r["e"] / r["v"]
 
 
-def ridge_cv(train: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] | None = None, folds: int = 5, fold: str | None = None) -> tuple[Linear, float]:
-    """Ridge with the penalty of least validation error over ``folds`` parts by a hash of
-    the row, or by the column ``fold``. Moments of each part are summed once; no
-    penalty costs another pass over the rows."""
-    alphas = list(np.logspace(-2, 4, 25)) if alphas is None else list(alphas)
-    part = F.col(fold) if fold else F.pmod(F.xxhash64(*features, target), F.lit(folds))
+def fold_moments(train: DataFrame, columns: Sequence[str], folds: int = 5, fold: str | None = None) -> tuple[Moments, list[Moments]]:
+    """Moments of all rows and of each of ``folds`` parts by a hash of the row, or by the
+    column ``fold``."""
+    part = F.col(fold) if fold else F.pmod(F.xxhash64(*columns), F.lit(folds))
     whole = train.withColumn("__f", part)
-    every = moments(whole, [*features, target])
-    parts = [moments(whole.where(F.col("__f") == f), [*features, target]) for f in range(folds)]
+    return moments(whole, columns), [moments(whole.where(F.col("__f") == f), columns) for f in range(folds)]
+
+
+def ridge_search(every: Moments, parts: Sequence[Moments], features: Sequence[str], target: str, alphas: Sequence[float] | None = None) -> tuple[Linear, float]:
+    """Ridge with the penalty of least validation error over the parts; no rows are read."""
+    alphas = list(np.logspace(-2, 4, 25)) if alphas is None else list(alphas)
+    columns = [*features, target]
+    whole_mean, whole_cross = every.part(columns)
     best = (np.inf, alphas[0])
     for alpha in alphas:
         error = 0.0
         for held in parts:
             if not held.n or held.n == every.n:
                 continue
-            n = every.n - held.n
-            mean = (every.mean * every.n - held.mean * held.n) / n
-            raw = every.cross + every.n * np.outer(every.mean, every.mean) - held.cross - held.n * np.outer(held.mean, held.mean)
-            model = least_squares(Moments(every.columns, n, mean, raw - n * np.outer(mean, mean)), features, target, alpha)
+            n, (held_mean, held_cross) = every.n - held.n, held.part(columns)
+            mean = (whole_mean * every.n - held_mean * held.n) / n
+            raw = whole_cross + every.n * np.outer(whole_mean, whole_mean) - held_cross - held.n * np.outer(held_mean, held_mean)
+            model = least_squares(Moments(columns, n, mean, raw - n * np.outer(mean, mean)), features, target, alpha)
             w = np.append(-model.coefficients, 1.0)
-            error += w @ held.cross @ w + held.n * (w @ held.mean - model.intercept) ** 2
+            error += w @ held_cross @ w + held.n * (w @ held_mean - model.intercept) ** 2
         best = min(best, (error, alpha))
     return least_squares(every, features, target, best[1]), best[1]
 
 
+def ridge_cv(train: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] | None = None, folds: int = 5, fold: str | None = None) -> tuple[Linear, float]:
+    """Ridge with the penalty of least validation error over ``folds`` parts by a hash of
+    the row, or by the column ``fold``. Moments of each part are summed once; no
+    penalty costs another pass over the rows."""
+    return ridge_search(*fold_moments(train, [*features, target], folds, fold), features, target, alphas)
+
+
 def polynomial(df: DataFrame, x: str, y: str, degree: int) -> list[float]:
     """Coefficients, constant first, of a polynomial of degree 1 or 2: one aggregation of
     moments around the mean of x, then a small solve."""

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .aggregates import correlations, with_target
-from .linear import Moments, least_squares, moments, r_squared
+from .linear import fold_moments, r_squared, ridge_search
 
 
 def matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -78,10 +78,11 @@ def spectrum(r: np.ndarray) -> dict[str, float]:
     return {"for_80": int((share < 0.8).sum()) + 1, "for_90": int((share < 0.9).sum()) + 1, "participation": float(w.sum() ** 2 / (w**2).sum())}
 
 
-def filter_cost(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.95, ridge: float = 1.0) -> DataFrame:
+def filter_cost(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.95, alphas: Sequence[float] | None = None) -> DataFrame:
     """R2 of a ridge on ``test`` with all features, with those that the greedy filter
-    leaves and with those that the target-aware one does. One set of moments."""
-    m: Moments = moments(train, [*columns, target])
+    leaves and with those that the target-aware one does. The penalty of each is searched
+    over ``alphas`` by validation; moments of all rows and of the folds serve all."""
+    m, parts = fold_moments(train, [*columns, target])
     r = m.correlation()[:-1, :-1]
     known = {x["feature"]: x["r"] or 0.0 for x in with_target(train, columns, target).collect()}
     sets = {
@@ -92,18 +93,19 @@ def filter_cost(train: DataFrame, test: DataFrame, columns: Sequence[str], targe
     out = []
     for name, stays in sets.items():
         used = [c for c, s in zip(columns, stays, strict=True) if s]
-        model = least_squares(m, used, target, ridge)
+        model, _ = ridge_search(m, parts, used, target, alphas)
         out.append((name, len(used), r_squared(test, model.column(), target)))
     return train.sparkSession.createDataFrame(out, "variant string, n_features int, r2 double")
 
 
-def incremental(train: DataFrame, test: DataFrame, steps: Sequence[tuple[str, Sequence[str]]], target: str, ridge: float = 1.0) -> DataFrame:
-    """R2 on ``test`` of a ridge on growing blocks of features, from one set of moments."""
+def incremental(train: DataFrame, test: DataFrame, steps: Sequence[tuple[str, Sequence[str]]], target: str, alphas: Sequence[float] | None = None) -> DataFrame:
+    """R2 on ``test`` of a ridge on growing blocks of features, its penalty searched for each as
+    in ``filter_cost``."""
     every = list(dict.fromkeys(c for _, cols in steps for c in cols))
-    m = moments(train, [*every, target])
+    m, parts = fold_moments(train, [*every, target])
     out, used = [], []
     for name, cols in steps:
         used = list(dict.fromkeys([*used, *cols]))
-        model = least_squares(m, used, target, ridge)
+        model, _ = ridge_search(m, parts, used, target, alphas)
         out.append((name, len(used), r_squared(test, model.column(), target)))
     return train.sparkSession.createDataFrame(out, "block string, n_features int, r2 double")

@@ -222,3 +222,16 @@ def test_titles_behind_long_scripts_are_found(spark):
     df = spark.createDataFrame([("x" * 250_000 + "<title>late</title>",), ("<title>soon</title>",), (None,)], "html string")
     title = archives.extracted(F.col("html"), "<title>([^<]*)</title>")
     assert [r[0] for r in df.select(title).collect()] == ["late", "soon", None]
+
+
+def test_filter_cost_and_incremental_search_the_penalty(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))
+    y = 0.2 * x[:, 0] + rng.normal(size=60)
+    df = spark.createDataFrame([tuple(map(float, (*r, v))) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    model, alpha = linear.ridge_cv(df, ["a", "b", "c"], "y")
+    want, fixed = (linear.r_squared(df, m.column(), "y") for m in (model, linear.least_squares(linear.moments(df, ["a", "b", "c", "y"]), ["a", "b", "c"], "y", 1.0)))
+    assert alpha != 1 and want != pytest.approx(fixed, abs=1e-7)
+    got = {r["variant"]: r["r2"] for r in redundancy.filter_cost(df, df, ["a", "b", "c"], "y").collect()}
+    assert got["all"] == pytest.approx(want, abs=1e-9)
+    assert redundancy.incremental(df, df, [("ab", ["a", "b"]), ("c", ["c"])], "y").collect()[1]["r2"] == pytest.approx(want, abs=1e-9)
