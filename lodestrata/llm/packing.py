@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, worker_state
+from .shared import enter, table
 
 #: Pieces of one packing task. A block wastes less than one sequence on average,
 #: so some thousand sequences a block keep the waste below a thousandth.
 BLOCK = 16_384
-#: Entries of a worker's cache from a word to its ids.
-CACHE = 1_500_000
+#: Bytes of a worker's cache from a word to its ids, and of an entry besides both.
+CACHE, ENTRY = 160 << 20, 160
 #: Bytes of a word that stays in a full cache.
 SHORT = 9
 #: Marks that always make a token of their own behind an ASCII letter or digit.
@@ -50,7 +50,7 @@ class _Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
+        self.tok, self.cache, self.held = Tokenizer.from_file(path), {}, 0
         (self.mark,) = self._ids(self.MARK.decode())
 
     def _ids(self, text: str) -> list[int]:
@@ -74,6 +74,9 @@ class _Tokens:
             cache.update((w, raw[a:b]) for w, a, b in zip(plain, starts, ends, strict=True))
         cache.update((w, cache[core] + cache[tail]) for w, core, tail in parts)
 
+    def _weigh(self) -> None:
+        self.held = sum(len(w) + len(x) + ENTRY for w, x in self.cache.items())
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The little-endian unsigned 32-bit ids of each text."""
         lo = 0
@@ -83,18 +86,22 @@ class _Tokens:
                 group.append((texts[lo] if b"<|" in texts[lo] else texts[lo].lower()).split())
                 size += len(texts[lo])
                 lo += 1
-            if len(self.cache) > CACHE:
+            if self.held > CACHE:
                 self.cache = {w: x for w, x in self.cache.items() if len(w) <= SHORT}
-                if len(self.cache) > CACHE // 2:
-                    self.cache = {}
+                self._weigh()
+                if self.held > CACHE // 2:
+                    self.cache, self.held = {}, 0
             if new := set().union(*group).difference(self.cache):
+                before = len(self.cache)
                 self._learn(new)
+                # Ids take about as many bytes as their word.
+                self.held += ENTRY * (len(self.cache) - before) + 2 * sum(map(len, new))
             for words in group:
                 yield b"".join(map(self.cache.__getitem__, words))
 
 
 def _tokens(path: str) -> _Tokens:
-    state = worker_state()
+    state = enter("packing")
     if getattr(state, "tokens_path", None) != path:
         state.tokens, state.tokens_path = _Tokens(path), path
     return state.tokens

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -58,9 +59,17 @@ def table(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_state() -> types.ModuleType:
-    """A module that lives as long as the Python worker, for bounded caches."""
-    return sys.modules.setdefault("_lodestrata_worker", types.ModuleType("_lodestrata_worker"))
+def enter(user: str) -> types.ModuleType:
+    """A module that lives as long as the Python worker, for bounded caches.
+
+    What an operator keeps there goes when another one comes to the worker, so
+    caches do not add up over the stages of a pipeline."""
+    state = sys.modules.setdefault("_lodestrata_worker", types.ModuleType("_lodestrata_worker"))
+    if state.__dict__.get("user") != user:
+        state.__dict__.clear()
+        state.user = user
+        gc.collect()
+    return state
 
 
 def words(text: Column) -> Column:
