@@ -10,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import enter, table
 
 UNKNOWN = "und"
-#: Filter rows for each n-gram, and the most rows, which bounds what workers
-#: receive (one word of languages a row: 8 bytes; at most 8 languages: 1 byte).
-ROWS_PER_GRAM, MOST_ROWS = 16, 1 << 22
-#: A language has an n-gram if it uses it at least this often, and by this share
-#: of the rate in the language that uses it most.
-LEAST_COUNT, LEAST_SHARE = 3, 0.25
+#: Filter rows for each n-gram (one word of languages a row: 8 bytes; at most 8 languages: 1 byte).
+ROWS_PER_GRAM = 16
+#: A language has an n-gram if it uses it at least this often, at this rate among its
+#: n-grams, and by this share of the rate in the language that uses it most. The rate
+#: bounds a language's n-grams, whatever the corpus: there are 2^18 at most.
+LEAST_COUNT, LEAST_RATE, LEAST_SHARE = 3, 2.0**-18, 0.25
 #: Bits of one word of languages; bytes of text that are counted at a time.
-WORD, STEP = 63, 1 << 24
+WORD, STEP = 63, 1 << 22
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -93,11 +93,13 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from labelled texts; null texts and labels teach nothing.
 
     Grams are counted in all rows, whole texts, and combined before and in the
-    exchange; a language's filter gets those that pass the two limits. What
-    reaches the driver is a row for each filled filter row, at most MOST_ROWS.
+    exchange; a language's filter gets those that pass the three limits, at most
+    1 / LEAST_RATE. What reaches the driver is a row for each filled filter row: at
+    most two for each n-gram of a filter.
     """
 
     def count(batches):
+        enter("langid")
         for batch in batches:
             by: dict[str, list[bytes]] = {}
             size = 0
@@ -128,12 +130,12 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     masks = table(
         counts.join(number, "lang")
         .withColumn("top", F.max(rate).over(Window.partitionBy("gram")))
-        .where((F.col("n") >= LEAST_COUNT) & (rate >= F.col("top") * LEAST_SHARE))
+        .where((F.col("n") >= LEAST_COUNT) & (rate >= LEAST_RATE) & (rate >= F.col("top") * LEAST_SHARE))
         .groupBy("gram", "word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     )
     found = masks.select("gram").distinct().count()
-    size = min(MOST_ROWS, max(1 << 10, 1 << (ROWS_PER_GRAM * max(1, found) - 1).bit_length()))
+    size = max(1 << 10, 1 << (ROWS_PER_GRAM * max(1, found) - 1).bit_length())
 
     def place(batches):
         for batch in batches:
@@ -160,6 +162,7 @@ def identify(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
+        enter("langid")
         f = shared.value
         for batch in batches:
             found = [f.predict(x.as_py()) for x in batch.column(1)]
@@ -179,9 +182,7 @@ def keep_identified(docs: DataFrame, filters: Filters, text: str = "text", least
 
     Filters that hold no gram, as no row has a label or all labelled texts are too
     few, can tell no languages apart; then every text with a letter stays."""
-    names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    at = names.index(text)
     blank = not filters.bits.any()
 
     def keeps(f: Filters, x: str | None) -> bool:
@@ -190,9 +191,11 @@ def keep_identified(docs: DataFrame, filters: Filters, text: str = "text", least
         lang, score = f.predict(x)
         return lang != UNKNOWN and score > least
 
-    def run(batches):
+    # Only the text goes to Python; the other columns wait on Spark's side.
+    @F.arrow_udf("boolean")
+    def stays(texts: pa.Array) -> pa.Array:
+        enter("langid")
         f = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([keeps(f, x.as_py()) for x in batch.column(at)], pa.bool_()))
+        return pa.array([keeps(f, x.as_py()) for x in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(stays(F.col(text)))
