@@ -71,10 +71,18 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, each once, with all their columns."""
-    h, sha, keep = free_name(docs, "__h"), free_name(docs, "__sha"), free_name(docs, "__keep")
+    """The rows of ``docs`` that stay, each once, with all their columns.
+
+    Where a class has several rows of the key that stays, its longest text does, of
+    these the first in order."""
+    h, sha, keep, repeats = (free_name(docs, n) for n in ("__h", "__sha", "__keep", "__repeats"))
     norm = squeeze_out(F.col(text))
     classes = table(exact_classes(docs, key, text)).select(F.col("h").alias(h), F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
     rows = docs.withColumns({h: F.unhex(F.md5(norm)), sha: F.sha2(norm.cast("binary"), 256)})
     kept = rows.join(classes, [h, sha]).where(F.col(key).eqNullSafe(F.col(keep)))
-    return kept.dropDuplicates([h, sha]).select(docs.columns)
+    # Only where a key is repeated can a class keep several rows; then whole rows are exchanged again.
+    if docs.groupBy(key).agg(F.count(F.lit(1)).alias(repeats)).where(F.col(repeats) > 1).isEmpty():
+        return kept.select(docs.columns)
+    first = F.struct(-F.length(F.coalesce(F.col(text), F.lit(""))), F.col(text), F.xxhash64(*docs.columns))
+    best = kept.groupBy(h, sha).agg(F.min_by(F.struct(*docs.columns), first).alias(keep))
+    return best.select(f"{keep}.*")
