@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import free_name, table
+from .shared import enter, free_name, table
 
 #: Fingerprints of one index block, of one packed group within it, and children of a node.
 BLOCK, GROUP, FAN = 2_048, 64, 8
@@ -18,10 +18,37 @@ BLOCK, GROUP, FAN = 2_048, 64, 8
 MOST_BLOCKS = 65_536
 #: Shingles whose bits are counted, and pairs that are compared, at a time.
 STEP = 1 << 16
-#: Bands of a text's shingle sketch and orders in each: texts with a Jaccard
-#: similarity of 0.8 share one with a probability of 1 - (1 - 0.8^5)^24 = 0.99993.
-BANDS, ROWS = 24, 5
-ORDERS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Packed groups of one matching task; a block that gets more is compared in several tasks.
+GUESTS = 1_024
+#: Drawn fingerprints of a text and shingles in each: texts with a Jaccard similarity of
+#: 0.8 share one with a probability of 1 - (1 - 0.8^5)^24 = 0.99993.
+DRAWS, DRAWN = 24, 5
+#: Where a draw looks for a shingle if its own part of the hashes has none, and what
+#: tells equal draws at different places apart.
+PROBES = np.random.default_rng(5).integers(0, DRAWS * DRAWN, (64, DRAWS * DRAWN))
+MARKS = np.random.default_rng(6).integers(0, 2**64, DRAWS, np.uint64)
+#: Documents, and hashes of their shingles, of one task that compares documents.
+DOCS, HASHES = 1_024, 1 << 19
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, of all words if they are fewer."""
+    import xxhash
+
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) < shingle:
+        return np.array([digest(join(words), seed)] if words else [], np.uint64)
+    rows = zip(*(words[i:] for i in range(shingle)))  # noqa: B905
+    return np.fromiter((digest(join(w), seed) for w in rows), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of hashes, signed: the bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), STEP):
+        ones += np.unpackbits(hashes[lo : lo + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -30,25 +57,14 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     A-Z are lower-cased; a text of fewer words has one shingle, one of none has
     fingerprint zero.
     """
-    import xxhash
-
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    words = text.lower().split()
-    if not words:
-        return 0
-    ones, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
-    for lo in range(0, n, STEP):
-        part = words[lo : lo + STEP + shingle - 1]
-        rows = zip(*(part[i:] for i in range(shingle))) if n > 1 or len(words) == shingle else [part]  # noqa: B905
-        h = np.fromiter((digest(join(w), seed) for w in rows), np.uint64)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    return majority(shingle_hashes(text.lower().split(), shingle, seed))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """key and fingerprint (a signed 64-bit number) of each text; null counts as empty."""
 
     def run(batches):
+        enter("simhash")
         for batch in batches:
             out = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], [key, "fingerprint"])
@@ -95,22 +111,28 @@ class GrayIndex:
 
         ``bits`` under ``mask`` is what all words of a query share."""
         bits, mask = bits.view(np.uint64), mask.view(np.uint64)
-        top = len(self.levels[0][0])
-        step = max(1, STEP // (FAN * 4))
-        for lo in range(0, len(bits), step):
-            n = min(step, len(bits) - lo)
-            query, node = np.repeat(np.arange(lo, lo + n), top), np.tile(np.arange(top), n)
-            off = np.zeros(len(query), np.uint8)
-            for depth, (every, own) in enumerate(self.levels):
-                if depth:
-                    query, off = np.repeat(query, FAN), np.repeat(off, FAN)
-                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    there = node < len(every)
-                    query, node, off = query[there], node[there], off[there]
+        top, last = len(self.levels[0][0]), len(self.levels) - 1
+        for lo in range(0, len(bits), STEP // FAN):
+            n = min(STEP // FAN, len(bits) - lo)
+            # Parts that still go down, deepest last: few are held, whatever the codes.
+            parts = [(0, np.repeat(np.arange(lo, lo + n), top), np.tile(np.arange(top), n), np.zeros(n * top, np.uint8))]
+            while parts:
+                depth, query, node, off = parts.pop()
+                if len(query) > STEP:
+                    half = len(query) // 2
+                    parts += [(depth, query[half:], node[half:], off[half:]), (depth, query[:half], node[:half], off[:half])]
+                    continue
+                every, own = self.levels[depth]
                 off = off + np.bitwise_count((bits[query] ^ every[node]) & own[node] & mask[query])
                 near = off <= limit
                 query, node, off = query[near], node[near], off[near]
-            yield query, node
+                if depth == last:
+                    yield query, node
+                elif len(query):
+                    query, off = np.repeat(query, FAN), np.repeat(off, FAN)
+                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                    there = node < len(self.levels[depth + 1][0])
+                    parts.append((depth + 1, query[there], node[there], off[there]))
 
 
 def join_up(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -188,8 +210,11 @@ def links(codes: DataFrame, limit: int = 2, code: str = "fingerprint") -> DataFr
         linked = np.flatnonzero(parent != np.arange(len(every)))
         return pd.DataFrame({"a": every[linked], "b": every[parent[linked]]})
 
-    routed = groups.mapInArrow(route, "to int, own boolean, codes binary")
-    return routed.groupBy("to").applyInPandas(match, "a long, b long").where("a != b")
+    routed = table(groups.mapInArrow(route, "to int, own boolean, codes binary"))
+    # A block with many guests is compared in several tasks, each with all of its own codes.
+    tasks = routed.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("tasks"))
+    dealt = routed.join(tasks, "to").withColumn("task", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("codes"), F.col("tasks")).cast("int")))))
+    return dealt.select("to", "task", "own", "codes").groupBy("to", "task").applyInPandas(match, "a long, b long").where("a != b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,146 +268,178 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
 
 def row_id(key: str, text: str) -> Column:
-    """A row's key and the hash of its text: the same for repeated rows only."""
-    return F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull().cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-
-
-def shingles(text: bytes, n: int = 5) -> set[bytes]:
-    """The different runs of ``n`` words of a text, A-Z lower-cased; of fewer words, all as one."""
-    words = text.lower().split()
-    if len(words) < n:
-        return {b" ".join(words)} if words else set()
-    return set(map(b" ".join, zip(*(words[i:] for i in range(n)))))  # noqa: B905
-
-
-def similarity(a: set, b: set) -> float:
-    """Jaccard's measure; two empty sets are equal."""
-    common = len(a & b)
-    return common / (len(a) + len(b) - common) if a or b else 1.0
-
-
-def sketch(text: bytes, n: int = 5) -> np.ndarray:
-    """BANDS hashes of the least values of ROWS independent orders of a text's ``n``-word
-    shingles: two texts share each with the probability of their Jaccard
-    similarity to the power ROWS. None for a text of no words."""
-    import xxhash
-
-    found = shingles(text, n)
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 7) for x in found), np.uint64, len(found))
-    if not len(h):
+    """A row's key and text as one hash: the same for repeated rows only."""
+    ident = F.concat_ws(":", F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    return F.unhex(F.md5(ident.cast("binary")))
+
+
+def widened(hashes: np.ndarray, words: list[bytes], shingle: int, wide: int) -> np.ndarray:
+    """Hashes of runs of ``wide`` words from those of ``shingle`` words, of which a run's
+    first and last cover it; of fewer words, one hash of all."""
+    if len(words) < wide:
+        return shingle_hashes(words, wide, 7)
+    more = wide - shingle
+    if not 0 <= more <= shingle:
+        raise ValueError(f"two runs of {shingle} words cover no run of {wide}")
+    out = hashes[: len(words) - wide + 1] * _ODD[0] ^ (hashes[more:] + _ODD[1])
+    out = (out ^ out >> np.uint64(31)) * _ODD[1]
+    return out ^ out >> np.uint64(29)
+
+
+def draws(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of each of DRAWS times DRAWN of a text's shingles.
+
+    The hashes fall into parts, of which each gives its least shingle; an empty part
+    takes that of another. So two texts draw the same shingle with the
+    probability of their Jaccard similarity, in short texts as in long ones.
+    A text of no words draws nothing.
+    """
+    if not len(hashes):
         return np.zeros(0, np.int64)
-    least = np.full(len(ORDERS), 2**64 - 1, np.uint64)
-    for lo in range(0, len(h), 1_024):
-        for k in range(0, len(ORDERS), 30):
-            np.minimum(least[k : k + 30], (ORDERS[k : k + 30, None] * h[lo : lo + 1_024]).min(axis=1), out=least[k : k + 30])
-    least = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least)], np.uint64).view(np.int64)
-
-
-def near_copies(rows: DataFrame, texts: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Edges (n, m) whose components are those of the near copies among ``rows``: their sets of
-    ``shingle``-word runs have a Jaccard similarity of ``least`` or more, confirmed
-    on whole texts.
-
-    ``rows`` (n, rid, bands) are documents, ``texts`` (rid, text) their texts. Documents
-    that share a band are candidates. First, all of a band's are compared with
-    one of them, another one in each band, so that a large group of copies costs a comparison for each; then,
-    within the bands that still hold several components, all pairs of
-    different components are.
+    none = np.uint64(2**64 - 1)
+    least = np.full(DRAWS * DRAWN, none, np.uint64)
+    np.minimum.at(least, (hashes >> np.uint64(32)) % np.uint64(len(least)), hashes * _ODD[0])
+    filled = least != none
+    if not filled.all():
+        empty = np.flatnonzero(~filled)
+        hit = filled[PROBES[:, empty]]
+        source = PROBES[hit.argmax(axis=0), empty]
+        lost = ~hit.any(axis=0)
+        full = np.flatnonzero(filled)
+        source[lost] = full[np.searchsorted(full, empty[lost]) % len(full)]
+        least[empty] = least[source]
+    bits = np.unpackbits(least.astype(">u8").view(np.uint8).reshape(DRAWS, DRAWN, 8), axis=2).sum(axis=1, dtype=np.uint8)
+    codes = np.packbits(2 * bits > DRAWN, axis=1).view(">u8").ravel().astype(np.uint64)
+    return (codes ^ MARKS).view(np.int64)
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray] | None, least: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of similar sets of hashes, ``left[i]`` and ``right[j]`` (None: ``left``
+    itself), enough of them to join all that similar pairs join.
+
+    Two sets are similar at a Jaccard measure of ``least`` or more. Common hashes are
+    counted for one set with all others at a time, by lists of the sets that have each hash.
     """
-    each = rows.select("n", F.explode("bands").alias("band"))
-    many = each.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("n").bitwiseXOR(F.col("band"))).bitwiseXOR(F.col("band")).alias("m")).where("size > 1")
-    each = table(each.join(table(many.select("band", "m")), "band"))
-    names = rows.select("n", "rid")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (n, m) that are near copies, as (a, b)."""
-        pairs = table(pairs.distinct())
-        used = table(pairs.select("n").unionByName(pairs.select(F.col("m").alias("n"))).distinct().join(names, "n"))
-        own = table(texts.join(used, "rid").select("n", "text").dropDuplicates(["n"]))
-        other = own.select(F.col("n").alias("m"), F.col("text").alias("other"))
-        joined = pairs.join(own, "n").join(other, "m")
-
-        def compare(batches):
-            seen: dict[int, set] = {}
-            held = 0
-
-            def of(n, x):
-                nonlocal held
-                if n not in seen:
-                    if held > STEP:
-                        seen.clear()
-                        held = 0
-                    seen[n] = shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
-                    held += len(seen[n])
-                return seen[n]
-
-            for batch in batches:
-                n, m, text, other = (batch.column(c) for c in range(4))
-                near = [similarity(of(i, x), of(j, y)) >= least for i, j, x, y in zip(n.to_pylist(), m.to_pylist(), text.cast(pa.binary()), other.cast(pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-        return table(joined.select("n", "m", "text", "other").mapInArrow(compare, "a long, b long"))
-
-    stars = verified(each.where("n != m").select("n", "m"))
-    joint = components(stars).withColumnRenamed("node", "n")
-    each = table(each.join(joint, "n", "left").select("n", "band", F.coalesce("root", "n").alias("root")))
-    mixed = table(each.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band"))
-    rest = table(each.join(mixed, "band"))
-    over = rest.select("band", F.col("n").alias("m"), F.col("root").alias("other"))
-    return stars.unionByName(verified(rest.join(over, "band").where("n < m and root != other").select("n", "m")))
-
-
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2, shingle: int = 3) -> DataFrame:
-    """One row of ``docs`` for each component: the one with the smallest key (nulls last).
-
-    Rows are told apart by key and text, so that null keys and keys that repeat
-    with other texts cost no document."""
-    rid = free_name(docs, "__rid")
-    rows = table(docs.select(row_id(key, text).alias("rid"), F.col(key).alias("key"), F.col(text).alias("text")).transform(lambda d: _with_fingerprints(d, shingle)))
-    labels = components(links(rows.select("fingerprint").distinct(), limit)).withColumnRenamed("node", "fingerprint")
-    named = table(rows.join(labels, "fingerprint", "left").select("rid", "key", F.coalesce("root", "fingerprint").alias("root")))
-    return _survivors(docs, named, rid, key, text)
-
-
-def _with_fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
-    """rid, key and fingerprint of rows of rid, key and text."""
+    other = left if right is None else right
+    own = np.repeat(np.arange(len(other)), [len(x) for x in other])
+    hashes = np.concatenate(other)
+    order = np.argsort(hashes, kind="stable")
+    hashes, own = hashes[order], own[order]
+    sizes = np.array([len(x) for x in other])
+    n = len(left)
+    # Components so far: of the left sets, then of the right ones unless they are the same.
+    label = np.arange(n if right is None else n + len(other))
+    shift = 0 if right is None else n
+    found = []
+    for i, x in enumerate(left):
+        if (label == label[0]).all():
+            break
+        a, b = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
+        a, b = a[b > a], b[b > a]
+        ends = np.cumsum(b - a)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(b - ends, b - a)
+        common = np.bincount(own[at], minlength=len(other))
+        near = np.flatnonzero(common / (sizes + len(x) - common) >= least)
+        near = near[label[near + shift] != label[i]]
+        labels, first = np.unique(label[near + shift], return_index=True)
+        for other_label, j in zip(labels.tolist(), near[first].tolist(), strict=True):
+            found.append((i, j))
+            label[label == other_label] = label[i]
+    return found
+
+
+def similar_texts(rows: DataFrame, texts: DataFrame, least: float = 0.8, words: int = 5, shingle: int = 3) -> DataFrame:
+    """Edges (a, b) between the ``n`` of ``rows`` whose components are those of all pairs of
+    texts with runs of ``words`` words of a Jaccard similarity of ``least`` or more.
+
+    ``rows`` has n, rid, size (runs of words) and drawn (see ``draws``), ``texts`` rid and
+    text. Texts that share a drawn fingerprint form clusters, and all pairs within a
+    cluster are compared by their whole texts. A cluster too large for one
+    task is dealt into parts by a hash, and every two parts meet in a
+    task; tasks emit a spanning forest.
+    """
+    each = rows.select("n", F.explode("drawn").alias("code"))
+    many = table(each.groupBy("code").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("m")).where("times > 1").select("code", "m"))
+    clusters = components(each.join(many, "code").where("n != m").select(F.col("n").alias("a"), F.col("m").alias("b"))).withColumnRenamed("node", "n")
+    members = table(clusters.join(rows.select("n", "rid", "size"), "n"))
+    parts = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / DOCS, F.sum("size") / HASHES)).cast("int").alias("parts"))
+    members = table(members.join(parts, "root").select("rid", "n", "root", "parts", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int").alias("part")))
+    meet = (
+        texts.join(members, "rid")
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("root", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "n", "text")
+    )
+
+    def compare(batches):
+        task, held = None, []
+
+        def settle():
+            left = [(n, x) for part, n, x in held if part == task[1]]
+            right = [(n, x) for part, n, x in held if part == task[2]] if task[1] != task[2] else None
+            if len(held) > 1 and left and (right is None or right):
+                got = similar([x for _, x in left], right and [x for _, x in right], least)
+                other = right or left
+                return pa.RecordBatch.from_arrays([pa.array([left[i][0] for i, _ in got], pa.int64()), pa.array([other[j][0] for _, j in got], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
 
-    def run(batches):
         for batch in batches:
-            out = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.int64())], ["rid", "key", "fingerprint"])
-
-    return rows.mapInArrow(run, rows.select("rid", "key").schema.add("fingerprint", "long"))
-
-
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, words: int = 5) -> DataFrame:
-    """One row of ``docs`` for each component of near copies: the one with the smallest key
+            root, p, q, part, n = (batch.column(c).to_pylist() for c in range(5))
+            column = batch.column(5).cast(pa.binary())
+            for k in range(len(batch)):
+                if (root[k], p[k], q[k]) != task:
+                    if task:
+                        yield settle()
+                    task, held = (root[k], p[k], q[k]), []
+                found = column[k].as_buffer().to_pybytes().lower().split() if column[k].is_valid else []
+                held.append((part[k], n[k], np.unique(widened(shingle_hashes(found, shingle, 42), found, shingle, words))))
+        if task:
+            yield settle()
+
+    return meet.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compare, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2, shingle: int = 3, least: float = 0.8, words: int = 5) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: the one with the smallest key
     (nulls last).
 
-    Documents are linked when their runs of ``words`` words have a Jaccard similarity
-    of ``least`` or more (see ``near_copies``); texts without words never are."""
+    Two documents are linked when the SimHashes of their ``shingle``-word runs differ in
+    ``limit`` bits at most, which the Gray-ordered index finds, or when their sets of
+    ``words``-word runs have a Jaccard similarity of ``least`` or more. At 0.8, a
+    64-bit SimHash moves by some ten bits, beyond any index; so candidates for the
+    second kind of link share one of several fingerprints of a few shingles drawn from
+    the text, and are compared by their whole texts.
+
+    Rows are told apart by key and text, so that null keys and keys that repeat
+    with other texts cost no document; rows that repeat both stay once. Texts of no
+    words are linked with each other. An empty table stays empty.
+    """
     rid = free_name(docs, "__rid")
     texts = docs.select(row_id(key, text).alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
+        enter("simhash")
         for batch in batches:
-            bands = [sketch(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bands, pa.list_(pa.int64()))], ["rid", "key", "bands"])
-
-    rows = table(texts.mapInArrow(run, texts.select("rid", "key").schema.add("bands", ArrayType(LongType()))).withColumn("n", F.monotonically_increasing_id()))
-    joint = components(near_copies(rows, texts.select("rid", "text"), least, words))
-    named = table(rows.select("rid", "key", F.col("n").alias("node")).join(joint, "node", "left").select("rid", "key", F.coalesce("root", "node").alias("root")))
-    return _survivors(docs, named, rid, key, text)
-
-
-def _survivors(docs: DataFrame, named: DataFrame, rid: str, key: str, text: str) -> DataFrame:
-    """The rows of ``docs`` whose (key, rid) is the least of its root in ``named``."""
-    known = named.where("key is not null").groupBy("root").agg(F.min("key").alias("least"))
-    first = named.join(table(known), "root", "left").where(F.col("key").eqNullSafe(F.col("least")))
-    stay = table(first.groupBy("root").agg(F.min("rid").alias(rid), F.count(F.lit(1)).alias("n")))
-    kept = docs.withColumn(rid, row_id(key, text)).join(stay.select(rid), rid, "left_semi")
-    # Only where a row that stays may be repeated are whole rows exchanged again.
-    if not stay.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([rid])
-    return kept.select(docs.columns)
+            column, out = batch.column(2).cast(pa.binary()), []
+            for x in column:
+                found = x.as_buffer().to_pybytes().lower().split() if x.is_valid else []
+                hashes = shingle_hashes(found, shingle, 42)
+                wide = widened(hashes, found, shingle, words)
+                out.append((majority(hashes), len(wide), draws(wide)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f for f, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), pa.array([d for _, _, d in out], pa.list_(pa.int64()))], ["rid", "key", "fingerprint", "size", "drawn"])
+
+    schema = texts.select("rid", "key").schema.add("fingerprint", "long").add("size", "long").add("drawn", ArrayType(LongType()))
+    rows = table(texts.mapInArrow(run, schema).withColumn("n", F.monotonically_increasing_id()))
+    repeated = not rows.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if repeated:
+        rows, texts = table(rows.dropDuplicates(["rid"])), texts.dropDuplicates(["rid"])
+    labels = components(links(rows.select("fingerprint").distinct(), limit)).withColumnRenamed("node", "fingerprint")
+    coded = table(rows.join(labels, "fingerprint", "left").select("n", F.coalesce("root", "fingerprint").alias("root")))
+    first = coded.groupBy("root").agg(F.min("n").alias("b"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    close = coded.join(table(first.select("root", "b")), "root").select(F.col("n").alias("a"), "b")
+    joint = components(close.unionByName(similar_texts(rows, texts.select("rid", "text"), least, words, shingle))).withColumnRenamed("node", "n")
+    # Only rows of groups are looked at; all others stay.
+    groups = table(rows.select("n", "rid", "key").join(joint, "n").select("root", "rid", "key", F.col("key").isNull().alias("nameless")))
+    best = groups.groupBy("root").agg(F.min(F.struct("nameless", "key", "rid"))["rid"].alias("best"))
+    gone = table(groups.join(best, "root").where("rid != best").select(F.col("rid").alias(rid)))
+    kept = docs.withColumn(rid, row_id(key, text)).join(gone, rid, "left_anti")
+    return (kept.dropDuplicates([rid]) if repeated else kept).select(docs.columns)

@@ -101,6 +101,19 @@ def simhash(t):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
+def test_pipeline_takes_empty_tables_and_clashing_names(spark):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, rid string, __h string, size long, __keep long"
+    rows = [(1, "one text about rivers", "en", "s", 21, "x", "y", 1, 2), (2, None, None, None, None, None, None, None, None), (None, "ships at sea", "en", None, 3, "x", "y", 1, 2)]
+    for given in ([], rows):
+        docs = table(spark.createDataFrame(given, kinds))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = table(stage(spark, docs, SF))
+            assert out.columns == docs.columns
+            docs = out
+        assert docs.count() == (2 if given else 0)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_pipeline_stages(spark):
     """Every stage but the mix and the packing against plain Python; those by their invariants."""
     docs = load(spark, SF, "documents")
@@ -127,9 +140,11 @@ def test_pipeline_stages(spark):
         return x
 
     names = sorted(fps)
+    words = {k: text[k].encode().lower().split() for k in names}
+    runs = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
     for i, a in enumerate(names):
         for b in names[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
+            if (fps[a] ^ fps[b]).bit_count() <= 2 or len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert set(ids[3]) == {find(k) for k in names} and set(ids[3].values()) == {1}

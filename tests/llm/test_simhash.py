@@ -94,8 +94,19 @@ def test_null_and_repeated_keys_keep_their_unlinked_texts(spark):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[5], rows[6]]))
 
 
-def test_near_copies_beyond_the_fingerprint_limit_are_dropped(spark):
+def shingles(text, n=5):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+@pytest.mark.parametrize("docs", [8, 1024])
+def test_near_copies_beyond_the_fingerprint_limit_are_dropped(spark, monkeypatch, docs):
     """Against all pairs: groups of near copies, and unlike texts that share a passage."""
+    monkeypatch.setattr(simhash, "DOCS", docs)
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{i}" for i in rng.integers(0, 5_000, n)]
     texts, passage = [], word(60)
@@ -106,15 +117,65 @@ def test_near_copies_beyond_the_fingerprint_limit_are_dropped(spark):
             copy[int(rng.integers(len(copy)))] = "changed"
             texts.append(" ".join(copy))
     texts += [" ".join(passage + word(40)) for _ in range(30)]
-    sets = [simhash.shingles(t.encode()) for t in texts]
+    for n in (1, 2, 4, 5, 9):  # short ones, once with other case and once with another end
+        base = word(n)
+        texts += [" ".join(base), " ".join(base).upper(), " ".join([*base, "end"])]
+    sets = [shingles(t) for t in texts]
     codes = [simhash.fingerprint(t.encode()) & (2**64 - 1) for t in texts]
-    near = {(i, j) for i in range(len(texts)) for j in range(i) if simhash.similarity(sets[i], sets[j]) >= 0.8}
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8}
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() <= 2}
     assert any((codes[i] ^ codes[j]).bit_count() > 2 for i, j in near)
     root = list(range(len(texts)))
     for _ in texts:
-        for i, j in near:
+        for i, j in near | close:
             root[i] = root[j] = min(root[i], root[j])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.drop_near_copies(df).collect()}
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
     assert kept == set(root)
-    assert len(kept) == 34
+    assert len(kept) == 34 + 9
+
+
+def test_similar_joins_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**63, 20, np.uint64) for _ in range(6)]
+    sets = [np.unique(np.append(np.delete(base[k % 6], rng.integers(0, 20, k % 3)), rng.integers(0, 2**63, k % 2, np.uint64))) for k in range(40)]
+    want = {(i, j) for i in range(40) for j in range(40) if similarity(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
+
+    def groups(pairs):
+        root = list(range(40))
+        for _ in root:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert groups(simhash.similar(sets, None, 0.8)) == groups(want)
+    across = {(i, j) for i, j in want if i < 15 <= j}
+    got = {(i, j + 15) for i, j in simhash.similar(sets[:15], sets[15:], 0.8)}
+    assert got <= across and groups(got) == groups(across)
+
+
+def test_extra_columns_and_names_of_its_own(spark):
+    rows = [(1, "some text of a few words", "x", 1), (2, "some text of a few words", "y", 2), (3, "other", None, 3)]
+    for names in ("__rid string, n long", "root string, fingerprint long", "rid string, drawn long", "__stays string, a long"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        kept = simhash.drop_near_duplicates(df)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_index_splits_large_parts(monkeypatch):
+    words = np.array(clustered(5, 3, 60), np.uint64).view(np.int64)
+    pairs = lambda: {(q, n) for a, b in simhash.GrayIndex(words, words).pairs(words, np.full(len(words), -1, np.int64), 2) for q, n in zip(a.tolist(), b.tolist(), strict=True)}
+    whole = pairs()
+    monkeypatch.setattr(simhash, "STEP", 16)
+    assert pairs() == whole
+
+
+def test_blocks_with_many_guests_are_compared_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "GUESTS", 8)
+    codes = [c - 2**64 if c >= 2**63 else c for c in clustered(9, 2, 150)]
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(c,) for c in codes], "fingerprint long"))).collect()}
+    want = naive_components([c & (2**64 - 1) for c in codes], 2)
+    groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
+    assert groups({c & (2**64 - 1): got.get(c, c) & (2**64 - 1) for c in codes}) == groups(want)
