@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 from html import unescape
 
@@ -34,10 +34,14 @@ AGAINST = frozenset("nav header footer aside form menu dialog search".split())
 WORDS_AGAINST = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header "
     "masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments commentlist reply replies discussion respond disqus form search pagination pager toolbar widget copyright legal disclaimer complementary contentinfo".split()
+    "form search pagination pager toolbar widget copyright legal disclaimer complementary contentinfo".split()
 )
+#: Readers' words read like main text, so their names weigh more.
+WORDS_READERS = frozenset("comment comments commentlist reply replies discussion respond disqus".split())
 FOR = frozenset({"article", "main"})
 WORDS_FOR = frozenset("article post entry story content main text body".split())
+#: A name that begins or ends so tells what the page has, not what the element is.
+WORDS_STATE = (frozenset("with has no without not hide show is js".split()), frozenset("open closed enabled disabled on off".split()))
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)(?:.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))",
@@ -46,33 +50,49 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-#: Costs of a wrong label, in the unit of the smoothness edges. A hint in an
-#: element's name or words outweighs all that surrounds the block.
-HINT, SECTION, NAMED, LINKS, SHORT, LONG = 24.0, 6.0, 3.0, 3.0, 1.0, 4.0
+#: Costs of a wrong label, in the unit of the smoothness edges: an element's kind or name
+#: against main text, a name of readers' words, a name with words for and against; an
+#: article or main element, a name for main text; a link text, a short and a long block.
+HINT, READERS, MIXED, SECTION, NAMED, LINKS, SHORT, LONG = 9.0, 18.0, 1.0, 6.0, 3.0, 3.0, 1.0, 4.0
 NEXT, NEAR = 1.5, 1.0
 
 
 @dataclass
 class Block:
-    """Text between two block boundaries, the elements that it is in, its share of link text."""
+    """Text between two block boundaries; the evidence of the elements that it is in;
+    the share of link text; the element around its own; steps in the tree from the block before."""
 
     text: str
-    path: tuple[int, ...]
-    against: bool
+    against: float
     section: bool
     named: bool
     links: float
+    home: int
+    steps: int
 
 
-def _hints(tag: str, rest: str) -> tuple[bool, bool, bool]:
-    """Whether an element speaks against main text, is its section, or is named like it."""
-    against, named = tag in AGAINST, False
+def _hints(tag: str, rest: str) -> tuple[float, bool, bool]:
+    """How much an element speaks against main text, whether it is its section, or is named like it.
+
+    Of a name of several words, the last says what the element is, the others what it
+    is about: ``article-header`` is a header, ``form-article`` an article."""
+    against, named = HINT * (tag in AGAINST), False
     if "=" in rest:
         for m in _NAMES.finditer(rest):
-            words = _WORD.findall((m[1] or m[2] or m[3] or "").lower())
-            against = against or not WORDS_AGAINST.isdisjoint(words)
-            named = named or not WORDS_FOR.isdisjoint(words)
-    return against and tag not in ("body", "html", "main"), tag in FOR, named and tag != "body"
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = _WORD.findall(name)
+                if not words or len(words) > 1 and (words[0] in WORDS_STATE[0] or words[-1] in WORDS_STATE[1]):
+                    continue
+                if words[-1] in WORDS_FOR:
+                    named = True
+                    against = max(against, MIXED * (not WORDS_AGAINST.union(WORDS_READERS).isdisjoint(words)))
+                elif not WORDS_READERS.isdisjoint(words):
+                    against = max(against, READERS)
+                elif not WORDS_AGAINST.isdisjoint(words):
+                    against = max(against, HINT)
+    if tag in ("body", "html", "main"):
+        against = 0.0
+    return against, tag in FOR, named and tag != "body"
 
 
 def _tokens(page: str) -> list[tuple[int, int, str, bool, str | None]]:
@@ -107,19 +127,24 @@ def _tokens(page: str) -> list[tuple[int, int, str, bool, str | None]]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; tags that are missing are implied."""
     out: list[Block] = []
-    # An open element: name, number, and the hints of it and those around it.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # An open element: name, number, and the evidence of it and those around it.
+    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
+    open_: Counter[str] = Counter()
     number, at, anchor = 0, 0, False
     parts: list[str] = []
     linked = 0
+    # Depth of the last block, and the least depth since.
+    depth, least = 1, 1
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, depth, least
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 top = stack[-1]
-                out.append(Block(text, tuple(e[1] for e in stack), top[2], top[3], top[4], min(1.0, linked / len(text))))
+                home = stack[-2][1] if len(stack) > 1 else -1
+                out.append(Block(text, top[2], top[3], top[4], min(1.0, linked / len(text)), home, depth + len(stack) - 2 * least))
+                depth = least = len(stack)
             parts.clear()
         linked = 0
 
@@ -133,6 +158,12 @@ def blocks(page: str) -> list[Block]:
             if anchor:
                 linked += len(text)
 
+    def close(i: int) -> None:
+        nonlocal least
+        open_.subtract(e[0] for e in stack[i:])
+        del stack[i:]
+        least = min(least, len(stack))
+
     for start, end, tag, ends_it, rest in _tokens(page):
         take(start)
         at = end
@@ -145,26 +176,31 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             if ends_it:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if open_[tag]:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
                 continue
             if stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if tag in IMPLIED:
                 ends, upto = IMPLIED[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in upto:
-                        break
+                if any(open_[x] for x in ends):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i][0] in ends:
+                            close(i)
+                            break
+                        if stack[i][0] in upto:
+                            break
             if tag not in VOID:
                 number += 1
                 against, section, named = _hints(tag, rest or "")
                 top = stack[-1]
-                stack.append((tag, number, against or top[2], section or top[3], named or top[4]))
+                # What speaks against an element inside an article speaks of that part of it. An
+                # article in an aside or a menu is a teaser; one in an element that is only
+                # named like these may be the article.
+                part = against < HINT
+                section = top[3] and part or section and not any(open_[x] for x in AGAINST)
+                stack.append((tag, number, against + top[2], section, named or top[4] and part))
+                open_[tag] += 1
     take(len(page))
     flush()
     return out
@@ -174,7 +210,7 @@ def costs(b: Block) -> tuple[float, float]:
     """(cost of dropping it, cost of keeping it) of one block by itself: the classifier."""
     words = b.text.count(" ") + 1
     drop = min(LONG, words / 10) * (1 - b.links) + SECTION * b.section + NAMED * b.named
-    keep = HINT * b.against + LINKS * b.links + (SHORT if words < 10 else 0.0)
+    keep = b.against + LINKS * b.links + (SHORT if words < 10 else 0.0)
     return drop, keep
 
 
@@ -184,17 +220,11 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a, common = found[i - 1].path, 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            out.append((i - 1, i, NEXT / (1 + len(a) + len(b.path) - 2 * common)))
+            out.append((i - 1, i, NEXT / (1 + b.steps)))
         # A block's own element is mostly a paragraph; the one around it counts.
-        home = b.path[-2:-1]
-        if home in last:
-            out.append((last[home], i, NEAR))
-        last[home] = i
+        if b.home in last:
+            out.append((last[b.home], i, NEAR))
+        last[b.home] = i
     return out
 
 
@@ -204,51 +234,53 @@ def minimum_cut(drop: list[float], keep: list[float], links: list[tuple[int, int
     The source feeds each block with the cost of dropping it, the sink drains
     the cost of keeping it, and links cost what they carry when their ends
     differ. What can pass straight through a block does so at once; the rest
-    finds its way by shortest augmenting paths. Blocks that the source still
-    reaches are main text.
+    finds its way by shortest augmenting paths from one block after the other.
+    What a block with flow left still reaches, without an end, is main text and
+    is not searched again, so a page costs about its blocks.
     """
     n = len(drop)
     over = [d - k for d, k in zip(drop, keep, strict=True)]
-    if not links:
-        return [x > 0 for x in over]
-    if max(over) <= 0 or min(over) >= 0:
-        return [max(over) > 0] * n
     room: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in links:
         room[a][b] = room[a].get(b, 0.0) + w
         room[b][a] = room[b].get(a, 0.0) + w
     tiny = 1e-9
-    while True:
-        start = [i for i in range(n) if over[i] > tiny]
-        came = dict.fromkeys(start, -1)
-        queue = deque(start)
-        end = -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, w in room[i].items():
-                if w > tiny and j not in came:
-                    came[j] = i
-                    if over[j] < -tiny:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path, i = [], end
-        while came[i] >= 0:
-            path.append((came[i], i))
-            i = came[i]
-        flow = min(over[i], -over[end], *(room[a][b] for a, b in path))
-        over[i] -= flow
-        over[end] += flow
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+    main = [False] * n
+    for start in range(n):
+        while over[start] > tiny and not main[start]:
+            came = {start: -1}
+            queue = deque(came)
+            end = -1
+            while queue and end < 0:
+                i = queue.popleft()
+                for j, w in room[i].items():
+                    if w > tiny and j not in came and not main[j]:
+                        came[j] = i
+                        if over[j] < -tiny:
+                            end = j
+                            break
+                        queue.append(j)
+            if end < 0:
+                for i in came:
+                    main[i] = True
+                break
+            path, i = [], end
+            while came[i] >= 0:
+                path.append((came[i], i))
+                i = came[i]
+            flow = min(over[start], -over[end], *(room[a][b] for a, b in path))
+            over[start] -= flow
+            over[end] += flow
+            for a, b in path:
+                room[a][b] -= flow
+                room[b][a] += flow
+    return main
 
 
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one a line. Empty for a null page or one
-    whose blocks all look like boilerplate."""
+    whose blocks all look like boilerplate. White space only parts words; a page
+    without tags is one block."""
     found = blocks(page or "")
     if not found:
         return ""

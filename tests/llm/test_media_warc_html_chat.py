@@ -186,3 +186,55 @@ def test_text_after_odd_elements_stays(odd):
 @pytest.mark.parametrize("name", ["math", "object", "noscript"])
 def test_text_that_shows_in_its_place_stays(name):
     assert html.main_text(f"<article><p>as we see, <{name}>x is two</{name}> and so it is for all of the others</p></article>") == "as we see, x is two and so it is for all of the others"
+
+
+PARA = "<p>" + "some words of running text here " * 10 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "page has-header", "form-article", "layout no-sidebar", "legal-article", "related-story-main", "post comments-closed"])
+def test_names_are_evidence_not_proof(name):
+    page = f"<body><nav><a href=x>All the pages</a></nav><div class='{name}'><article><h1>A title</h1>{PARA * 4}</article></div><footer>Imprint</footer></body>"
+    lines = html.main_text(page).split("\n")
+    assert lines[0] == "A title" and len(lines) == 5
+
+
+@pytest.mark.parametrize("part", ["<div class='sidebar'>{}</div>", "<div id=comments>{}</div>", "<div class='ad-box'>{}</div>", "<aside>{}</aside>", "<div class='post-comments'><article class='comment'>{}</article></div>", "<div class='cookie-bar'>{}</div>", "<aside><article>{}</article></aside>"])
+def test_parts_of_an_article_that_are_no_text_go(part):
+    page = f"<body><article><h1>A title</h1>{PARA * 4}{part.format(PARA)}</article>{part.format(PARA)}</body>"
+    assert len(html.main_text(page).split("\n")) == 5
+
+
+def test_large_pages_take_time_in_proportion():
+    import random
+    import time
+
+    rng = random.Random(1)
+    kinds = ["<p>short one</p>", "<ul><li><a href=x>link text</a></li></ul>", "<div class=related>" + PARA + "</div>", PARA]
+    page = "<body>" + "".join(f"<div><p>{'w ' * rng.randint(1, 30)}</p></div>" if rng.random() < 0.3 else rng.choice(kinds) for _ in range(20_000))
+    found = html.blocks(page)
+    pairs = [html.costs(b) for b in found]
+    began = time.process_time()
+    html.minimum_cut([d for d, _ in pairs], [k for _, k in pairs], html.edges(found))
+    assert len(found) == 20_000 and time.process_time() - began < 2
+
+
+def test_op8_finds_the_articles_of_the_test_pages(spark):
+    """Against another reading of the pages: what stands between the article's tags, cut at block tags."""
+    import re
+    from html import unescape
+
+    from lodestrata.llm import queries
+    from lodestrata.llm.shared import load
+
+    sf = "/root/testdata/sf0.001"
+
+    def plain(page):
+        (body,) = re.findall(r"(?s)<article>(.*?)</article>", page)
+        cut = (re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", x) for x in re.split(r"</?(?:h1|p)>", body))
+        return "\n".join(x for x in (" ".join(unescape(c).split()) for c in cut) if x)
+
+    got = {r["page_id"]: r for r in queries.op8_html_extraction(spark, sf).collect()}
+    pages = load(spark, sf, "pages").collect()
+    assert len(got) == len(pages) > 0
+    for r in pages:
+        assert got[r["page_id"]]["text"] == plain(r["html"]) and got[r["page_id"]]["n_chars"] == len(plain(r["html"]))
