@@ -8,6 +8,7 @@ import hashlib
 import io
 import re
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -82,10 +83,10 @@ def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
         yield ArcRecord(version, fields, content)
 
 
-def record_id(url: str, date: str, source_id: int | None) -> str:
-    """A URN that is the same for the same record. It holds the source's 64-bit id
-    (none: the lowest bit), so that a reference can be resolved without a lookup."""
-    h = int.from_bytes(hashlib.sha1(f"{url} {date}".encode()).digest()[:8], "big")
+def record_id(url: str, date: str, payload_digest: str, source_id: int | None) -> str:
+    """A URN that is the same for the same record. It also holds the source's 64-bit id
+    (none: the lowest bit)."""
+    h = int.from_bytes(hashlib.sha1(f"{url} {date} {payload_digest}".encode()).digest()[:8], "big")
     rest = (h >> 7 << 1) | (source_id is None)
     bits = ((source_id or 0) & (2**64 - 1)) << 58 | rest & (2**58 - 1)
     value = bits >> 74 << 80 | 8 << 76 | (bits >> 62 & 0xFFF) << 64 | 2 << 62 | bits & (2**62 - 1)
@@ -112,23 +113,23 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
     return b"", content
 
 
-def to_warc(record: ArcRecord, ident: int | None = None, original: int | None = None, original_is_null: bool = False) -> bytes:
+def to_warc(record: ArcRecord, ident: int | None = None, original: str | None = None) -> bytes:
     """The WARC record of an ARC record, as one gzip member.
 
-    A web response becomes ``response``, or ``revisit`` of ``original`` where
-    that is another record with the same payload; what has no HTTP header
+    A web response becomes ``response``, or ``revisit`` where ``original`` is the record
+    id of another record with the same payload; what has no HTTP header
     becomes ``resource``. Digests are SHA-1 in base 32 over payload and block.
     """
     f = record.fields
     d = f["date"].ljust(14, "0")[:14]
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     head, payload = split_http(record.content)
-    revisit = original is not None or original_is_null
+    revisit = original is not None
     kind = "revisit" if revisit else "response" if head else "resource"
     block = head if revisit else record.content
     lines = {
         "WARC-Type": kind,
-        "WARC-Record-ID": record_id(f["url"], d, ident),
+        "WARC-Record-ID": record_id(f["url"], d, digest(payload), ident),
         "WARC-Date": date,
         "WARC-Target-URI": f["url"].replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-IP-Address": f["ip"],
@@ -138,7 +139,7 @@ def to_warc(record: ArcRecord, ident: int | None = None, original: int | None =
     if f["ip"] in ("-", "0.0.0.0"):
         del lines["WARC-IP-Address"]
     if revisit:
-        lines |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(f["url"], d, original)}
+        lines |= {"WARC-Profile": PROFILE, "WARC-Refers-To": original}
     lines |= {"Content-Type": "application/http;msgtype=response" if head else f["content_type"], "Content-Length": str(len(block))}
     raw = b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
     return gzip.compress(raw, 1, mtime=0)
@@ -171,23 +172,25 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def legacy_fields(url: str | None, number: int) -> dict[str, str]:
+    """URL and date of a page in an old archive."""
+    date = time.strftime("%Y%m%d%H%M%S", time.gmtime(946_684_800 + number % 600_000_000))
+    return {"url": "-" if not url else re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url), "date": date}
+
+
 def legacy_record(url: str | None, payload: bytes, number: int) -> ArcRecord:
     """A page as an old crawler would have stored it; odd numbers in the second version."""
-    version = 1 + number % 2
-    at = 946_684_800 + number % 600_000_000
-    import time
-
-    date = time.strftime("%Y%m%d%H%M%S", time.gmtime(at))
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    clean = "-" if not url else re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url)
-    fields = {"url": clean, "ip": "0.0.0.0", "date": date, "content_type": "text/html", "result_code": "200", "checksum": f"{zlib.crc32(payload):08x}", "location": "-", "filename": "pages.arc"}
-    return ArcRecord(version, fields, head + payload)
+    fields = legacy_fields(url, number) | {"ip": "0.0.0.0", "content_type": "text/html", "result_code": "200", "checksum": f"{zlib.crc32(payload):08x}", "location": "-", "filename": "pages.arc"}
+    return ArcRecord(1 + number % 2, fields, head + payload)
 
 
-def originals(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """Payloads that occur more than once: their SHA-256 and smallest id."""
+def originals(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Payloads that occur more than once: their SHA-256, and the smallest id (nulls last) with its URL."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    return pages.groupBy(F.sha2(body, 256).alias("sha")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    named = F.when(F.col(key).isNotNull(), F.struct(F.col(key).cast("long").alias("first"), F.col(url).alias("first_url")))
+    found = pages.groupBy(F.sha2(body, 256).alias("sha")).agg(F.min(named).alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.select("sha", "of.first", "of.first_url")
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -201,7 +204,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     complete, so retried or duplicated attempts leave nothing in the list.
     """
     folder = shared_dir(pages.sparkSession) + "/warc"
-    first = table(originals(pages, key, payload))
+    first = table(originals(pages, key, url, payload))
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("sha")).join(first, "sha", "left")
 
@@ -222,12 +225,16 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
             return done
 
         for batch in batches:
-            ids, urls, firsts = (batch.column(c).to_pylist() for c in ("id", "url", "first"))
+            ids, urls, firsts, first_urls = (batch.column(c).to_pylist() for c in ("id", "url", "first", "first_url"))
             for i, x in enumerate(batch.column("payload")):
-                legacy = legacy_record(urls[i], x.as_buffer().to_pybytes(), i if ids[i] is None else ids[i])
+                payload = x.as_buffer().to_pybytes()
+                legacy = legacy_record(urls[i], payload, i if ids[i] is None else ids[i])
                 (record,) = read_arc(io.BytesIO(write_arc([legacy], legacy.version, legacy.fields["date"])))
-                other = firsts[i] if firsts[i] is not None and firsts[i] != ids[i] else None
-                raw = to_warc(record, ids[i], other)
+                original = None
+                if firsts[i] is not None and firsts[i] != ids[i]:
+                    of = legacy_fields(first_urls[i], firsts[i])
+                    original = record_id(of["url"], of["date"], digest(payload), firsts[i])
+                raw = to_warc(record, ids[i], original)
                 if out is None:
                     name = f"{base}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{part}.warc.gz"
                     out = store.open_output_stream(f"{name}.tmp")
@@ -238,7 +245,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
         if out is not None:
             yield close()
 
-    return table(rows.select("id", "url", "payload", "first").mapInArrow(run, "path string, records long, bytes long"))
+    return table(rows.select("id", "url", "payload", "first", "first_url").mapInArrow(run, "path string, records long, bytes long"))
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -246,10 +253,11 @@ def read_archives(files: DataFrame) -> DataFrame:
     record_id, record_type, refers_to, payload_bytes, payload_digest.
 
     Files are streamed, a record at a time. The digest of a response's payload is
-    computed from the bytes read and must agree with its header; a revisit
-    states digest and length of the payload that it stands for.
+    computed from the bytes read and must agree with its header. The record that a
+    revisit refers to is looked up by its record id among all that were read: it
+    must be there, with the length and digest that the revisit states.
     """
-    kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("warc_date", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("warc_date", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("original", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
     def one(h: dict[str, str], block: bytes) -> dict:
         head, payload = split_http(block)
@@ -261,7 +269,7 @@ def read_archives(files: DataFrame) -> DataFrame:
             size = len(payload)
             if digest(payload) != stated:
                 raise ValueError(f"{h['warc-record-id']}: the payload has another digest")
-        return {"page_id": source_id(h["warc-record-id"]), "url": h.get("warc-target-uri"), "warc_date": h["warc-date"], "record_id": h["warc-record-id"], "record_type": h["warc-type"], "refers_to": source_id(h["warc-refers-to"]) if revisit else None, "payload_bytes": size, "payload_digest": stated}
+        return {"page_id": source_id(h["warc-record-id"]), "url": h.get("warc-target-uri"), "warc_date": h["warc-date"], "record_id": h["warc-record-id"], "record_type": h["warc-type"], "original": h["warc-refers-to"] if revisit else None, "payload_bytes": size, "payload_digest": stated}
 
     def run(batches):
         for batch in batches:
@@ -277,4 +285,12 @@ def read_archives(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
     n = max(1, files.count())
-    return files.select("path").repartition(n).mapInArrow(run, "page_id long, url string, warc_date string, record_id string, record_type string, refers_to long, payload_bytes long, payload_digest string")
+    found = table(files.select("path").repartition(n).mapInArrow(run, "page_id long, url string, warc_date string, record_id string, record_type string, original string, payload_bytes long, payload_digest string"))
+    # Rows that repeat have equal records; a hot original is one row here.
+    kept = found.where("record_type != 'revisit'").groupBy(F.col("record_id").alias("original")).agg(F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("bytes"), F.first("payload_digest").alias("digest"))
+    revisits = found.where("record_type = 'revisit'").join(table(kept), "original", "left")
+    wrong = F.col("bytes").isNull() | (F.col("bytes") != F.col("payload_bytes")) | (F.col("digest") != F.col("payload_digest"))
+    said = F.concat(F.col("record_id"), F.lit(" refers to "), F.col("original"), F.lit(", which is not there or another payload"))
+    columns = ["page_id", "url", "warc_date", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    resolved = revisits.withColumn("record_type", F.when(wrong, F.raise_error(said).cast("string")).otherwise(F.col("record_type")))
+    return found.where("record_type != 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(resolved.select(columns))
