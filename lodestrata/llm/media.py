@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"})
 #: The stored form of a payload: gray pictures of 24 x 24 8-bit samples.
 SIDE, FRAME, RATE, GROUP, CHUNK = 24, 576, 24, 12, 48
+#: Bytes of text that are stored at a time, or one text.
+STEP = 1 << 25
 
 
 @dataclass
@@ -254,12 +256,14 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                texts = [x.as_py() or b"" for x in part.column(1).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([store(pad(t)) for t in texts], pa.binary())], [key, "n_bytes", "media"]
-                )
+            column, lo, size, texts = batch.column(1).cast(pa.binary()), 0, 0, []
+            for i, x in enumerate(column):
+                texts.append(x.as_py() or b"")
+                size += len(texts[-1])
+                if size >= STEP or i == len(batch) - 1:
+                    part = pa.array([len(t) for t in texts], pa.int64()), pa.array([store(pad(t)) for t in texts], pa.large_binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), part[0], part[1].cast(pa.binary())], [key, "n_bytes", "media"])
+                    lo, size, texts = i + 1, 0, []
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 

@@ -58,6 +58,26 @@ def test_stored_texts(spark):
     assert len({tuple(r)[2:] for r in got}) == 2
 
 
+@pytest.mark.parametrize("step", [1_000, 1 << 25])
+def test_op7_digests_are_those_of_the_payload(spark, monkeypatch, step):
+    """Against hashlib and zlib, with the stored form made here once more."""
+    import hashlib
+    import zlib
+
+    monkeypatch.setattr(media, "STEP", step)
+    rows = [(i, t) for i, t in enumerate(["é", None, "", "x" * 575, "x" * 576, "y" * 577, "wörter " * 30_000, "z" * 3_000_000])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, media string")
+    got = {r["doc_id"]: r for r in media.digest_media(media.store_texts(df)).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(padded[-32:])
+        stored = media.store(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and padded in stored
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_lines_and_lengths(version):
     records = [warc.legacy_record(u, p, 2 * i + version - 1) for i, (u, p) in enumerate([("http://a/", b"one"), ("http://b/x y", b"URL 1.2.3.4 20200101000000 text/html 5\n\nHTTP/"), (None, b"")])]
@@ -80,13 +100,15 @@ def test_arc_url_with_spaces():
 
 @given(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), st.text(max_size=20))
 def test_record_ids_hold_the_source(number, url):
-    urn = warc.record_id(url, "20200101000000", number)
-    assert warc.source_id(urn) == number and urn == warc.record_id(url, "20200101000000", number)
+    urn = warc.record_id(url, "20200101000000", "ABC", number)
+    assert warc.source_id(urn) == number and urn == warc.record_id(url, "20200101000000", "ABC", number) != warc.record_id(url, "20200101000000", "ABD", number)
 
 
 def test_warc_records_round_trip():
     record = warc.legacy_record("http://a/", "ü".encode() * 100, 5)
-    raw = warc.to_warc(record, 5) + warc.to_warc(record, 6, 5)
+    first = warc.to_warc(record, 5)
+    ((h, _),) = warc.read_warc(io.BytesIO(first))
+    raw = first + warc.to_warc(record, 6, h["warc-record-id"])
     (h1, b1), (h2, b2) = warc.read_warc(io.BytesIO(raw))
     assert (h1["warc-type"], h2["warc-type"]) == ("response", "revisit")
     assert warc.split_http(b1)[1] == "ü".encode() * 100 and warc.split_http(b2)[1] == b""
@@ -103,6 +125,30 @@ def test_archives(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_every_reference_is_a_record_of_the_archives(spark):
+    rows = [(i, f"http://host/{i}", f"payload {i % 7}" if i % 3 else None) for i in range(60)]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    headers = {}
+    for r in files.collect():
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            for h, block in warc.read_warc(f):
+                headers[h["warc-record-id"]] = h
+                assert h["warc-block-digest"] == "sha1:" + warc.digest(block)
+    revisits = [h for h in headers.values() if h["warc-type"] == "revisit"]
+    assert len(headers) == 60 and len(revisits) == 60 - 8
+    for h in revisits:
+        original = headers[h["warc-refers-to"]]
+        assert original["warc-type"] == "response" and original["warc-payload-digest"] == h["warc-payload-digest"]
+
+
+def test_a_reference_to_nothing_raises(spark, tmp_path):
+    record = warc.legacy_record("http://a/", b"text", 5)
+    (tmp_path / "a.warc.gz").write_bytes(warc.to_warc(record, 6, "<urn:uuid:00000000-0000-8000-8000-000000000000>"))
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    with pytest.raises(Exception, match="refers to"):
+        warc.read_archives(files).collect()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>if (a < b) "</p>"</script></head><body class="post">
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a><li>About</ul></nav><!-- <p>hidden</p> -->
 <div class="cookie-notice">We use cookies. Accept them all, please, for this is a long notice about nothing at all.</div>
