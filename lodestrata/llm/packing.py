@@ -18,6 +18,8 @@ from .shared import enter, table
 #: Pieces of one packing task. A block wastes less than one sequence on average,
 #: so some thousand sequences a block keep the waste below a thousandth.
 BLOCK = 16_384
+#: A bin filled by less is packed anew with those of other blocks.
+FULL = 0.95
 #: Bytes of a worker's cache from a word to its ids, and of an entry besides both.
 CACHE, ENTRY = 160 << 20, 160
 #: Bytes of a word that stays in a full cache.
@@ -249,32 +251,47 @@ def pack(parts: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFram
 
     Full pieces are sequences of their own. The others are dealt by a hash of
     their row into blocks of about ``block`` pieces; each block is packed by best
-    fit and then by swaps. ``offset`` is gapless from 0 within a sequence. Rows
-    that repeat have numbers of their own and are packed as often as they occur.
-    The number of blocks follows the number of pieces, so a task's memory does
-    not grow with the corpus. ``parts`` is read twice and should be a table.
+    fit and then by swaps. Bins that no block could fill are packed anew,
+    together, in half as many blocks or fewer, as long as that is what they need. ``offset`` is
+    gapless from 0 within a sequence. Rows that repeat have numbers of their own and are
+    packed as often as they occur. The number of blocks follows the number of
+    pieces, so a task's memory does not grow with the corpus. ``parts`` is read
+    twice and should be a table.
     """
     count = parts.where(F.col("length") < capacity).count()
-    blocks = max(1, -(-count // block))
-    deal = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
     # Ids, if they are there, stay behind and meet their places afterwards.
     narrow = [c for c, kind in parts.dtypes if not kind.startswith("array")]
-    schema = parts.select(*narrow).schema.add("sequence_id", "long").add("offset", "long")
-
-    def run(got: pa.Table) -> pa.Table:
-        number = got["block"][0].as_py()
-        got = got.drop_columns("block").sort_by("row")
-        lengths = got["length"].to_numpy()
-        bins = swap_search(best_fit(lengths, capacity), lengths, capacity)
-        sequence, offset = np.zeros(len(got), np.int64), np.zeros(len(got), np.int64)
-        for s, b in enumerate(bins):
-            sequence[b] = (number << 32) + s
-            offset[b] = np.cumsum(lengths[b]) - lengths[b]
-        return got.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-
-    rest = parts.where(F.col("length") < capacity).select(*narrow, deal).groupBy("block").applyInArrow(run, schema)
-    full = parts.where(F.col("length") == capacity).select(*narrow, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out = full.unionByName(rest)
+    schema = parts.select(*narrow).schema.add("sequence_id", "long").add("offset", "long").add("fill", "long")
+
+    def packed(rows: DataFrame, blocks: int, turn: int) -> DataFrame:
+        def run(got: pa.Table) -> pa.Table:
+            number = got["block"][0].as_py()
+            got = got.drop_columns("block").sort_by("row")
+            lengths = got["length"].to_numpy()
+            bins = swap_search(best_fit(lengths, capacity), lengths, capacity)
+            sequence, offset, fill = (np.zeros(len(got), np.int64) for _ in range(3))
+            for s, b in enumerate(bins):
+                sequence[b] = (turn << 56) + (number << 24) + s
+                ends = np.cumsum(lengths[b])
+                offset[b], fill[b] = ends - lengths[b], ends[-1]
+            return got.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
+
+        deal = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
+        return rows.select(*narrow, deal).groupBy("block").applyInArrow(run, schema)
+
+    blocks, turn, done = max(1, -(-count // block)), 0, []
+    rest = packed(parts.where(F.col("length") < capacity), blocks, turn)
+    while blocks > 1:
+        rest, underfull = table(rest), F.col("fill") < capacity * FULL
+        fewer = -(-rest.where(underfull).count() // block)
+        if 2 * fewer > blocks:
+            break
+        done.append(rest.where(~underfull))
+        blocks, turn = max(1, fewer), turn + 1
+        rest = packed(rest.where(underfull), blocks, turn)
+    out = parts.where(F.col("length") == capacity).select(*narrow, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    for some in [*done, rest]:
+        out = out.unionByName(some.drop("fill"))
     if len(narrow) < len(parts.columns):
         out = parts.join(table(out.select("row", "sequence_id", "offset")), "row")
     return out.drop("row")

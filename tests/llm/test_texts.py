@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.llm import exact_dedup, langid, mixing, packing
+from lodestrata.llm.shared import table
 
 WHITE = " \t\n\v\f\r"
 ROWS = [(4, "a b", "s1"), (2, "ab", "s1"), (9, "a\tb ", "s2"), (7, None, None), (3, "", "s2"), (5, " \n", "s2"), (None, "ab", "s1"), (2, "ab", "s1"), (8, " ab", "s3"), (6, "x " * 5000, "s3")]
@@ -204,3 +205,24 @@ def test_identified_texts_have_a_gram_of_some_language(spark):
 def test_without_labels_or_learned_grams_texts_with_letters_stay(spark, lang):
     df = spark.createDataFrame([("some words", lang), ("12 !!", None), (None, None), ("", None)], "text string, lang string")
     assert [r["text"] for r in langid.keep_identified(df, langid.learn(df)).collect()] == ["some words"]
+
+
+def test_underfull_bins_of_blocks_are_packed_together(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 900, 300).tolist()
+    parts = table(spark.createDataFrame(list(enumerate(lengths)), "row long, length long"))
+    got = packing.pack(parts, capacity=1000, block=50).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= 1000
+    whole = packing.swap_search(packing.best_fit(np.array(lengths), 1000), np.array(lengths), 1000)
+    assert sorted(r["length"] for r in got) == sorted(lengths)
+    assert len(by) <= len(whole) + 12
