@@ -4,7 +4,6 @@ sorted arrays that workers map into memory."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections import OrderedDict
 from dataclasses import dataclass, field
@@ -22,8 +21,8 @@ COUNT_STEP, SCORE_STEP = 1 << 21, 1 << 19
 #: Bytes of input for each bucket of n-grams, and the bounds of their number. The
 #: driver and each worker hold a file name for each bucket.
 BUCKET_BYTES, FEWEST, MOST = 16 << 20, 64, 65_536
-#: Files that a worker holds open.
-OPEN = 256
+#: Files that a worker holds open, and their bytes where they cannot be mapped.
+OPEN, HELD = 256, 256 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: White space never occurs in a word, so its hash names the end of a text.
 END = b"\n"
@@ -64,16 +63,14 @@ def _put(folder: str, name: str, data: np.ndarray) -> str:
 
 
 def _map(path: str, kind: str) -> np.ndarray:
-    """A file as an array in memory that the system pages in; one from another kind of
-    store is copied to the worker first."""
+    """A file as an array: in memory that the system pages in, or, from a store that has
+    no files to map, read as a whole."""
     from pyarrow import fs
 
     store, local = fs.FileSystem.from_uri(path)
     if store.type_name != "local":
-        local = f"{tempfile.gettempdir()}/{path.rsplit('/', 1)[1]}"
-        if not os.path.exists(local):
-            fs.copy_files(path, f"file://{local}.{os.getpid()}")
-            os.replace(f"{local}.{os.getpid()}", local)
+        with store.open_input_file(local) as f:
+            return np.frombuffer(f.read(), kind)
     return np.memmap(local, kind, "r") if os.path.getsize(local) else np.zeros(0, kind)
 
 
@@ -138,17 +135,21 @@ class Model:
 
 
 class Arrays:
-    """A worker's view of a model's files, of which it keeps the last used ones open."""
+    """A worker's view of a model's files, of which it keeps the last used ones, bounded
+    in number and in the bytes of those that are not mapped."""
 
     def __init__(self, model: Model):
         self.model = model
         self.open: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.held = 0
 
     def file(self, path: str, kind: str) -> np.ndarray:
         if path not in self.open:
-            self.open[path] = _map(path, kind) if path else np.zeros(0, kind)
-            if len(self.open) > OPEN:
-                self.open.popitem(last=False)
+            got = self.open[path] = _map(path, kind) if path else np.zeros(0, kind)
+            self.held += 0 if isinstance(got, np.memmap) else got.nbytes
+            while len(self.open) > 1 and (len(self.open) > OPEN or self.held > HELD):
+                _, old = self.open.popitem(last=False)
+                self.held -= 0 if isinstance(old, np.memmap) else old.nbytes
         self.open.move_to_end(path)
         return self.open[path]
 
@@ -183,7 +184,8 @@ class Arrays:
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             if not self.model.pairs[b][0]:
                 continue
-            k, n = (self.file(path, kind) for path, kind in zip(self.model.pairs[b], ("<u8", "<u4"), strict=True))
+            keys, times = self.model.pairs[b]
+            k, n = self.file(keys, "<u8"), self.file(times, "<u8" if "/times8-" in times else "<u4")
             mine = order[cuts[b] : cuts[b + 1]]
             i = np.minimum(np.searchsorted(k, distinct[mine]), len(k) - 1)
             out[mine] = np.where(k[i] == distinct[mine], n[i], 0)
@@ -281,7 +283,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         k, n = _merge(pdf["keys"], pdf["counts"])
         b = int(pdf["bucket"].iloc[0])
         many = np.minimum(n, 5).astype(np.int64)
-        out = [{"kind": "pairs", "bucket": b, "keys": _put(folder, f"pairs-{b}", k), "counts": _put(folder, f"times-{b}", np.minimum(n, 2**32 - 1).astype("<u4")), "n": [*np.bincount(many, minlength=6)[1:5].tolist(), len(k)]}]
+        width = 8 if n.max(initial=0) >= 1 << 32 else 4
+        out = [{"kind": "pairs", "bucket": b, "keys": _put(folder, f"pairs-{b}", k), "counts": _put(folder, f"times{width}-{b}", n.astype(f"<u{width}")), "n": [*np.bincount(many, minlength=6)[1:5].tolist(), len(k)]}]
         # What this bucket adds to its words' rows of ``follows``, by range of ids.
         word, contexts = np.unique(k & np.uint64(0xFFFFFFFF), return_counts=True)
         context, back = np.unique(k >> np.uint64(32), return_inverse=True)

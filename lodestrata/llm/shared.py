@@ -25,12 +25,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all nodes share.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set
-    as the session's checkpoint folder. The folder is deleted when the driver
+    Where the setting is absent on one machine (tests), a temporary folder is set
+    as the session's checkpoint folder; on a cluster that is an error. The folder is deleted when the driver
     ends, through Spark's own file system, so any store works.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
