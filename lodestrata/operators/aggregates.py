@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,7 +65,38 @@ def date_spread(df: DataFrame, by: str | Sequence[str], date: str) -> DataFrame:
 
 def summary(df: DataFrame, by: str | Sequence[str], value: str) -> DataFrame:
     """n, median, mean and sample deviation of each group."""
-    return known_keys(df, keys(by)).groupBy(*keys(by)).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    rows = known_keys(df, keys(by))
+    out = rows.groupBy(*keys(by)).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return out.join(group_quantiles(rows, keys(by), value, {"median": 0.5}), keys(by), "left")
+
+
+def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles of each group, linear between ranks: the columns of ``by``, which must
+    be complete, and one for each name in ``probabilities``.
+
+    A bounded sketch of each group brackets the wanted ranks. Then rows below a bracket
+    are only counted, and what is ranked are the distinct values inside it, some
+    ten-thousandth of a group; so a group may hold all rows of a table. Null values
+    are left out; a group of nothing else has no row.
+    """
+    x, n, lo, hi, at = "__x", "__n", "__lo", "__hi", "__at"
+    q = list(probabilities.values())
+    rows = df.select(*by, F.col(value).cast("double").alias(x)).where(F.col(x).isNotNull())
+    near = F.array(*(F.lit(min(1.0, max(0.0, p + side * 3 / accuracy))) for p in q for side in (-1, 1)))
+    rough = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(n), F.percentile_approx(x, near, F.lit(accuracy)).alias("__near"), F.min(x).alias("__least"), F.max(x).alias("__most"))
+    # A group small enough is its own bracket, as ranks lie further apart there.
+    small = F.col(n) <= accuracy
+    brackets = F.array(*(F.struct(F.lit(i).alias(at), F.when(small, F.col("__least")).otherwise(F.col("__near")[2 * i]).alias(lo), F.when(small, F.col("__most")).otherwise(F.col("__near")[2 * i + 1]).alias(hi)) for i in range(len(q))))
+    wanted = rough.select(*by, n, F.explode(brackets).alias("b")).select(*by, n, f"b.{at}", f"b.{lo}", f"b.{hi}")
+    inside = rows.join(wanted, list(by)) if by else rows.crossJoin(F.broadcast(wanted))
+    inside = inside.where(F.col(x) <= F.col(hi)).groupBy(*by, n, at, F.when(F.col(x) >= F.col(lo), F.col(x)).alias(x)).agg(F.count(F.lit(1)).alias("__k"))
+    upto = F.sum("__k").over(Window.partitionBy(*by, at).orderBy(F.col(x).asc_nulls_first()))
+    place = F.element_at(F.array(*(F.lit(float(p)) for p in q)), F.col(at) + 1) * (F.col(n) - 1)
+    ranked = inside.withColumns({"__upto": upto, "__place": place}).where(F.col(x).isNotNull())
+    least = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col(x)))
+    low, high = least(F.floor("__place")), least(F.ceil("__place"))
+    each = ranked.groupBy(*by, at).agg((low + (high - low) * (F.max("__place") - F.floor(F.max("__place")))).alias(x))
+    return each.groupBy(*by).agg(*(F.max(F.when(F.col(at) == i, F.col(x))).alias(name) for i, name in enumerate(probabilities)))
 
 
 def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
@@ -74,8 +106,6 @@ def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> lis
     partition), and only values at the wanted ranks reach the driver. No task
     holds more than its range, unlike ``percentile`` over a whole table.
     """
-    import math
-
     values = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     ranked = values.orderBy("x").select("x", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
     ranked = ranked.persist()
@@ -133,9 +163,10 @@ def spread_of_means(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def with_group_mean(df: DataFrame, by: str | Sequence[str], column: str, name: str) -> DataFrame:
-    """Each row with its group's mean: the means are joined, so a hot group is no one task."""
-    means = df.groupBy(*keys(by)).agg(F.avg(column).alias(name))
-    return df.join(means, keys(by))
+    """Each row with its group's mean, null for rows whose key misses a value: the means are
+    joined, so a hot group is no one task."""
+    means = known_keys(df, keys(by)).groupBy(*keys(by)).agg(F.avg(column).alias(name))
+    return df.join(means, keys(by), "left")
 
 
 def variation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -169,10 +200,10 @@ def missing(df: DataFrame, columns: Sequence[str], by: str | None = None) -> Dat
 
 
 def independence(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: chi-squared of a contingency table and its degrees of freedom.
+    """One row: chi-squared of a contingency table, its degrees of freedom and p-value.
 
     Counts by cell, row and column; no table is pivoted, so any number of values
-    will do. ``p_value`` is filled for two degrees of freedom, where it is exact.
+    will do.
     """
     cells = known_keys(df, [a, b]).groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows, cols = cells.groupBy(a).agg(F.sum("n").alias("r")), cells.groupBy(b).agg(F.sum("n").alias("c"))
@@ -180,7 +211,29 @@ def independence(df: DataFrame, a: str, b: str) -> DataFrame:
     part = F.col("n") * F.col("n") * F.col("t") / (F.col("r") * F.col("c"))
     filled = cells.join(rows, a).join(cols, b).withColumn("t", F.sum("n").over(Window.partitionBy()))
     out = filled.agg((F.sum(part) - F.max("t")).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
-    return out.withColumn("p_value", F.when(F.col("dof") == 2, F.exp(-F.col("chi2") / 2)))
+    return out.withColumn("p_value", chi2_tail(F.col("chi2"), F.col("dof")))
+
+
+def chi2_tail(chi2: Column, dof: Column) -> Column:
+    """Probability of a chi-squared value at least this large; null without degrees of freedom.
+
+    It is the regularised upper incomplete gamma function of a = dof / 2 at x = chi2 / 2:
+    one less the power series below a + 1, the continued fraction above. The
+    number of terms grows with the root of dof."""
+    a, x = dof / F.lit(2.0), F.greatest(chi2, F.lit(0.0)) / 2
+    terms = (F.lit(100) + 20 * F.ceil(F.sqrt(dof))).cast("int")
+    # ln gamma(a) from gamma(1) or gamma(1/2), a step of one at a time.
+    steps = F.filter(F.sequence(F.lit(1), F.greatest(dof, F.lit(1)).cast("int")), lambda k: (k < dof) & ((dof - k) % 2 == 0))
+    log_gamma = F.aggregate(steps, F.when(dof % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi))), lambda acc, k: acc + F.ln(k / F.lit(2.0)))
+    front = F.exp(a * F.ln(x) - x - log_gamma)
+    series = F.aggregate(
+        F.sequence(F.lit(1), terms),
+        F.struct((1 / a).alias("term"), (1 / a).alias("sum")),
+        lambda acc, k: F.struct((acc["term"] * x / (a + k)).alias("term"), (acc["sum"] + acc["term"] * x / (a + k)).alias("sum")),
+    )["sum"]
+    fraction = F.aggregate(F.sequence(F.lit(1), terms), F.lit(0.0), lambda acc, k: (terms + 1 - k) * (terms + 1 - k - a) / (x + 2 * (terms + 1 - k) + 1 - a - acc))
+    tail = F.when(x < a + 1, 1 - front * series).otherwise(front / (x + 1 - a - fraction))
+    return F.when(dof > 0, F.when(x <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))))
 
 
 def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), chunk: int = 200) -> DataFrame:
@@ -204,15 +257,16 @@ def with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns filled with their median, then less their mean, over their sample deviation."""
-    fill = df.agg(*(F.median(c).alias(c) for c in columns)).first()
+    fill = {c: quantiles(df, c, [0.5])[0] for c in columns}
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in columns})
     m = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
     return filled.withColumns({c: (F.col(c) - F.lit(m[f"m_{c}"])) / F.nullif(F.lit(m[f"s_{c}"]), F.lit(0.0)) for c in columns})
 
 
 def five_numbers(df: DataFrame, by: str | Sequence[str], column: str) -> DataFrame:
-    q = F.percentile(column, F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))))
-    return known_keys(df, keys(by)).groupBy(*keys(by)).agg(F.min(column).alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(column).alias("high"))
+    rows = known_keys(df, keys(by))
+    ends = rows.groupBy(*keys(by)).agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    return ends.join(group_quantiles(rows, keys(by), column, {"q1": 0.25, "median": 0.5, "q3": 0.75}), keys(by), "left").select(*keys(by), "low", "q1", "median", "q3", "high")
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from .aggregates import known_keys, quantiles
+from .aggregates import group_quantiles, known_keys, quantiles
 from .checks import keys, require_all, require_unique
 
 
@@ -21,7 +21,7 @@ def global_median(train: DataFrame, target: DataFrame, value: str, name: str = "
 def cell_median(train: DataFrame, target: DataFrame, value: str, cell: Sequence[str], name: str = "prediction") -> DataFrame:
     """``target`` with its cell's training median, or the global one where the cell was
     never seen; ``<name>_filled`` flags those."""
-    medians = known_keys(train, cell).groupBy(*cell).agg(F.median(value).alias("__m"))
+    medians = group_quantiles(known_keys(train, cell), list(cell), value, {"__m": 0.5})
     (whole,) = quantiles(train, value, [0.5])
     out = target.join(medians, list(cell), "left")
     found = F.coalesce(finite(F.col("__m")), F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from ..functions.text import true_false
+from .aggregates import group_quantiles
 from .checks import require_all
 
 COLUMNS = ["n", "rmsle", "multiple", "mdape", "r2_log", "mae", "mape", "aggregate", "aggregate_corrected"]
@@ -36,20 +37,18 @@ def retransformed(prediction: Column, duan: Column | float = 1.0) -> Column:
 
 
 def aggregates(truth: str, prediction: str, duan: float = 1.0) -> list[Column]:
-    """The metrics as aggregates of one pass, in the order of COLUMNS. Only the last
-    uses the smearing factor. A truth of zero or less is an error for the median."""
+    """The metrics as aggregates of one pass, in the order of COLUMNS but for the median.
+    Only the last uses the smearing factor."""
     y, p = F.col(truth), F.col(prediction)
     t = F.expm1(y)
     off = F.abs(F.expm1(p) - t)
     squares = F.sum((y - p) * (y - p))
     rmsle = F.sqrt(F.avg((p - y) * (p - y)))
     spread = F.var_pop(y) * F.count(y)
-    relative = F.when(t > 0, off / t).otherwise(F.raise_error(F.lit("a truth is zero or less")).cast("double"))
     return [
         F.count(F.lit(1)).alias("n"),
         rmsle.alias("rmsle"),
         F.exp(rmsle).alias("multiple"),
-        (100 * F.median(relative)).alias("mdape"),
         F.when(spread > 0, 1 - squares / F.nullif(spread, F.lit(0.0))).otherwise(F.lit(float("nan"))).alias("r2_log"),
         F.avg(off).alias("mae"),
         (100 * F.avg(F.try_divide(off, t))).alias("mape"),
@@ -61,15 +60,21 @@ def aggregates(truth: str, prediction: str, duan: float = 1.0) -> list[Column]:
 def evaluate(df: DataFrame, truth: str, prediction: str, axes: Sequence[str] = (), duan: float = 1.0, whole: tuple[str, str] = ("all", "all")) -> DataFrame:
     """One row for the whole and one for each value of each axis: axis, group, metrics.
 
-    All rows come from a single aggregation: each input row is counted under
-    the whole and under its value on each axis. A null value is left out of its
-    axis but not of the whole. Flags are written True and False.
+    Sums come from a single aggregation: each input row is counted under
+    the whole and under its value on each axis; medians are ranked within narrow
+    brackets, so that no task holds the errors of a stratum. A null value is left out of its
+    axis but not of the whole. Flags are written True and False. A truth of zero or
+    less is an error.
     """
     types = dict(df.dtypes)
     named = lambda a: true_false(F.col(a)) if types[a] == "boolean" else F.col(a).cast("string")
     strata = [F.struct(F.lit(whole[0]).alias("axis"), F.lit(whole[1]).alias("group"))] + [F.struct(F.lit(a).alias("axis"), named(a).alias("group")) for a in axes]
     rows = checked(df, truth, prediction).select(F.col(truth), F.col(prediction), F.explode(F.array(*strata)).alias("s")).where("s.group is not null")
-    return rows.groupBy("s.axis", "s.group").agg(*aggregates(truth, prediction, duan))
+    t = F.expm1(F.col(truth))
+    relative = F.when(t > 0, F.abs(F.expm1(F.col(prediction)) - t) / t).otherwise(F.raise_error(F.lit("a truth is zero or less")).cast("double"))
+    found = rows.groupBy("s.axis", "s.group").agg(*aggregates(truth, prediction, duan))
+    medians = group_quantiles(rows.select("s.axis", "s.group", relative.alias("off")), ["axis", "group"], "off", {"mdape": 0.5})
+    return found.join(medians.withColumn("mdape", 100 * F.col("mdape")), ["axis", "group"]).select("axis", "group", *COLUMNS)
 
 
 def residuals(df: DataFrame, truth: str, prediction: str, axes: Sequence[str]) -> DataFrame:

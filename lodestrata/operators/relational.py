@@ -57,9 +57,11 @@ def chain_join(tables: Sequence[DataFrame], on: str | Sequence[str]) -> DataFram
 
 def drop_repeated(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows whose key is complete and occurs once: of a repeated key, none stays."""
-    on, n = keys(on), "__n"
+    on, n, row = keys(on), "__n", "__row"
     whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on))
-    return df.where(whole).withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*on))).where(F.col(n) == 1).drop(n)
+    # Combined in map tasks, so that a hot key costs a row a task.
+    once = df.where(whole).groupBy(*on).agg(F.count(F.lit(1)).alias(n), F.first(F.struct(*df.columns)).alias(row)).where(F.col(n) == 1)
+    return once.select(f"{row}.*")
 
 
 def unique_match(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], left_id: str, right_id: str) -> DataFrame:

@@ -115,8 +115,9 @@ def a19_missing(spark, d):
 
 
 @QUERIES.add("""WITH n AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2), e AS (
-    SELECT n, (sum(n) OVER (PARTITION BY a)) * (sum(n) OVER (PARTITION BY b)) / (sum(n) OVER ()) AS e, a, b, sum(n) OVER () AS t FROM n)
-    SELECT round(sum(n * n / e) - max(t), 6) AS chi2, ((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1))::BIGINT AS dof, NULL::DOUBLE AS p_value FROM e""")
+    SELECT n, (sum(n) OVER (PARTITION BY a)) * (sum(n) OVER (PARTITION BY b)) / (sum(n) OVER ()) AS e, a, b, sum(n) OVER () AS t FROM n),
+    x AS (SELECT sum(n * n / e) - max(t) AS chi2, ((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1))::BIGINT AS dof FROM e)
+    SELECT round(chi2, 6) AS chi2, dof, round(exp(-chi2 / 2) * list_sum(list_transform(range(dof // 2), lambda i: pow(chi2 / 2, i) / gamma(i + 1))), 6) AS p_value FROM x""")
 def a20_independence(spark, d):
     return rounded(agg.independence(t(spark, d, "orders"), "o_orderstatus", "o_orderpriority"))
 

@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import platform
-import sys
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_sha256(path: str | Path, chunk: int = 1 << 20) -> str:
-    h = hashlib.sha256()
+def file_sha256(path: str | Path) -> str:
     with open(path, "rb") as f:
-        while part := f.read(chunk):
-            h.update(part)
-    return h.hexdigest()
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -51,34 +48,40 @@ def counted(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
 
 
 def plain(value: Any, root: Path | None = None) -> Any:
-    """Parameters that JSON can hold: relative paths, sorted sets, lists for tuples."""
-    if isinstance(value, Path):
-        return str(value.relative_to(root)) if root and value.is_relative_to(root) else str(value)
-    if isinstance(value, Mapping):
-        return {str(k): plain(v, root) for k, v in value.items()}
-    if isinstance(value, set | frozenset):
-        return sorted(plain(v, root) for v in value)
-    if isinstance(value, list | tuple):
-        return [plain(v, root) for v in value]
-    return value
+    """Parameters as JSON can hold them: paths relative to ``root``, sets in order, else what
+    has no form in JSON as text."""
 
+    def other(x: Any) -> Any:
+        if isinstance(x, set | frozenset):
+            return sorted(x, key=str)
+        if isinstance(x, Path) and root and root in x.parents:
+            return x.relative_to(root).as_posix()
+        return str(x)
 
-def described(path: str | Path) -> dict[str, Any]:
-    p = Path(path)
-    return {"file": p.name, "bytes": p.stat().st_size, "sha256": file_sha256(p)}
+    return json.loads(json.dumps(value, default=other))
 
 
-def manifest(inputs: Iterable[str | Path], outputs: Iterable[str | Path], parameters: Mapping[str, Any], rows: Mapping[str, Observation | int], **more: Any) -> dict[str, Any]:
-    """Environment, inputs, parameters, rows after each stage and outputs of a run."""
-    import numpy
-    import pandas
-    import pyspark
+def table_state(df: DataFrame) -> dict[str, Any]:
+    """What identifies a table: schema, rows and fingerprint of the content."""
+    found = fingerprint(df).first()
+    return {"schema": df.schema.simpleString(), "rows": found["n"], "sha256": found["sha256"]}
 
+
+def manifest(spark: SparkSession, inputs: Mapping[str, DataFrame | str | Path], outputs: Mapping[str, DataFrame | str | Path], parameters: Mapping[str, Any], rows: Mapping[str, Observation | int], **more: Any) -> dict[str, Any]:
+    """A run, by name: its input and output tables or files, parameters, rows after each
+    stage, and the settings and versions it ran with."""
+
+    def state(x: DataFrame | str | Path) -> dict[str, Any]:
+        if isinstance(x, DataFrame):
+            return table_state(x)
+        return {"file": Path(x).name, "bytes": Path(x).stat().st_size, "sha256": file_sha256(x)}
+
+    settings = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled")
     return {
-        "environment": {"python": sys.version.split()[0], "system": platform.system(), "pyspark": pyspark.__version__, "pandas": pandas.__version__, "numpy": numpy.__version__},
-        "inputs": [described(p) for p in inputs],
+        "engine": {"spark": spark.version, "python": platform.python_version(), "settings": {k: spark.conf.get(k, None) for k in settings}},
+        "inputs": {k: state(x) for k, x in inputs.items()},
+        "outputs": {k: state(x) for k, x in outputs.items()},
         "parameters": plain(parameters),
         "rows": {k: v.get["rows"] if isinstance(v, Observation) else v for k, v in rows.items()},
-        "outputs": [described(p) for p in outputs],
         **plain(more),
     }

@@ -189,8 +189,8 @@ def test_fingerprints(spark, tmp_path):
         provenance.agrees("other", sha)
     seen, rows = provenance.counted(df, "stage 1")
     seen.collect()
-    m = provenance.manifest([path], [], {"seasons": {2, 1}, "at": (1, 2)}, {"stage 1": rows})
-    assert m["rows"] == {"stage 1": 3} and m["parameters"] == {"seasons": [1, 2], "at": [1, 2]} and m["inputs"][0]["sha256"] == sha
+    m = provenance.manifest(spark, {"file": path}, {}, {"seasons": {2, 1}, "at": (1, 2)}, {"stage 1": rows})
+    assert m["rows"] == {"stage 1": 3} and m["parameters"] == {"seasons": [1, 2], "at": [1, 2]} and m["inputs"]["file"]["sha256"] == sha
 
 
 def test_files(spark, tmp_path):
