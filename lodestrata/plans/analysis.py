@@ -24,7 +24,8 @@ def _logged(df):
            (SELECT count(*) FROM f) AS n_values, (SELECT count(*) FILTER (c / tot < 0.5) + 1 FROM f) AS for_50 FROM panel""")
 def q1_target_shape(spark, d):
     p = panel(spark, d)
-    s = agg.shape(p, [], "value").join(p.agg(F.round(F.median("value"), 2).alias("median"), F.round(F.max("value"), 2).alias("largest")), F.lit(True))
+    s = agg.shape(p, [], "value").join(p.agg(F.round(F.max("value"), 2).alias("largest")), F.lit(True))
+    s = s.join(agg.group_quantiles(p, [], "value", {"median": 0.5}).select(F.round("median", 2).alias("median")), F.lit(True))
     c = agg.concentration(p.withColumn("v", F.concat("segment", "position")), "v").select("n_values", "for_50")
     return rounded(s.join(c, F.lit(True)))
 
@@ -32,7 +33,8 @@ def q1_target_shape(spark, d):
 @QUERIES.add(with_("panel") + """, m AS (SELECT period, avg(y) AS m, median(y) AS md FROM panel GROUP BY 1)
     SELECT round(max(m) - min(m), 6) AS spread_of_means, round(max(md) - min(md), 6) AS spread_of_medians, round(100 * (exp(arg_max(m, period) - arg_min(m, period)) - 1), 6) AS growth FROM m""")
 def q2_period_levels(spark, d):
-    m = panel(spark, d).groupBy("period").agg(F.avg("y").alias("m"), F.median("y").alias("md"))
+    p = panel(spark, d)
+    m = p.groupBy("period").agg(F.avg("y").alias("m")).join(agg.group_quantiles(p, ["period"], "y", {"md": 0.5}), "period")
     growth = numeric.percent_growth(F.max_by("m", "period") - F.min_by("m", "period"))
     return rounded(m.agg((F.max("m") - F.min("m")).alias("spread_of_means"), (F.max("md") - F.min("md")).alias("spread_of_medians"), growth.alias("growth")))
 
@@ -101,9 +103,9 @@ def q7_redundancy(spark, d):
 def q8_missingness(spark, d):
     p = panel(spark, d).select("segment", F.nullif("returned", F.lit(0.0)).alias("returned"), "y")
     gone = F.col("returned").isNull()
-    medians = p.groupBy("segment").agg(F.median(F.when(gone, F.col("y"))).alias("median_missing"), F.median(F.when(~gone, F.col("y"))).alias("median_known"))
-    medians = rounded(medians)
-    return rounded(agg.missing(p, ["returned"], "segment").drop("feature"), 8).join(medians, "segment")
+    median = lambda rows, name: rounded(agg.group_quantiles(rows, ["segment"], "y", {name: 0.5}))
+    out = rounded(agg.missing(p, ["returned"], "segment").drop("feature"), 8)
+    return out.join(median(p.where(gone), "median_missing"), "segment", "left").join(median(p.where(~gone), "median_known"), "segment", "left")
 
 
 @QUERIES.add(with_("panel") + """ SELECT least_quantity, count(*) AS n, count(DISTINCT entity) AS entities, round(stddev_samp(items / quantity) / avg(items / quantity), 6) AS cv, round(avg(y), 6) AS mean

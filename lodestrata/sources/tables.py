@@ -27,7 +27,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of an SQLite file, opened read-only on the driver in pieces.
+    """A table of an SQLite file, opened read-only and read as a whole on the driver.
 
     SQLite files cannot be read in parallel; for more than some millions of rows
     export to Parquet, or use ``read_jdbc`` with a driver."""
