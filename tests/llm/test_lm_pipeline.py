@@ -106,11 +106,12 @@ def test_pipeline_takes_empty_tables_and_clashing_names(spark):
     rows = [(1, "one text about rivers", "en", "s", 21, "x", "y", 1, 2), (2, None, None, None, None, None, None, None, None), (None, "ships at sea", "en", None, 3, "x", "y", 1, 2)]
     for given in ([], rows):
         docs = table(spark.createDataFrame(given, kinds))
-        for _, stage in corpus_pipeline.STAGES[:-1]:
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             out = table(stage(spark, docs, SF))
             assert out.columns == docs.columns
             docs = out
-        assert docs.count() == (2 if given else 0)
+            if name != "mixing":  # which may leave out or repeat
+                assert docs.count() == (2 if given else 0)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
