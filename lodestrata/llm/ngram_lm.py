@@ -239,8 +239,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     spark = docs.sparkSession
     folder = shared_dir(spark) + "/lm"
     docs = docs.select(F.col(text).alias("text"))
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    bits = int(min(MOST, max(FEWEST, int(str(size)) // BUCKET_BYTES))).bit_length() - 1
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # Spark's word for a plan of unknown size
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(min(MOST, max(FEWEST, size // BUCKET_BYTES))).bit_length() - 1
     buckets = 1 << bits
 
     def words(batches):
