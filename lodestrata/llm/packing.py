@@ -170,76 +170,126 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = 32) -> list[list[int]]:
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound on the bins: items above ``capacity - k`` share with none of at least
+    ``k``, those above the half have a bin each, and the rest of at least ``k`` fill what
+    room these leave before they need more; the bound is the largest over all ``k``."""
+    number = np.bincount(lengths, minlength=capacity + 1)
+    total = number * np.arange(capacity + 1)
+    half = capacity // 2
+    k = np.arange(half + 1)
+    n_to, sum_to = np.append(0, np.cumsum(number)), np.append(0, np.cumsum(total))  # of lengths below i
+    alone = n_to[-1] - n_to[capacity - k + 1]
+    large, large_sum = n_to[capacity - k + 1] - n_to[half + 1], sum_to[capacity - k + 1] - sum_to[half + 1]
+    over = sum_to[half + 1] - sum_to[k] - (large * capacity - large_sum)
+    return int((alone + large + np.maximum(0, -(-over // capacity))).max())
+
+
+class _Offers:
+    """What underfull bins can give back: nothing, an item, two items.
+
+    Equal lengths count once (twice in a pair), so that a bin has some thousand
+    choices at most. They lie in flat arrays; a bin that changes gets new places
+    at the end, and its old ones go when half of all are old."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, fill: np.ndarray, capacity: int):
+        self.bins, self.lengths, self.fill, self.capacity = bins, lengths, fill, capacity
+        self.items: dict[int, list[tuple[int, ...]]] = {}
+        self.start: dict[int, int] = {}
+        self._lay([b for b in range(len(bins)) if 0 < fill[b] < capacity])
+
+    def _rows(self, b: int) -> np.ndarray:
+        """Size given back, largest size that may come, bin, whether fewer than two items."""
+        by: dict[int, list[int]] = {}
+        for i in sorted(self.bins[b]):
+            by.setdefault(int(self.lengths[i]), []).append(i)
+        found = sorted(by.items())
+        some = [(0, ()), *((n, (at[0],)) for n, at in found)]
+        few = len(some)
+        some += [(n + m, (at[0], other[0])) for x, (n, at) in enumerate(found) for m, other in found[x + 1 :]]
+        some += [(2 * n, (at[0], at[1])) for n, at in found if len(at) > 1]
+        self.items[b] = [i for _, i in some]
+        back = np.array([n for n, _ in some], np.int64)
+        return np.stack([back, back + self.capacity - self.fill[b], np.full(len(some), b), np.arange(len(some)) < few])
+
+    def _lay(self, open_: list[int]) -> None:
+        rows = [self._rows(b) for b in open_]
+        self.start = dict(zip(open_, np.cumsum([0, *(r.shape[1] for r in rows)]).tolist(), strict=False))
+        self.used = sum(r.shape[1] for r in rows)
+        self.flat = np.full((4, 2 * self.used + 64), -1, np.int64)
+        if rows:
+            self.flat[:, : self.used] = np.concatenate(rows, axis=1)
+
+    def renew(self, b: int) -> None:
+        lo = self.start.pop(b)
+        self.flat[1, lo : lo + len(self.items.pop(b))] = -1
+        if 0 < self.fill[b] < self.capacity:
+            rows = self._rows(b)
+            if self.used + rows.shape[1] > self.flat.shape[1]:
+                self._lay([*self.start, b])
+                return
+            self.start[b] = self.used
+            self.flat[:, self.used : self.used + rows.shape[1]] = rows
+            self.used += rows.shape[1]
+
+    def best(self, a: int) -> tuple[tuple[int, ...], int, tuple[int, ...]] | None:
+        """The items that ``a`` should give, the receiver, and what it gives back."""
+        back, top, owner, few = self.flat[:, : self.used]
+        # The squared fill rises if something goes over and the receiver ends fuller than the giver was.
+        low = back + np.maximum(1, self.fill[a] + 1 - self.fill[owner])
+        at = np.flatnonzero((low <= top) & (owner != a))
+        mine = self.items[a]
+        sizes = [int(self.lengths[list(i)].sum()) for i in mine]
+        for given in (1, 2):
+            if given == 2:  # two go for one only
+                at = at[(few[at] > 0) & (back[at] > 0)]
+            change = np.bincount(low[at], minlength=2 * self.capacity + 2) - np.bincount(top[at] + 1, minlength=2 * self.capacity + 2)
+            reached = np.cumsum(change) > 0
+            if gives := [(n, i) for n, i in zip(sizes, mine, strict=True) if len(i) == given and reached[n]]:
+                n, items = max(gives)
+                at = at[(low[at] <= n) & (n <= top[at])]
+                d = n - back[at]
+                x = int(at[np.argmax(d * (self.fill[owner[at]] - self.fill[a] + d))])
+                b = int(owner[x])
+                return items, b, self.items[b][x - self.start[b]]
+        return None
+
+
+def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Fewer bins, by exchanges between underfull bins that raise the squared fill.
 
-    The emptiest bin gives: its items move to a fuller bin, one of them is
-    exchanged for a shorter one, two for one, or one for two shorter ones, when
-    the receiving bin ends up fuller than the giving one was. Each step raises
-    the sum of squared fills, an integer below bins * capacity^2, so the search
-    ends; it stops as soon as the bins are as few as the total allows. A bin
-    that runs empty goes; one that no exchange improves is set aside, and after
-    ``patience`` such bins the search gives up.
+    The emptiest bin gives its longest item that can move to a fuller bin or be
+    exchanged there for a shorter one or two shorter ones, else its longest two that
+    can be exchanged for one; of the receivers, the one that gains most takes part. Each
+    step raises the sum of squared fills, an integer below bins * capacity^2, so the search
+    ends: as soon as the bins are as few as ``least_bins`` allows, or when no underfull
+    bin has an exchange left. A bin that runs empty goes; one without an exchange waits
+    until all others have had theirs and is tried again if any bin has changed since.
     """
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
-    least = -(-sum(fill) // capacity) if bins else 0
-    alive = len(bins)
-    stuck: set[int] = set()
-    kept: dict[int, list[tuple[int, int]]] = {}
-    while alive > least and len(stuck) < patience:
-        open_ = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity]
-        givers = [b for b in open_ if b not in stuck]
-        if len(open_) < 2 or not givers:
-            break
-        a = min(givers, key=lambda b: (fill[b], b))
-        best = None  # (gain, receiver, given, taken)
-        mine = sorted(bins[a], key=lambda i: (-lengths[i], i))
-        gives = [((i,), int(lengths[i])) for i in mine]
-        gives += [((i, j), int(lengths[i] + lengths[j])) for x, i in enumerate(mine) for j in mine[x + 1 :]]
-        for b in open_:
-            if b == a:
-                continue
-            room = capacity - fill[b]
-            if b not in kept:
-                kept[b] = sorted((int(lengths[i]), i) for i in bins[b])
-            theirs = kept[b]
-            sizes = [n for n, _ in theirs]
-            for given, n in gives:
-                options: list[tuple[int, tuple[int, ...]]] = []
-                if len(given) == 1 and n <= room:
-                    options.append((0, ()))
-                at = bisect_left(sizes, n - room)  # the shortest that makes room
-                if at < len(sizes):
-                    options.append((sizes[at], (theirs[at][1],)))
-                if len(given) == 1:  # one for two shorter ones
-                    lo, hi = 0, len(sizes) - 1
-                    pair = None
-                    while lo < hi:
-                        s = sizes[lo] + sizes[hi]
-                        if s >= n - room:
-                            if pair is None or s < pair[0]:
-                                pair = (s, (theirs[lo][1], theirs[hi][1]))
-                            hi -= 1
-                        else:
-                            lo += 1
-                    if pair:
-                        options.append(pair)
-                for back, taken in options:
-                    d = n - back
-                    if 0 < d <= room and (gain := 2 * d * (fill[b] - fill[a] + d)) > 0 and (best is None or gain > best[0]):
-                        best = (gain, b, given, taken)
-        if best is None:
-            stuck.add(a)
+    fill = np.array([int(sum(lengths[i] for i in b)) for b in bins], np.int64)
+    least = least_bins(lengths, capacity) if bins else 0
+    offers = _Offers(bins, lengths, fill, capacity)
+    alive, may_give, changed = len(bins), (fill > 0) & (fill < capacity), False
+    while alive > least:
+        if not may_give.any():
+            if not changed:
+                break
+            may_give, changed = (fill > 0) & (fill < capacity), False
+            continue
+        a = int(np.argmin(np.where(may_give, fill, capacity)))
+        if (found := offers.best(a)) is None:
+            may_give[a] = False
             continue
-        _, b, given, taken = best
+        given, b, taken = found
         bins[a] = [i for i in bins[a] if i not in given] + list(taken)
         bins[b] = [i for i in bins[b] if i not in taken] + list(given)
         moved = int(sum(lengths[i] for i in given) - sum(lengths[i] for i in taken))
         fill[a] -= moved
         fill[b] += moved
-        stuck.discard(b)
-        kept.pop(a, None)
-        kept.pop(b, None)
+        for c in (a, b):
+            offers.renew(c)
+            may_give[c] = 0 < fill[c] < capacity
+        changed = True
         if not bins[a]:
             alive -= 1
     return [b for b in bins if b]

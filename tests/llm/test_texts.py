@@ -226,3 +226,39 @@ def test_underfull_bins_of_blocks_are_packed_together(spark):
     whole = packing.swap_search(packing.best_fit(np.array(lengths), 1000), np.array(lengths), 1000)
     assert sorted(r["length"] for r in got) == sorted(lengths)
     assert len(by) <= len(whole) + 12
+
+
+def test_least_bins_and_search_against_all_packings():
+    def fewest(lengths, capacity):
+        best = len(lengths)
+
+        def place(i, fills):
+            nonlocal best
+            if len(fills) >= best:
+                return
+            if i == len(lengths):
+                best = len(fills)
+                return
+            for f in {f for f in fills if f + lengths[i] <= capacity}:
+                at = fills.index(f)
+                place(i + 1, [*fills[:at], f + lengths[i], *fills[at + 1 :]])
+            place(i + 1, [*fills, lengths[i]])
+
+        place(0, [])
+        return best
+
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        capacity = int(rng.integers(4, 30))
+        n = rng.integers(1, capacity + 1, rng.integers(1, 9))
+        best = fewest(sorted(n.tolist(), reverse=True), capacity)
+        got = packing.swap_search(packing.best_fit(n, capacity), n, capacity)
+        assert packing.least_bins(n, capacity) <= best <= len(got) <= best + 1
+        assert sorted(i for b in got for i in b) == list(range(len(n))) and all(n[b].sum() <= capacity for b in got)
+
+
+def test_search_goes_on_past_bins_without_an_exchange():
+    n = np.random.default_rng(6).integers(1000, 2000, 600)
+    first = packing.best_fit(n, 4096)
+    got = packing.swap_search([list(b) for b in first], n, 4096)
+    assert len(got) < len(first) and sorted(i for b in got for i in b) == list(range(600)) and all(n[b].sum() <= 4096 for b in got)
