@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,40 +94,49 @@ def variance_explained(df: DataFrame, prediction, target: str) -> float:
     return float("nan") if not r["v"] else 1 - r["e"] / r["v"]
 
 
-def fold_moments(train: DataFrame, columns: Sequence[str], folds: int = 5, fold: str | None = None) -> tuple[Moments, list[Moments]]:
-    """Moments of all rows and of each of ``folds`` parts by a hash of the row, or by the
-    column ``fold``."""
-    part = F.col(fold) if fold else F.pmod(F.xxhash64(*columns), F.lit(folds))
-    whole = train.withColumn("__f", part)
-    return moments(whole, columns), [moments(whole.where(F.col("__f") == f), columns) for f in range(folds)]
+def ridge_searches(train: DataFrame, m: Moments, sets: Sequence[Sequence[str]], target: str, alphas: Sequence[float] | None = None) -> list[tuple[Linear, float]]:
+    """For each set of features, the ridge whose penalty has the least leave-one-out error.
 
-
-def ridge_search(every: Moments, parts: Sequence[Moments], features: Sequence[str], target: str, alphas: Sequence[float] | None = None) -> tuple[Linear, float]:
-    """Ridge with the penalty of least validation error over the parts; no rows are read."""
+    ``m`` holds the moments of ``train``. The error a row would have without itself is its
+    residual over one less its leverage; on the principal axes of the features both are
+    sums over axes for any penalty. One pass over complete rows serves all sets and
+    penalties: each task sends one sum of squares for each."""
     alphas = list(np.logspace(-2, 4, 25)) if alphas is None else list(alphas)
-    columns = [*features, target]
-    whole_mean, whole_cross = every.part(columns)
-    best = (np.inf, alphas[0])
-    for alpha in alphas:
-        error = 0.0
-        for held in parts:
-            if not held.n or held.n == every.n:
-                continue
-            n, (held_mean, held_cross) = every.n - held.n, held.part(columns)
-            mean = (whole_mean * every.n - held_mean * held.n) / n
-            raw = whole_cross + every.n * np.outer(whole_mean, whole_mean) - held_cross - held.n * np.outer(held_mean, held_mean)
-            model = least_squares(Moments(columns, n, mean, raw - n * np.outer(mean, mean)), features, target, alpha)
-            w = np.append(-model.coefficients, 1.0)
-            error += w @ held_cross @ w + held.n * (w @ held_mean - model.intercept) ** 2
-        best = min(best, (error, alpha))
-    return least_squares(every, features, target, best[1]), best[1]
-
-
-def ridge_cv(train: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] | None = None, folds: int = 5, fold: str | None = None) -> tuple[Linear, float]:
-    """Ridge with the penalty of least validation error over ``folds`` parts by a hash of
-    the row, or by the column ``fold``. Moments of each part are summed once; no
-    penalty costs another pass over the rows."""
-    return ridge_search(*fold_moments(train, [*features, target], folds, fold), features, target, alphas)
+    if not m.n:
+        return [(least_squares(m, s, target, alphas[0]), alphas[0]) for s in sets]
+    plans = []
+    for features in sets:
+        mean, cross = m.part([*features, target])
+        d = np.sqrt(np.maximum(np.diag(cross)[:-1] / m.n, 0))
+        scale = np.where(d > 0, d, 1.0)
+        values, axes = np.linalg.eigh(cross[:-1, :-1] / np.outer(scale, scale))
+        total = np.maximum(values, 0)[:, None] + np.array(alphas)
+        share = np.where(total > 1e-10 * max(1.0, values.max()), 1 / np.maximum(total, 1e-300), 0.0)
+        weights = (axes.T @ (cross[:-1, -1] / scale))[:, None] * share
+        plans.append(([m.columns.index(c) for c in features], mean, axes / scale[:, None], share, weights))
+    y, n = m.columns.index(target), m.n
+
+    def run(batches):
+        error = np.zeros((len(plans), len(alphas)))
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for i, (at, mean, axes, share, weights) in enumerate(plans):
+                z = (rows[:, at] - mean[:-1]) @ axes
+                left = 1 - 1 / n - (z * z) @ share
+                error[i] += (((rows[:, [y]] - mean[-1] - z @ weights) / np.maximum(left, 1e-12)) ** 2).sum(0)
+        yield pa.RecordBatch.from_pydict({"part": np.arange(error.size, dtype=np.int32), "error": error.ravel()})
+
+    rows = train.select(*(F.col(c).cast("double").alias(c) for c in m.columns)).dropna()
+    sums = np.zeros(len(plans) * len(alphas))
+    for r in rows.mapInArrow(run, "part int, error double").groupBy("part").agg(F.sum("error").alias("error")).collect():
+        sums[r["part"]] = r["error"]
+    best = [alphas[int(np.argmin(e))] for e in sums.reshape(len(plans), -1)]
+    return [(least_squares(m, s, target, alpha), alpha) for s, alpha in zip(sets, best, strict=True)]
+
+
+def ridge_cv(train: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] | None = None) -> tuple[Linear, float]:
+    """Ridge with the penalty of least leave-one-out error, and that penalty."""
+    return ridge_searches(train, moments(train, [*features, target]), [features], target, alphas)[0]
 
 
 def polynomial(df: DataFrame, x: str, y: str, degree: int) -> list[float]:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import evaluate, residuals, smearing
@@ -28,10 +28,20 @@ def random_forest(n_estimators: int = 100, max_depth: int = 10, min_samples_leaf
     return RandomForestRegressor(numTrees=n_estimators, maxDepth=min(30, max_depth), minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=str(max_features), seed=seed)
 
 
-def boosting(n_estimators: int = 50, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 0.8, min_samples_leaf: int = 5, validation: str | None = None, seed: int = SEED):
-    """Boosted trees; ``validation`` names a flag of rows that decide when to stop."""
-    m = GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, minInstancesPerNode=min_samples_leaf, seed=seed)
-    return m.setValidationIndicatorCol(validation) if validation else m
+def boosting(n_estimators: int = 50, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 0.8, min_samples_leaf: int = 5, seed: int = SEED):
+    return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, minInstancesPerNode=min_samples_leaf, seed=seed)
+
+
+def rounds(errors: Sequence[float], patience: int = 50) -> int:
+    """How many rounds boosting keeps: up to its best one, when it ends after ``patience``
+    rounds without a better one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 MODELS = {"elastic_net": elastic_net, "random_forest": random_forest, "boosting": boosting}
@@ -129,19 +139,26 @@ class Final:
     residuals: dict[str, DataFrame]
 
 
-def final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], categorical: Sequence[str], target: str, axes: Sequence[str] = (), train: str = "train", stop_on: str | None = None, threshold: float = 0.0) -> Final:
+def final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], categorical: Sequence[str], target: str, axes: Sequence[str] = (), train: str = "train", stop_on: str | None = None, patience: int = 50, threshold: float = 0.0, fit_on: str | None = None, back: Column | None = None) -> Final:
     """Fit on the training part; the smearing factor comes from its residuals alone.
 
-    With ``stop_on`` that part's rows decide when boosting stops.
+    With ``stop_on`` that part's errors say after which round boosting stops (``rounds``); nothing
+    is learned from its rows, and the first rounds are the same when fewer are asked for.
+    ``fit_on`` names another target to learn, from whose ``prediction`` the
+    expression ``back`` makes one of ``target``.
     """
     parts = {k: v.persist() for k, v in parts.items()}
-    rows = parts[train]
+    label = fit_on or target
+    model = build(estimator, numeric, categorical, label, threshold).fit(parts[train])
     if stop_on:
-        rows = rows.withColumn("__v", F.lit(False)).unionByName(parts[stop_on].withColumn("__v", F.lit(True)))
-        estimator = estimator.copy().setValidationIndicatorCol("__v")
-    model = build(estimator, numeric, categorical, target, threshold).fit(rows)
-    duan = smearing(model.transform(parts[train]), target, "prediction")
-    scored = {k: model.transform(v) for k, v in parts.items() if k != train}
+        prepared, trees = model.stages
+        keep = rounds(trees.evaluateEachIteration(prepared.transform(parts[stop_on]), "squared"), patience)
+        if keep < estimator.getMaxIter():
+            shorter = estimator.copy().setFeaturesCol("features").setLabelCol(label).setPredictionCol("prediction").setMaxIter(keep)
+            model = PipelineModel([prepared, shorter.fit(prepared.transform(parts[train]))])
+    predict = lambda df: model.transform(df) if back is None else model.transform(df).withColumn("prediction", back)
+    duan = smearing(predict(parts[train]), target, "prediction")
+    scored = {k: predict(v) for k, v in parts.items() if k != train}
     return Final(model, duan, {k: evaluate(v, target, "prediction", axes, duan) for k, v in scored.items()}, {k: residuals(v, target, "prediction", axes) for k, v in scored.items()} if axes else {})
 
 

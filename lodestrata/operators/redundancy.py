@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .aggregates import correlations, with_target
-from .linear import fold_moments, r_squared, ridge_search
+from .linear import moments, r_squared, ridge_searches
 
 
 def matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -81,8 +81,8 @@ def spectrum(r: np.ndarray) -> dict[str, float]:
 def filter_cost(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.95, alphas: Sequence[float] | None = None) -> DataFrame:
     """R2 of a ridge on ``test`` with all features, with those that the greedy filter
     leaves and with those that the target-aware one does. The penalty of each is searched
-    over ``alphas`` by validation; moments of all rows and of the folds serve all."""
-    m, parts = fold_moments(train, [*columns, target])
+    over ``alphas`` by leave-one-out error; the moments and the search are shared by all."""
+    m = moments(train, [*columns, target])
     r = m.correlation()[:-1, :-1]
     known = {x["feature"]: x["r"] or 0.0 for x in with_target(train, columns, target).collect()}
     sets = {
@@ -90,11 +90,9 @@ def filter_cost(train: DataFrame, test: DataFrame, columns: Sequence[str], targe
         "greedy": greedy_filter(r, threshold),
         "target_aware": target_aware_filter(r, [known[c] for c in columns], threshold),
     }
-    out = []
-    for name, stays in sets.items():
-        used = [c for c, s in zip(columns, stays, strict=True) if s]
-        model, _ = ridge_search(m, parts, used, target, alphas)
-        out.append((name, len(used), r_squared(test, model.column(), target)))
+    used = [[c for c, s in zip(columns, stays, strict=True) if s] for stays in sets.values()]
+    found = ridge_searches(train, m, used, target, alphas)
+    out = [(name, len(u), r_squared(test, model.column(), target)) for name, u, (model, _) in zip(sets, used, found, strict=True)]
     return train.sparkSession.createDataFrame(out, "variant string, n_features int, r2 double")
 
 
@@ -102,10 +100,7 @@ def incremental(train: DataFrame, test: DataFrame, steps: Sequence[tuple[str, Se
     """R2 on ``test`` of a ridge on growing blocks of features, its penalty searched for each as
     in ``filter_cost``."""
     every = list(dict.fromkeys(c for _, cols in steps for c in cols))
-    m, parts = fold_moments(train, [*every, target])
-    out, used = [], []
-    for name, cols in steps:
-        used = list(dict.fromkeys([*used, *cols]))
-        model, _ = ridge_search(m, parts, used, target, alphas)
-        out.append((name, len(used), r_squared(test, model.column(), target)))
+    used = [list(dict.fromkeys(c for _, cols in steps[: i + 1] for c in cols)) for i in range(len(steps))]
+    found = ridge_searches(train, moments(train, [*every, target]), used, target, alphas)
+    out = [(name, len(u), r_squared(test, model.column(), target)) for (name, _), u, (model, _) in zip(steps, used, found, strict=True)]
     return train.sparkSession.createDataFrame(out, "block string, n_features int, r2 double")

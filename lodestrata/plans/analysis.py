@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import aggregates as agg
-from ..operators import drift, linear, models, redundancy, relational, splits
+from ..operators import deflate, drift, linear, models, redundancy, relational, splits
 from ..operators.preprocess import Preprocessor
 from .case import Catalogue, model_table, panel, rounded, t, with_
+from .evaluation import price_index
 
 QUERIES = Catalogue()
 FEATURES = ["quantity", "items", "orders", "returned", "accepted", "discount", "tax", "balance"]
 LOGS = ["log_quantity", "log_items", "balance", "orders"]
+EXTRA = ["returned", "discount", "tax"]
 
 
 def _logged(df):
@@ -49,12 +51,14 @@ def q3_curve(spark, d):
     return rounded(spark.createDataFrame([(b[1], b[0], r2, linear.variance_explained(g, F.col("m"), "y"))], "slope double, intercept double, r2 double, ceiling double"))
 
 
-@QUERIES.add()
+@QUERIES.add(with_("panel") + """, curve AS (SELECT y, ln(1 + quantity) AS x FROM panel), slant AS (SELECT *, x * x - regr_intercept(x * x, x) OVER () - regr_slope(x * x, x) OVER () * x AS w FROM curve),
+    bend AS (SELECT *, regr_slope(y, w) OVER () AS b2 FROM slant), line AS (SELECT *, regr_slope(y - b2 * x * x, x) OVER () AS b1, regr_intercept(y - b2 * x * x, x) OVER () AS b0 FROM bend)
+    SELECT round(any_value(b0), 4) AS b0, round(any_value(b1), 4) AS b1, round(any_value(b2), 4) AS b2, round(any_value(-b1 / (2 * b2)), 4) AS vertex, round(1 - var_pop(y - b0 - b1 * x - b2 * x * x) / var_pop(y), 4) AS r2 FROM line""")
 def q3_parabola(spark, d):
     p = _logged(panel(spark, d))
     b = linear.polynomial(p, "log_quantity", "y", 2)
     fit = F.lit(b[0]) + F.lit(b[1]) * F.col("log_quantity") + F.lit(b[2]) * F.col("log_quantity") * F.col("log_quantity")
-    return rounded(spark.createDataFrame([(*b, linear.vertex(b), linear.variance_explained(p, fit, "y"))], "b0 double, b1 double, b2 double, vertex double, r2 double"))
+    return rounded(spark.createDataFrame([(*b, linear.vertex(b), linear.variance_explained(p, fit, "y"))], "b0 double, b1 double, b2 double, vertex double, r2 double"), 4)
 
 
 PAIRED = with_("panel") + """, r AS (SELECT *, dense_rank() OVER (ORDER BY period) AS place FROM panel),
@@ -124,12 +128,12 @@ def q10_incremental(spark, d):
     return rounded(redundancy.incremental(m.where("split = 'train'"), m.where("split = 'calibration'"), steps, "y"))
 
 
-def psi_sql(c: str) -> str:
+def psi_sql(c: str, a: str = "train", b: str = "test") -> str:
     return f"""SELECT '{c}' AS feature, round(sum((b - a) * ln(b / a)), 6) AS psi FROM (
-        SELECT bin, greatest(count(*) FILTER (split = 'train') / max(na), 0.0001) AS a, greatest(count(*) FILTER (split = 'test') / max(nb), 0.0001) AS b FROM (
+        SELECT bin, greatest(count(*) FILTER (split = '{a}') / max(na), 0.0001) AS a, greatest(count(*) FILTER (split = '{b}') / max(nb), 0.0001) AS b FROM (
             SELECT split, len(list_filter(list_sort(list_distinct(list_transform(q, lambda v, i: CASE WHEN i = 1 OR i = 11 THEN NULL ELSE v END))), lambda e: e <= {c})) AS bin, na, nb
-            FROM (SELECT split, {c} FROM model WHERE split IN ('train', 'test')), (SELECT quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM model WHERE split = 'train'),
-                 (SELECT count(*) FILTER (split = 'train') AS na, count(*) FILTER (split = 'test') AS nb FROM model)) GROUP BY bin)"""
+            FROM (SELECT split, {c} FROM model WHERE split IN ('{a}', '{b}')), (SELECT quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM model WHERE split = '{a}'),
+                 (SELECT count(*) FILTER (split = '{a}') AS na, count(*) FILTER (split = '{b}') AS nb FROM model)) GROUP BY bin)"""
 
 
 @QUERIES.add(with_("model") + " " + " UNION ALL ".join(psi_sql(c) for c in ("quantity", "value", "balance")))
@@ -140,19 +144,29 @@ def q11_psi(spark, d):
     return rounded(spark.createDataFrame(rows, "feature string, psi double"))
 
 
-@QUERIES.add(with_("model") + """, x AS (SELECT value, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'test') AS b FROM model WHERE split IN ('train', 'test') GROUP BY 1),
-    w AS (SELECT abs(sum(a) OVER o / sum(a) OVER () - sum(b) OVER o / sum(b) OVER ()) AS gap, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM x WINDOW o AS (ORDER BY value)),
-    k AS (SELECT max(gap) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b, sqrt(max(na) * max(nb) / (max(na) + max(nb))) * max(gap) AS scale FROM w)
-    SELECT round(ks, 8) AS ks, n_a, n_b, round(least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * scale * scale))))), 8) AS p_value FROM k""")
+def ks_sql(c: str, a: str = "train", b: str = "test") -> str:
+    return f"""SELECT '{c}' AS feature, ks, n_a, n_b, least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * scale * scale))))) AS p_value FROM (
+        SELECT max(gap) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b, sqrt(max(na) * max(nb) / (max(na) + max(nb))) * max(gap) AS scale FROM (
+            SELECT abs(sum(a) OVER o / sum(a) OVER () - sum(b) OVER o / sum(b) OVER ()) AS gap, sum(a) OVER () AS na, sum(b) OVER () AS nb
+            FROM (SELECT {c} AS x, count(*) FILTER (split = '{a}') AS a, count(*) FILTER (split = '{b}') AS b FROM model WHERE split IN ('{a}', '{b}') AND {c} IS NOT NULL GROUP BY 1) WINDOW o AS (ORDER BY x)))"""
+
+
+@QUERIES.add(with_("model") + f" SELECT round(ks, 8) AS ks, n_a, n_b, round(p_value, 8) AS p_value FROM ({ks_sql('value')})")
 def q12_ks(spark, d):
     m = model_table(spark, d).where("split in ('train', 'test')")
     return rounded(drift.ks_statistic(m, "value", F.col("split") == "train"), 8)
 
 
-@QUERIES.add()
+DRIFTING = ["quantity", "value", "returned", "balance"]
+
+
+@QUERIES.add(with_("model") + ", stability AS (" + " UNION ALL ".join(psi_sql(c, "test", "held_out") for c in DRIFTING) + "), distance AS (" + " UNION ALL ".join(ks_sql(c, "test", "held_out") for c in DRIFTING) + "), means AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) FILTER (split = 'test') AS mean_a, avg({c}) FILTER (split = 'held_out') AS mean_b FROM model" for c in DRIFTING)
+    + """) SELECT feature, CASE WHEN NOT isnan(psi) THEN psi END AS psi, round(ks, 6) AS ks, round(p_value, 6) AS ks_p, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
+    CASE WHEN psi > 0.25 THEN 'large' WHEN psi > 0.1 THEN 'moderate' ELSE 'stable' END AS band FROM stability JOIN distance USING (feature) JOIN means USING (feature)""")
 def q12_drift_table(spark, d):
     m = model_table(spark, d)
-    return rounded(drift.drift_table(m.where("split = 'test'"), m.where("split = 'held_out'"), ["quantity", "value", "returned", "balance"]))
+    return rounded(drift.drift_table(m.where("split = 'test'"), m.where("split = 'held_out'"), DRIFTING))
 
 
 BREAKS = with_("panel") + """, m AS (SELECT period, avg(returned) AS returned, avg(quantity) AS quantity FROM panel GROUP BY 1),
@@ -212,7 +226,7 @@ def x7_preprocessing(spark, d):
 
 
 def _parts(spark, d):
-    m = _logged(model_table(spark, d)).select("entity", "split", "y", "segment", "position", *LOGS)
+    m = _logged(model_table(spark, d)).select("entity", "split", "y", "segment", "position", *LOGS, *EXTRA)
     return {s: m.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}
 
 
@@ -233,12 +247,19 @@ def e8_grouped_validation(spark, d):
 
 @QUERIES.add()
 def e12_variants(spark, d):
+    m = model_table(spark, d)
+    index = deflate.extended_index(price_index(m), m, "period")
+    real = _logged(deflate.deflate(m, index, "period", "value")).select("split", "y", "log_real", "factor", "segment", *LOGS, *EXTRA)
+    parts = {s: real.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}
     features = {"numeric": LOGS, "categorical": ["segment"]}
+    linear_model = {"estimator": models.elastic_net(0.001, 0.5), **features}
     runs = {
-        "reference": {"estimator": models.elastic_net(0.001, 0.5), **features},
-        "boosting": {"estimator": models.boosting(10, 3, validation=None), "stop_on": "calibration", **features},
+        "reference": linear_model,
+        "deflated": {**linear_model, "fit_on": "log_real", "back": numeric.nominal(F.col("prediction"), F.col("factor"))},
+        "extra": {**linear_model, "numeric": [*LOGS, *EXTRA]},
+        "filtered": {**linear_model, "threshold": 0.95},
+        "boosting": {"estimator": models.boosting(10, 3), "stop_on": "calibration", **features},
         "forest": {"estimator": models.random_forest(10, 5), **features},
-        "filtered": {"estimator": models.elastic_net(0.001, 0.5), "threshold": 0.95, **features},
     }
-    best, out = models.variants(_parts(spark, d), runs, "y")
+    best, out = models.variants(parts, runs, "y")
     return rounded(out.withColumn("best", F.lit(best)), 3)

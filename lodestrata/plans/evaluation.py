@@ -191,21 +191,21 @@ INDEX = with_("model") + """, tr AS (SELECT *, floor((balance + 1000) / 2750)::I
     ix AS (SELECT period, exp(sum(coalesce(change, 0)) OVER (ORDER BY period)) AS factor FROM (SELECT DISTINCT period FROM tr) LEFT JOIN ch ON later = period)"""
 
 
-def _index(m):
+def price_index(m):
     train = m.where("split = 'train'").withColumn("bin", F.floor((F.col("balance") + 1000) / 2750))
     return deflate.chained_index(train, "period", ["bin", "segment"], "value")
 
 
 @QUERIES.add(INDEX + " SELECT period, round(factor, 8) AS factor FROM ix")
 def d1_chained_index(spark, d):
-    return rounded(_index(model_table(spark, d)), 8)
+    return rounded(price_index(model_table(spark, d)), 8)
 
 
 @QUERIES.add(INDEX + """, f AS (SELECT m.*, coalesce(factor, (SELECT arg_max(factor, period) FROM ix)) AS factor FROM model m LEFT JOIN ix USING (period))
     SELECT entity, period, round(factor, 8) AS factor, round(value / factor, 2) AS real, round(ln(1 + value / factor), 8) AS log_real, round(ln(1 + value), 8) AS nominal FROM f""")
 def d3_deflate(spark, d):
     m = model_table(spark, d)
-    index = deflate.extended_index(_index(m), m, "period")
+    index = deflate.extended_index(price_index(m), m, "period")
     out = deflate.deflate(m, index, "period", "value")
     return rounded(out.select("entity", "period", "factor", F.round("real", 2).alias("real"), "log_real", numeric.nominal(F.col("log_real"), F.col("factor")).alias("nominal")), 8)
 
