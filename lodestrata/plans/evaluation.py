@@ -165,6 +165,14 @@ def f3_group_folds(spark, d):
     return splits.fold_map(model_table(spark, d).where("split = 'train'"), "entity", 5)
 
 
+@QUERIES.add(with_("model").replace("WITH", "WITH RECURSIVE", 1) + """, g AS (SELECT entity, count(*) AS n FROM model WHERE split = 'train' GROUP BY 1), r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, entity) AS i FROM g),
+    deal AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0 AS lightest UNION ALL
+        SELECT r.i, list_transform(loads, lambda v, k: v + CASE WHEN k = list_position(loads, list_min(loads)) THEN n ELSE 0 END), list_position(loads, list_min(loads)) - 1 FROM deal JOIN r ON r.i = deal.i + 1)
+    SELECT entity, lightest::INTEGER AS fold FROM deal JOIN r USING (i)""")
+def f3_balanced_folds(spark, d):
+    return splits.balanced_folds(model_table(spark, d).where("split = 'train'"), "entity", 5)
+
+
 @QUERIES.add(with_("model") + """, g AS (SELECT entity, count(*) AS n FROM model WHERE split = 'train' GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, entity) - 1 AS i FROM g),
     f AS (SELECT n, (CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INTEGER AS fold FROM r)
     SELECT fold, (sum(sum(n)) OVER () - sum(n))::BIGINT AS n_train, sum(n)::BIGINT AS n_val, (sum(count(*)) OVER () - count(*))::BIGINT AS groups_train, count(*) AS groups_val, 0::BIGINT AS shared FROM f GROUP BY fold""")
