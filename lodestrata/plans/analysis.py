@@ -53,12 +53,12 @@ def q3_curve(spark, d):
 
 @QUERIES.add(with_("panel") + """, curve AS (SELECT y, ln(1 + quantity) AS x FROM panel), slant AS (SELECT *, x * x - regr_intercept(x * x, x) OVER () - regr_slope(x * x, x) OVER () * x AS w FROM curve),
     bend AS (SELECT *, regr_slope(y, w) OVER () AS b2 FROM slant), line AS (SELECT *, regr_slope(y - b2 * x * x, x) OVER () AS b1, regr_intercept(y - b2 * x * x, x) OVER () AS b0 FROM bend)
-    SELECT round(any_value(b0), 4) AS b0, round(any_value(b1), 4) AS b1, round(any_value(b2), 4) AS b2, round(any_value(-b1 / (2 * b2)), 4) AS vertex, round(1 - var_pop(y - b0 - b1 * x - b2 * x * x) / var_pop(y), 4) AS r2 FROM line""")
+    SELECT round(any_value(b0), 6) AS b0, round(any_value(b1), 6) AS b1, round(any_value(b2), 6) AS b2, round(any_value(-b1 / (2 * b2)), 6) AS vertex, round(1 - var_pop(y - b0 - b1 * x - b2 * x * x) / var_pop(y), 6) AS r2 FROM line""")
 def q3_parabola(spark, d):
     p = _logged(panel(spark, d))
     b = linear.polynomial(p, "log_quantity", "y", 2)
     fit = F.lit(b[0]) + F.lit(b[1]) * F.col("log_quantity") + F.lit(b[2]) * F.col("log_quantity") * F.col("log_quantity")
-    return rounded(spark.createDataFrame([(*b, linear.vertex(b), linear.variance_explained(p, fit, "y"))], "b0 double, b1 double, b2 double, vertex double, r2 double"), 4)
+    return rounded(spark.createDataFrame([(*b, linear.vertex(b), linear.variance_explained(p, fit, "y"))], "b0 double, b1 double, b2 double, vertex double, r2 double"))
 
 
 PAIRED = with_("panel") + """, r AS (SELECT *, dense_rank() OVER (ORDER BY period) AS place FROM panel),
