@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_loss, read_turns
 from .exact_dedup import exact_dedup
+from .fim import fill_in_middle, restored
 from .html import extract
 from .langid import fold_of, identify, learn
 from .media import digest_media, store_texts
@@ -18,6 +19,7 @@ from .packing import pack_documents
 from .shared import load
 from .simhash import near_duplicates
 from .warc import read_archives, write_archives
+from .whitening import whiten
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +88,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(load(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op8_html_extraction, op9_exact_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op8_html_extraction, op9_exact_dedup, op10_chat_formatting, op11_fill_in_middle, op13_whitening)}
 
 
 SQL = {
@@ -149,4 +161,14 @@ SQL = {
                doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY len DESC, doc_id) AS kept,
                sha256(norm) AS text_sha256
         FROM n""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || s[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                          WHEN ('0x' || s[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1:], '') AS suf FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }
