@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_loss, read_turns
+from .embedding_dedup import near_duplicate_vectors
 from .exact_dedup import exact_dedup
 from .fim import fill_in_middle, restored
 from .html import extract
@@ -94,12 +95,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(load(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op8_html_extraction, op9_exact_dedup, op10_chat_formatting, op11_fill_in_middle, op13_whitening)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_mixing, op5_best_fit_packing, op6_simhash_near_dedup, op7_media_columns, op8_html_extraction, op9_exact_dedup, op10_chat_formatting, op11_fill_in_middle, op12_embedding_near_dedup, op13_whitening)}
 
 
 SQL = {
