@@ -29,6 +29,11 @@ PROBES = np.random.default_rng(5).integers(0, DRAWS * DRAWN, (64, DRAWS * DRAWN)
 MARKS = np.random.default_rng(6).integers(0, 2**64, DRAWS, np.uint64)
 #: Documents, and hashes of their shingles, of one task that compares documents.
 DOCS, HASHES = 1_024, 1 << 19
+#: Documents with one code whose sketches are compared in one task; more are told apart by a
+#: second code, a third, and so on.
+MOST = 2_048
+#: How many deviations below the wanted similarity an estimate from sketches may lie.
+SLACK = 4.5
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -286,16 +291,17 @@ def widened(hashes: np.ndarray, words: list[bytes], shingle: int, wide: int) ->
     return out ^ out >> np.uint64(29)
 
 
-def draws(hashes: np.ndarray) -> np.ndarray:
-    """The SimHash of each of DRAWS times DRAWN of a text's shingles.
+def draws(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The SimHash of each of DRAWS times DRAWN of a text's shingles, and a sketch: a byte of
+    each drawn shingle.
 
     The hashes fall into parts, of which each gives its least shingle; an empty part
     takes that of another. So two texts draw the same shingle with the
-    probability of their Jaccard similarity, in short texts as in long ones.
-    A text of no words draws nothing.
+    probability of their Jaccard similarity, in short texts as in long ones, and the
+    share of equal bytes estimates it. A text of no words draws nothing.
     """
     if not len(hashes):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), bytes(DRAWS * DRAWN)
     none = np.uint64(2**64 - 1)
     least = np.full(DRAWS * DRAWN, none, np.uint64)
     np.minimum.at(least, (hashes >> np.uint64(32)) % np.uint64(len(least)), hashes * _ODD[0])
@@ -310,7 +316,15 @@ def draws(hashes: np.ndarray) -> np.ndarray:
         least[empty] = least[source]
     bits = np.unpackbits(least.astype(">u8").view(np.uint8).reshape(DRAWS, DRAWN, 8), axis=2).sum(axis=1, dtype=np.uint8)
     codes = np.packbits(2 * bits > DRAWN, axis=1).view(">u8").ravel().astype(np.uint64)
-    return (codes ^ MARKS).view(np.int64)
+    return (codes ^ MARKS).view(np.int64), (least >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def may_be(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Whether texts with these sketches (bytes in the last axis) and this smaller number of
+    shingles may have a similarity of ``least``, but for ``SLACK`` deviations."""
+    equal = (left == right).mean(axis=-1, dtype=np.float32)
+    return equal >= least - SLACK * np.sqrt(least * (1 - least) / np.clip(sizes, 1, DRAWS * DRAWN))
+
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, least: float) -> list[tuple[int, int]]:
@@ -348,34 +362,131 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, least: float
     return found
 
 
+def text_set(text: pa.Scalar, words: int, shingle: int) -> np.ndarray:
+    """The sorted hashes of a text's runs of ``words`` words, each once."""
+    found = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+    return np.unique(widened(shingle_hashes(found, shingle, 42), found, shingle, words))
+
+
+def star_links(pairs: DataFrame, texts: DataFrame, least: float, words: int, shingle: int) -> DataFrame:
+    """The (n, hub) of ``pairs`` whose texts are similar: each hub's text goes to the tasks of
+    its documents, so that a hub of a third of all documents is many tasks."""
+    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / DOCS).cast("int").alias("tasks"))
+    many = table(many)
+    rays = pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("n"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("ray"), "n")
+    hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("ray"), F.col("hub").alias("n"))
+    meet = rays.unionByName(hubs).join(texts, "n").select("hub", "task", "ray", "n", "text")
+
+    def compare(batches):
+        hub, own = None, None
+        for batch in batches:
+            which, ray, n = (batch.column(c).to_pylist() for c in ("hub", "ray", "n"))
+            column, out = batch.column("text").cast(pa.binary()), []
+            for i in range(len(batch)):
+                found = text_set(column[i], words, shingle)
+                if not ray[i]:
+                    hub, own = which[i], found
+                elif hub == which[i]:
+                    common = len(np.intersect1d(own, found, assume_unique=True))
+                    total = len(own) + len(found) - common
+                    if not total or common / total >= least:
+                        out.append((n[i], hub))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+
+    return meet.repartition("hub", "task").sortWithinPartitions("hub", "task", "ray").mapInArrow(compare, "a long, b long")
+
+
+def open_buckets(member: DataFrame, drawn: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, n, comp) of buckets that hold several components and ``MOST`` documents at
+    most, and of larger ones that no further code divides (None: there is none).
+
+    ``member`` has bucket, n, comp and last (the draw that the bucket's last code comes from). A
+    larger bucket is divided by each of the draws after it: similar texts share many
+    codes, texts that share a passage share few."""
+    done, whole = None, None
+    while True:
+        sized = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("last").alias("at"))
+        sized = table(sized.where("low != high").select("bucket", "size", "at"))
+        member = member.join(sized, "bucket")
+        here = member.where(F.col("size") <= MOST).select("bucket", "n", "comp")
+        done = here if done is None else done.unionByName(here)
+        if sized.where((F.col("size") > MOST) & (F.col("at") == DRAWS - 1)).count():
+            rest = member.where((F.col("size") > MOST) & (F.col("at") == DRAWS - 1)).select("bucket", "n", "comp")
+            whole = rest if whole is None else whole.unionByName(rest)
+        if not sized.where((F.col("size") > MOST) & (F.col("at") < DRAWS - 1)).count():
+            return done, whole
+        large = member.where((F.col("size") > MOST) & (F.col("at") < DRAWS - 1)).select("bucket", "n", "comp", "last").join(drawn, "n")
+        further = large.select("bucket", "n", "comp", "last", F.posexplode("drawn").alias("place", "code")).where("place > last")
+        member = table(further.select(F.xxhash64("bucket", "code").alias("bucket"), "n", "comp", F.col("place").alias("last")))
+
+
 def similar_texts(rows: DataFrame, texts: DataFrame, least: float = 0.8, words: int = 5, shingle: int = 3) -> DataFrame:
     """Edges (a, b) between the ``n`` of ``rows`` whose components are those of all pairs of
     texts with runs of ``words`` words of a Jaccard similarity of ``least`` or more.
 
-    ``rows`` has n, rid, size (runs of words) and drawn (see ``draws``), ``texts`` rid and
-    text. Texts that share a drawn fingerprint form clusters, and all pairs within a
-    cluster are compared by their whole texts. A cluster too large for one
-    task is dealt into parts by a hash, and every two parts meet in a
-    task; tasks emit a spanning forest.
+    ``rows`` has n, rid, size (distinct runs of words), drawn and sketch (see ``draws``), ``texts`` rid and
+    text. Texts with a drawn code in common are a bucket. First each is compared with the first of its
+    buckets, by sketches, then by whole texts where these may be similar; a group of
+    near copies is one component after that, at a cost of its size. Of buckets that still hold
+    several components, all pairs are compared by their sketches; only documents with a pair
+    that may be similar, across components, are then compared by their whole texts. So texts that
+    share boilerplate and no more meet by sketches of 120 bytes, in buckets of bounded size, and
+    unverified pairs never join clusters. A set of documents with too much text for one task is dealt into parts,
+    and every two parts meet in a task; tasks emit a spanning forest.
     """
-    each = rows.select("n", F.explode("drawn").alias("code"))
-    many = table(each.groupBy("code").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("m")).where("times > 1").select("code", "m"))
-    clusters = components(each.join(many, "code").where("n != m").select(F.col("n").alias("a"), F.col("m").alias("b"))).withColumnRenamed("node", "n")
-    members = table(clusters.join(rows.select("n", "rid", "size"), "n"))
-    parts = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / DOCS, F.sum("size") / HASHES)).cast("int").alias("parts"))
-    members = table(members.join(parts, "root").select("rid", "n", "root", "parts", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int").alias("part")))
+    each = rows.select("n", F.posexplode("drawn").alias("last", "bucket"))
+    many = table(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("hub")).where("times > 1").select("bucket", "hub"))
+    member = table(each.join(many, "bucket"))
+    ids = member.select("n").distinct().join(rows.select("n", "rid"), "n")
+    texts = table(texts.join(ids, "rid").select("n", "text"))
+    sketches = rows.select("n", "size", "sketch")
+
+    def pass_on(batches):
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sketch", "hub_sketch"))
+            sizes = np.minimum(batch.column("size").to_numpy(), batch.column("hub_size").to_numpy())
+            yield batch.select(["n", "hub"]).filter(pa.array(may_be(left, right, sizes, least)))
+
+    pairs = member.where("n != hub").select("n", "hub").distinct().join(sketches, "n")
+    pairs = pairs.join(sketches.select(F.col("n").alias("hub"), F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch")), "hub")
+    stars = table(star_links(table(pairs.mapInArrow(pass_on, "n long, hub long")), texts, least, words, shingle))
+    joint = components(stars).withColumnRenamed("node", "n")
+    member = member.drop("hub").join(joint, "n", "left").select("bucket", "n", F.coalesce("root", "n").alias("comp"), "last")
+    small, whole = open_buckets(table(member), rows.select("n", "drawn"))
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        n, comp, size = (pdf[c].to_numpy() for c in ("n", "comp", "size"))
+        parent, hit = np.arange(len(n)), np.zeros(len(n), bool)
+        for lo in range(0, len(n), 64):
+            near = may_be(sketch[lo : lo + 64, None], sketch[None], np.minimum(size[lo : lo + 64, None], size), least)
+            a, b = np.nonzero(near & (comp[lo : lo + 64, None] != comp))
+            hit[a + lo] = hit[b] = True
+            join_up(parent, a + lo, b)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy()[hit], "root": n[parent[hit]], "n": n[hit]})
+
+    found = small.join(sketches, "n").groupBy("bucket").applyInPandas(candidates, "bucket long, root long, n long")
+    if whole is not None:
+        found = found.unionByName(whole.select("bucket", F.lit(-1).cast("long").alias("root"), "n"))
+    found = table(found.join(rows.select("n", "size"), "n"))
+    # The same documents meet in several buckets: they are compared in one.
+    sets = found.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("n")).alias("who"))
+    sets = sets.dropDuplicates(["docs", "hashes", "who"]).select("bucket", "root", F.ceil(F.greatest(F.col("docs") / DOCS, F.col("hashes") / HASHES)).cast("int").alias("parts"))
+    dealt = table(found.join(table(sets), ["bucket", "root"]).select("bucket", "root", "n", "parts", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int").alias("part")))
     meet = (
-        texts.join(members, "rid")
+        texts.join(dealt, "n")
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "n", "text")
+        .select("bucket", "root", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "n", "text")
     )
 
     def compare(batches):
         task, held = None, []
 
         def settle():
-            left = [(n, x) for part, n, x in held if part == task[1]]
-            right = [(n, x) for part, n, x in held if part == task[2]] if task[1] != task[2] else None
+            left = [(n, x) for part, n, x in held if part == task[2]]
+            right = [(n, x) for part, n, x in held if part == task[3]] if task[2] != task[3] else None
             if len(held) > 1 and left and (right is None or right):
                 got = similar([x for _, x in left], right and [x for _, x in right], least)
                 other = right or left
@@ -383,19 +494,19 @@ def similar_texts(rows: DataFrame, texts: DataFrame, least: float = 0.8, words:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
 
         for batch in batches:
-            root, p, q, part, n = (batch.column(c).to_pylist() for c in range(5))
-            column = batch.column(5).cast(pa.binary())
+            bucket, root, p, q, part, n = (batch.column(c).to_pylist() for c in range(6))
+            column = batch.column(6).cast(pa.binary())
             for k in range(len(batch)):
-                if (root[k], p[k], q[k]) != task:
+                if (bucket[k], root[k], p[k], q[k]) != task:
                     if task:
                         yield settle()
-                    task, held = (root[k], p[k], q[k]), []
-                found = column[k].as_buffer().to_pybytes().lower().split() if column[k].is_valid else []
-                held.append((part[k], n[k], np.unique(widened(shingle_hashes(found, shingle, 42), found, shingle, words))))
+                    task, held = (bucket[k], root[k], p[k], q[k]), []
+                held.append((part[k], n[k], text_set(column[k], words, shingle)))
         if task:
             yield settle()
 
-    return meet.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compare, "a long, b long")
+    key = ["bucket", "root", "p", "q"]
+    return stars.unionByName(meet.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2, shingle: int = 3, least: float = 0.8, words: int = 5) -> DataFrame:
@@ -424,10 +535,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
                 found = x.as_buffer().to_pybytes().lower().split() if x.is_valid else []
                 hashes = shingle_hashes(found, shingle, 42)
                 wide = widened(hashes, found, shingle, words)
-                out.append((majority(hashes), len(wide), draws(wide)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f for f, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), pa.array([d for _, _, d in out], pa.list_(pa.int64()))], ["rid", "key", "fingerprint", "size", "drawn"])
+                out.append((majority(hashes), len(np.unique(wide)), *draws(wide)))
+            code, size, drawn, sketch = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(code, pa.int64()), pa.array(size, pa.int64()), pa.array(drawn, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["rid", "key", "fingerprint", "size", "drawn", "sketch"])
 
-    schema = texts.select("rid", "key").schema.add("fingerprint", "long").add("size", "long").add("drawn", ArrayType(LongType()))
+    schema = texts.select("rid", "key").schema.add("fingerprint", "long").add("size", "long").add("drawn", ArrayType(LongType())).add("sketch", "binary")
     rows = table(texts.mapInArrow(run, schema).withColumn("n", F.monotonically_increasing_id()))
     repeated = not rows.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     if repeated:

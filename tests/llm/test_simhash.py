@@ -179,3 +179,83 @@ def test_blocks_with_many_guests_are_compared_in_several_tasks(spark, monkeypatc
     want = naive_components([c & (2**64 - 1) for c in codes], 2)
     groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
     assert groups({c & (2**64 - 1): got.get(c, c) & (2**64 - 1) for c in codes}) == groups(want)
+
+
+def written(monkeypatch):
+    """Rows of each table that near-dedup writes, by its columns."""
+    rows, write = {}, simhash.table
+
+    def table(df):
+        out = write(df)
+        key = " ".join(sorted(out.columns))
+        rows[key] = rows.get(key, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "table", table)
+    return rows
+
+
+def template_texts(rng, n, shared, own):
+    word = lambda k: [f"w{i}" for i in rng.integers(0, 10**6, k)]
+    template = word(shared)
+    return [" ".join(template + word(own)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("most", [16, 2048])
+def test_texts_that_share_a_template_cost_sketches_only(spark, monkeypatch, most):
+    """400 texts of similarity 0.33 to each other: no text of theirs is compared, whether
+    their buckets are small or divided by further codes."""
+    monkeypatch.setattr(simhash, "MOST", most)
+    rng = np.random.default_rng(6)
+    texts = template_texts(rng, 400, 150, 150)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = written(monkeypatch)
+    assert simhash.drop_near_duplicates(df).count() == 400
+    assert rows["bucket hub last n"] > 100  # they do share codes
+    assert rows["hub n"] == 0 and rows["bucket n root size"] == 0
+
+
+@pytest.mark.parametrize("most", [8, 64])
+def test_links_among_template_texts_are_found_in_divided_buckets(spark, monkeypatch, most):
+    """A large dense group, pairs that only reach 0.8 with each other, and a chain, all on one template."""
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "DOCS", 16)
+    rng = np.random.default_rng(7)
+    texts = template_texts(rng, 120, 100, 100)
+
+    def changed(text, k):
+        words = text.split()
+        for i in rng.choice(len(words), k, replace=False):
+            words[int(i)] = f"x{rng.integers(10**6)}"
+        return " ".join(words)
+
+    texts += [changed(texts[0], 1) for _ in range(90)]
+    for i in range(1, 30):
+        texts.append(changed(texts[i], 4))  # similarity around 0.82
+    for _ in range(6):
+        texts.append(changed(texts[-1], 3))
+    sets = [shingles(t) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8}
+    codes = [simhash.fingerprint(t.encode()) & (2**64 - 1) for t in texts]
+    near |= {(i, j) for i in range(len(texts)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() <= 2}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(root)
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(8)
+    for size in (8, 60, 200, 3000):
+        base = rng.integers(0, 2**63, size, np.uint64)
+        missed = passed = 0
+        for _ in range(60):
+            keep = int(round(size * 0.89))
+            near = np.concatenate([base[:keep], rng.integers(0, 2**63, size - keep, np.uint64)])  # 0.8
+            far = np.concatenate([base[: size // 2], rng.integers(0, 2**63, size - size // 2, np.uint64)])  # 0.33
+            a, b, c = (np.frombuffer(simhash.draws(x)[1], np.uint8) for x in (base, near, far))
+            missed += not simhash.may_be(a, b, np.array(size), 0.8)
+            passed += bool(simhash.may_be(a, c, np.array(size), 0.8))
+        assert missed == 0 and (size < 200 or passed == 0)
