@@ -21,6 +21,9 @@ ROWS_PER_GRAM = 16
 LEAST_COUNT, LEAST_RATE, LEAST_SHARE = 3, 2.0**-18, 0.25
 #: Bits of one word of languages; bytes of text that are counted at a time.
 WORD, STEP = 63, 1 << 22
+#: Bytes of a filter at most: it goes to every worker. Some 60 languages fill 2^27 bytes at
+#: the most n-grams that the rate lets them have.
+MOST_BYTES = 1 << 29
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -95,7 +98,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     Grams are counted in all rows, whole texts, and combined before and in the
     exchange; a language's filter gets those that pass the three limits, at most
     1 / LEAST_RATE. What reaches the driver is a row for each filled filter row: at
-    most two for each n-gram of a filter.
+    most two for each n-gram of a filter. A filter above ``MOST_BYTES`` (thousands of
+    labels, which are no languages) is an error before anything is sent.
     """
 
     def count(batches):
@@ -120,7 +124,11 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
 
     labelled = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counts = table(labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).toPandas().sort_values("lang")
+    per_language = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    many = per_language.count()
+    if -(-many // WORD) * 8 * (1 << 10) > MOST_BYTES:
+        raise ValueError(f"{many} languages: their smallest filter passes {MOST_BYTES} bytes")
+    totals = per_language.toPandas().sort_values("lang")
     languages = totals["lang"].tolist()
     if not languages:
         return Filters([], np.zeros((1, 1), np.uint8), np.zeros(0), 0)
@@ -136,6 +144,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     )
     found = masks.select("gram").distinct().count()
     size = max(1 << 10, 1 << (ROWS_PER_GRAM * max(1, found) - 1).bit_length())
+    if size * (1 if many <= 8 else -(-many // WORD) * 8) > MOST_BYTES:
+        raise ValueError(f"{many} languages with {found} n-grams: their filter passes {MOST_BYTES} bytes")
 
     def place(batches):
         for batch in batches:
@@ -159,11 +169,12 @@ def identify(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
     short for a gram, or with none that any language has, gets the most usual
     language with score 0. Rows are independent.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    # Parts, not the object, whose class workers may not have.
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.bits, filters.false, filters.usual))
 
     def run(batches):
         enter("langid")
-        f = shared.value
+        f = Filters(*shared.value)
         for batch in batches:
             found = [f.predict(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [key, "lang_pred", "score"])
@@ -182,7 +193,7 @@ def keep_identified(docs: DataFrame, filters: Filters, text: str = "text", least
 
     Filters that hold no gram, as no row has a label or all labelled texts are too
     few, can tell no languages apart; then every text with a letter stays."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.bits, filters.false, filters.usual))
     blank = not filters.bits.any()
 
     def keeps(f: Filters, x: str | None) -> bool:
@@ -195,7 +206,7 @@ def keep_identified(docs: DataFrame, filters: Filters, text: str = "text", least
     @F.arrow_udf("boolean")
     def stays(texts: pa.Array) -> pa.Array:
         enter("langid")
-        f = shared.value
+        f = Filters(*shared.value)
         return pa.array([keeps(f, x.as_py()) for x in texts], pa.bool_())
 
     return docs.where(stays(F.col(text)))

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,10 +339,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     text counts as empty. Workers map the model's files and touch only the pages
     that their words need; rows are independent.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # As bytes that hold the class too, which workers may not have.
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches):
-        arrays = Arrays(shared.value)
+        arrays = Arrays(cloudpickle.loads(shared.value))
         for batch, rows, hashes, sizes in _tokens(batches, SCORE_STEP):
             known, base, full = arrays.score(hashes, sizes)
             yield pa.RecordBatch.from_arrays(

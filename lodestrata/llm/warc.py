@@ -228,7 +228,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
             ids, urls, firsts, first_urls = (batch.column(c).to_pylist() for c in ("id", "url", "first", "first_url"))
             for i, x in enumerate(batch.column("payload")):
                 payload = x.as_buffer().to_pybytes()
-                legacy = legacy_record(urls[i], payload, i if ids[i] is None else ids[i])
+                legacy = legacy_record(urls[i], payload, zlib.crc32(payload) if ids[i] is None else ids[i])
                 (record,) = read_arc(io.BytesIO(write_arc([legacy], legacy.version, legacy.fields["date"])))
                 original = None
                 if firsts[i] is not None and firsts[i] != ids[i]:
