@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import kurtosis_g2, skew_g1
 from .checks import keys
+from .selection import column_quantiles, group_quantiles, quantiles
 
 
 def known_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -70,70 +71,6 @@ def summary(df: DataFrame, by: str | Sequence[str], value: str) -> DataFrame:
     return out.join(group_quantiles(rows, keys(by), value, {"median": 0.5}), keys(by), "left")
 
 
-def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float], accuracy: int = 10_000) -> DataFrame:
-    """Exact quantiles of each group, linear between ranks: the columns of ``by``, which must
-    be complete, and one for each name in ``probabilities``.
-
-    A bounded sketch of each group brackets the wanted ranks. Then rows below a bracket
-    are only counted, and what is ranked are the distinct values inside it, some
-    ten-thousandth of a group; so a group may hold all rows of a table. Null values
-    are left out; a group of nothing else has no row.
-    """
-    x, n, lo, hi, at = "__x", "__n", "__lo", "__hi", "__at"
-    q = list(probabilities.values())
-    rows = df.select(*by, F.col(value).cast("double").alias(x)).where(F.col(x).isNotNull())
-    near = F.array(*(F.lit(min(1.0, max(0.0, p + side * 3 / accuracy))) for p in q for side in (-1, 1)))
-    rough = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(n), F.percentile_approx(x, near, F.lit(accuracy)).alias("__near"), F.min(x).alias("__least"), F.max(x).alias("__most"))
-    # A group small enough is its own bracket, as ranks lie further apart there.
-    small = F.col(n) <= accuracy
-    brackets = F.array(*(F.struct(F.lit(i).alias(at), F.when(small, F.col("__least")).otherwise(F.col("__near")[2 * i]).alias(lo), F.when(small, F.col("__most")).otherwise(F.col("__near")[2 * i + 1]).alias(hi)) for i in range(len(q))))
-    wanted = rough.select(*by, n, F.explode(brackets).alias("b")).select(*by, n, f"b.{at}", f"b.{lo}", f"b.{hi}")
-    inside = rows.join(wanted, list(by)) if by else rows.crossJoin(F.broadcast(wanted))
-    inside = inside.where(F.col(x) <= F.col(hi)).groupBy(*by, n, at, F.when(F.col(x) >= F.col(lo), F.col(x)).alias(x)).agg(F.count(F.lit(1)).alias("__k"))
-    upto = F.sum("__k").over(Window.partitionBy(*by, at).orderBy(F.col(x).asc_nulls_first()))
-    place = F.element_at(F.array(*(F.lit(float(p)) for p in q)), F.col(at) + 1) * (F.col(n) - 1)
-    ranked = inside.withColumns({"__upto": upto, "__place": place}).where(F.col(x).isNotNull())
-    least = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col(x)))
-    low, high = least(F.floor("__place")), least(F.ceil("__place"))
-    each = ranked.groupBy(*by, at).agg((low + (high - low) * (F.max("__place") - F.floor(F.max("__place")))).alias(x))
-    return each.groupBy(*by).agg(*(F.max(F.when(F.col(at) == i, F.col(x))).alias(name) for i, name in enumerate(probabilities)))
-
-
-def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
-    """Exact quantiles, linear between ranks, of a column of any length.
-
-    Values are sorted by range partitions; each counts its own (one row a
-    partition), and only values at the wanted ranks reach the driver. No task
-    holds more than its range, unlike ``percentile`` over a whole table.
-    """
-    values = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    ranked = values.orderBy("x").select("x", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
-    ranked = ranked.persist()
-    try:
-        sizes = ranked.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first")).orderBy("p").collect()
-        n = sum(r["n"] for r in sizes)
-        if not n:
-            return [None] * len(probabilities)
-        wanted = {}
-        for q in probabilities:
-            at = q * (n - 1)
-            wanted.update({math.floor(at): None, math.ceil(at): None})
-        ids, before = {}, 0
-        for r in sizes:
-            ids.update({r["first"] + k - before: k for k in wanted if before <= k < before + r["n"]})
-            before += r["n"]
-        for r in ranked.where(F.col("i").isin(list(ids))).collect():
-            wanted[ids[r["i"]]] = r["x"]
-        out = []
-        for q in probabilities:
-            at = q * (n - 1)
-            low, high = wanted[math.floor(at)], wanted[math.ceil(at)]
-            out.append(low + (high - low) * (at - math.floor(at)))
-        return out
-    finally:
-        ranked.unpersist()
-
-
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """Values with count, share, rank and cumulative share, most frequent first; ties by
     value. The windows run over distinct values only."""
@@ -257,7 +194,7 @@ def with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns filled with their median, then less their mean, over their sample deviation."""
-    fill = {c: quantiles(df, c, [0.5])[0] for c in columns}
+    fill = {c: q for c, (q,) in column_quantiles(df, columns, [0.5]).items()}
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in columns})
     m = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
     return filled.withColumns({c: (F.col(c) - F.lit(m[f"m_{c}"])) / F.nullif(F.lit(m[f"s_{c}"]), F.lit(0.0)) for c in columns})

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from .aggregates import group_quantiles, known_keys, quantiles
+from .aggregates import known_keys
 from .checks import keys, require_all, require_unique
+from .selection import group_quantiles, quantiles
 
 
 def global_median(train: DataFrame, target: DataFrame, value: str, name: str = "prediction") -> DataFrame:

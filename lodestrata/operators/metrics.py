@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from ..functions.text import true_false
-from .aggregates import group_quantiles
 from .checks import require_all
+from .selection import group_quantiles
+from .stored import stored
 
 COLUMNS = ["n", "rmsle", "multiple", "mdape", "r2_log", "mae", "mape", "aggregate", "aggregate_corrected"]
 
@@ -60,21 +61,22 @@ def aggregates(truth: str, prediction: str, duan: float = 1.0) -> list[Column]:
 def evaluate(df: DataFrame, truth: str, prediction: str, axes: Sequence[str] = (), duan: float = 1.0, whole: tuple[str, str] = ("all", "all")) -> DataFrame:
     """One row for the whole and one for each value of each axis: axis, group, metrics.
 
-    Sums come from a single aggregation: each input row is counted under
-    the whole and under its value on each axis; medians are ranked within narrow
-    brackets, so that no task holds the errors of a stratum. A null value is left out of its
+    The scored rows are written once. Sums come from a single aggregation: each row is counted under
+    the whole and under its value on each axis; medians come by selection
+    (``long_quantiles``), so that no task holds the errors of a stratum. A null value is left out of its
     axis but not of the whole. Flags are written True and False. A truth of zero or
     less is an error.
     """
     types = dict(df.dtypes)
     named = lambda a: true_false(F.col(a)) if types[a] == "boolean" else F.col(a).cast("string")
     strata = [F.struct(F.lit(whole[0]).alias("axis"), F.lit(whole[1]).alias("group"))] + [F.struct(F.lit(a).alias("axis"), named(a).alias("group")) for a in axes]
-    rows = checked(df, truth, prediction).select(F.col(truth), F.col(prediction), F.explode(F.array(*strata)).alias("s")).where("s.group is not null")
+    narrow = stored(checked(df, truth, prediction).select(*dict.fromkeys([truth, prediction, *axes])))
+    rows = narrow.select(F.col(truth), F.col(prediction), F.explode(F.array(*strata)).alias("s")).where("s.group is not null")
     t = F.expm1(F.col(truth))
-    relative = F.when(t > 0, F.abs(F.expm1(F.col(prediction)) - t) / t).otherwise(F.raise_error(F.lit("a truth is zero or less")).cast("double"))
-    found = rows.groupBy("s.axis", "s.group").agg(*aggregates(truth, prediction, duan))
+    relative = F.when(t > 0, F.abs(F.expm1(F.col(prediction)) - t) / t)
+    found = require_all(rows, t > 0, "a truth is zero or less").groupBy("s.axis", "s.group").agg(*aggregates(truth, prediction, duan))
     medians = group_quantiles(rows.select("s.axis", "s.group", relative.alias("off")), ["axis", "group"], "off", {"mdape": 0.5})
-    return found.join(medians.withColumn("mdape", 100 * F.col("mdape")), ["axis", "group"]).select("axis", "group", *COLUMNS)
+    return found.join(medians.withColumn("mdape", 100 * F.col("mdape")), ["axis", "group"], "left").select("axis", "group", *COLUMNS)
 
 
 def residuals(df: DataFrame, truth: str, prediction: str, axes: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean
-from .aggregates import quantiles
+from .selection import column_quantiles
 from .linear import moments
 from .redundancy import greedy_filter
 
@@ -47,7 +47,7 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         numeric, categorical = self.getOrDefault("numeric"), self.getOrDefault("categorical")
         values = [clean(F.col(c).cast("double")) for c in numeric]
         stats = dataset.agg(*(F.count_if(v.isNull()).alias(f"n{i}") for i, v in enumerate(values)), *(F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)))).alias(f"l{i}") for i, c in enumerate(categorical))).first()
-        medians = {c: quantiles(dataset.select(v.alias(c)), c, [0.5])[0] or 0.0 for c, v in zip(numeric, values, strict=True)}
+        medians = {c: q or 0.0 for c, (q,) in column_quantiles(dataset.select(*(v.alias(c) for c, v in zip(numeric, values, strict=True))), numeric, [0.5]).items()}
         flags = [c for i, c in enumerate(numeric) if stats[f"n{i}"]]
         levels = {c: list(stats[f"l{i}"]) for i, c in enumerate(categorical)}
         names = [*numeric, *(f"missing_{c}" for c in flags)]

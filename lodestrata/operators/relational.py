@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import key_profile, keys
+from .stored import stored
 
 # Scans
 
@@ -17,12 +18,13 @@ def load_tables(tables: dict[str, DataFrame], key: Sequence[str], drop: dict[str
     """Tables without repeated rows, redundant columns and clashing names.
 
     Apart from the key no name may occur twice; with ``equal_rows`` all tables
-    must have as many rows as the first.
+    must have as many rows as the first. Each cleaned table is written once, as its
+    rows are counted, profiled and joined.
     """
     out: dict[str, DataFrame] = {}
     for name, df in tables.items():
         df = df.dropDuplicates().drop(*(drop or {}).get(name, ()))
-        out[name] = df.withColumnsRenamed((rename or {}).get(name, {}))
+        out[name] = stored(df.withColumnsRenamed((rename or {}).get(name, {})))
     seen: dict[str, str] = {}
     for name, df in out.items():
         for c in df.columns:
@@ -152,7 +154,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     without partitions would sort everything in one task.
     """
     rows = df.orderBy(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
-    rows = rows.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+    rows = stored(rows)
     sizes = rows.groupBy("__p").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = sizes.select("__p", (before - F.col("__first")).alias("__shift"))

@@ -8,6 +8,7 @@ from ..functions import numeric
 from ..operators import aggregates as agg
 from ..operators import deflate, drift, linear, models, redundancy, relational, splits
 from ..operators.preprocess import Preprocessor
+from ..operators.stored import stored
 from .case import Catalogue, model_table, panel, rounded, t, with_
 from .evaluation import price_index
 
@@ -138,10 +139,10 @@ def psi_sql(c: str, a: str = "train", b: str = "test") -> str:
 
 @QUERIES.add(with_("model") + " " + " UNION ALL ".join(psi_sql(c) for c in ("quantity", "value", "balance")))
 def q11_psi(spark, d):
-    m = model_table(spark, d).where("split in ('train', 'test')").select("split", "quantity", "value", "balance").persist()
-    rows = [(c, drift.psi(m.where("split = 'train'"), m.where("split = 'test'"), c)) for c in ("quantity", "value", "balance")]
-    m.unpersist()
-    return rounded(spark.createDataFrame(rows, "feature string, psi double"))
+    columns = ["quantity", "value", "balance"]
+    m = model_table(spark, d)
+    rows = stored(drift.long_form(m.where("split = 'train'"), m.where("split = 'test'"), columns))
+    return rounded(spark.createDataFrame([(c, v[0]) for c, v in drift.stability(rows, columns).items()], "feature string, psi double"))
 
 
 def ks_sql(c: str, a: str = "train", b: str = "test") -> str:
@@ -157,6 +158,15 @@ def q12_ks(spark, d):
     return rounded(drift.ks_statistic(m, "value", F.col("split") == "train"), 8)
 
 
+@QUERIES.add()
+def q12_ks_exact(spark, d):
+    """Exact p-values by lattice paths, of all columns; tested against counted paths."""
+    m = model_table(spark, d)
+    rows = stored(drift.long_form(m.where("split = 'test'"), m.where("split = 'held_out'"), DRIFTING))
+    out = drift.with_exact(drift.distances(rows))
+    return rounded(out.select("feature", "ks", "n_a", "n_b", drift.asymptotic(F.col("ks"), F.col("n_a"), F.col("n_b")).alias("p_value"), "p_exact"), 8)
+
+
 DRIFTING = ["quantity", "value", "returned", "balance"]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numeric
 from ..operators import aggregates as agg
 from ..operators import baselines, deflate, metrics, splits
+from ..operators.stored import stored
 from .case import HELD_OUT, Catalogue, events, exact, model_table, panel, rounded, t, with_
 
 QUERIES = Catalogue()
@@ -139,7 +140,7 @@ def a24_grouped_correlations(spark, d):
 @QUERIES.add(with_("panel") + """, f AS (SELECT entity, period, coalesce(returned, median(returned) OVER ()) AS returned, coalesce(n, median(n) OVER ()) AS n FROM (SELECT *, nullif(orders, 1)::DOUBLE AS n FROM panel))
     SELECT entity, period, round((returned - avg(returned) OVER ()) / stddev_samp(returned) OVER (), 6) AS returned, round((n - avg(n) OVER ()) / stddev_samp(n) OVER (), 6) AS n FROM f""")
 def a26_standardised(spark, d):
-    p = panel(spark, d).select("entity", "period", "returned", F.nullif("orders", F.lit(1)).cast("double").alias("n"))
+    p = stored(panel(spark, d)).select("entity", "period", "returned", F.nullif("orders", F.lit(1)).cast("double").alias("n"))
     return rounded(agg.standardised(p, ["returned", "n"]))
 
 
@@ -226,7 +227,7 @@ MEDIANS = with_("model") + """, w AS (SELECT median(y) AS m FROM model WHERE spl
 
 @QUERIES.add(MEDIANS + " SELECT entity, period, round(global, 8) AS global, round(cell, 8) AS cell, cell_filled FROM b")
 def b2_medians(spark, d):
-    m = model_table(spark, d)
+    m = stored(model_table(spark, d))
     train, target = m.where("split = 'train'"), m.where("split in ('calibration', 'test')").select("entity", "period", "segment", "position")
     out = baselines.global_median(train, target, "y", "global").join(
         baselines.cell_median(train.where("position <> '5-LOW'").unionByName(train.where("position = '5-LOW'").withColumn("segment", F.lit(None).cast("string"))), target, "y", ["segment", "position"], "cell").select("entity", "period", "cell", "cell_filled"), ["entity", "period"]
@@ -239,7 +240,7 @@ CARRIED = MEDIANS + """, h AS (SELECT entity, period + 1 AS period, y AS carried
 
 
 def _carried(spark, d):
-    m = model_table(spark, d)
+    m = stored(model_table(spark, d))
     train, target = m.where("split = 'train'"), m.where("split in ('calibration', 'test')")
     out = baselines.carried_forward(m.where("split <> 'held_out'"), target, "entity", "period", "y", dates.previous_year, "carried")
     out = baselines.global_median(train, out, "y", "global")
@@ -275,7 +276,7 @@ STRATA = with_("model") + """, e AS (SELECT DISTINCT entity FROM model WHERE spl
     SELECT axis, "group", {measures("p", duan="max(duan)").replace("sum(exp(p) * max(duan) - 1)", "sum(exp(p) * duan - 1)")} FROM x GROUP BY 1, 2""")
 def m10_stratified_metrics(spark, d):
     """Panel, split, cell medians, smearing and metrics by stratum: the whole way."""
-    m = model_table(spark, d)
+    m = stored(model_table(spark, d))
     train = m.where("split = 'train'")
     early = train.where("period = 1995").select("entity").distinct().withColumn("k", F.lit(True))
     test = m.where("split = 'test'").join(early, "entity", "left").withColumn("known", F.coalesce("k", F.lit(False)))
@@ -286,7 +287,7 @@ def m10_stratified_metrics(spark, d):
 
 @QUERIES.add(STRATA + """, g AS (SELECT segment, m AS p, y FROM model JOIN c USING (segment) WHERE split = 'train') SELECT round(avg(exp(y - p)), 8) AS duan, count(*) AS n FROM g""")
 def m8_smearing(spark, d):
-    train = model_table(spark, d).where("split = 'train'")
+    train = stored(model_table(spark, d).where("split = 'train'"))
     scored = baselines.cell_median(train, train, "y", CELL)
     return rounded(spark.createDataFrame([(metrics.smearing(scored, "y", "prediction"), train.count())], "duan double, n long"), 8)
 
@@ -294,7 +295,7 @@ def m8_smearing(spark, d):
 @QUERIES.add(CARRIED + f"""SELECT 'covered' AS baseline, {measures("carried")} FROM f WHERE carried IS NOT NULL UNION ALL SELECT 'full', {measures("coalesce(carried, global)")} FROM f
     UNION ALL SELECT 'global', {measures("global")} FROM f""")
 def b5_baseline_metrics(spark, d):
-    out = _carried(spark, d)
+    out = stored(_carried(spark, d))
     runs = {"covered": (out.where("carried_covered"), "carried"), "full": (out, "full"), "global": (out, "global")}
     parts = [metrics.evaluate(df, "y", p).drop("axis", "group").withColumn("baseline", F.lit(name)) for name, (df, p) in runs.items()]
     return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
@@ -304,6 +305,6 @@ def b5_baseline_metrics(spark, d):
     x AS (SELECT 'segment' AS axis, segment AS "group", y, p FROM b UNION ALL SELECT 'decile', len(list_filter(list_sort(list_distinct(q))[2:-2], lambda e: e < y))::VARCHAR, y, p FROM b, q)
     SELECT axis, "group", count(*) AS n, round(avg(y - p), 6) + 0.0 AS mean, round(stddev_pop(y - p), 6) AS sd, round(avg(p), 6) AS mean_prediction FROM x GROUP BY 1, 2""")
 def m11_residuals(spark, d):
-    m = model_table(spark, d)
+    m = stored(model_table(spark, d))
     scored = baselines.cell_median(m.where("split = 'train'"), m.where("split = 'test'"), "y", CELL)
     return rounded(metrics.residuals(agg.quantile_bins(scored, "y", 10, "decile"), "y", "prediction", ["segment", "decile"]))
