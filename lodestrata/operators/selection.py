@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +41,10 @@ def _narrow(values: DataFrame, key: list[str], ranges: DataFrame) -> DataFrame:
     return mine.select(*key, "__rank", F.col("__a").alias("__low"), F.col("__b").alias("__high"), (F.col("__below") + F.col("__upto") - F.col("__k")).alias("__below"), F.col("__k").alias("__n"))
 
 
-def long_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def long_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], probabilities: Sequence[float] = (), places: Callable[[Column], Sequence[Column]] | None = None) -> DataFrame:
     """(the columns of ``by``, which must be complete; feature; q): for each group and column its
     exact quantiles, linear between ranks, as an array in the order of ``probabilities``.
+    ``places`` may give other ranks, from 0 and within the group, as expressions of its size.
 
     Null and NaN are left out; a group of nothing else has no row. A group of ``FEW``
     values at most is sorted in a task. Of larger ones each pass counts the parts of
@@ -56,7 +57,7 @@ def long_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], pro
     values = df.select(*by, F.explode(each).alias("__e")).select(*by, F.col("__e.f").alias("feature"), F.col("__e.x").alias("__x"))
     values = values.where(F.col("__x").isNotNull() & ~F.isnan("__x")).withColumn("__x", F.col("__x") + F.lit(0.0))
     key = [*by, "feature"]
-    place = lambda p, n: F.lit(float(p)) * (n - 1)
+    places = places or (lambda n: [F.lit(float(p)) * (n - 1) for p in probabilities])
 
     def between(at: Column, low: Column, high: Column) -> Column:
         return low + F.when(low == high, F.lit(0.0)).otherwise((high - low) * (at - F.floor(at)))
@@ -64,14 +65,14 @@ def long_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], pro
     def sorted_(rows: DataFrame) -> DataFrame:
         """Quantiles of groups that a task may sort."""
         s, n = F.col("__s"), F.size("__s")
-        q = [between(place(p, n), F.element_at(s, (F.floor(place(p, n)) + 1).cast("int")), F.element_at(s, (F.ceil(place(p, n)) + 1).cast("int"))) for p in probabilities]
+        q = [between(at, F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))) for at in places(n)]
         return rows.groupBy(*key).agg(F.sort_array(F.collect_list("__x")).alias("__s")).select(*key, F.array(*q).alias("q"))
 
     about = values.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__low"), F.max("__x").alias("__high"))
     large = stored(about.where(F.col("__n") > FEW))
     if large.isEmpty():
         return sorted_(values)
-    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p, F.col("__n"))), F.ceil(place(p, F.col("__n")))) for p in probabilities))))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at).cast("long"), F.ceil(at).cast("long")) for at in places(F.col("__n"))))))
     ranges = large.select(*key, F.explode(ranks).alias("__rank"), "__low", "__high", F.lit(0).cast("long").alias("__below"), "__n")
     found = None
     while True:
@@ -89,9 +90,8 @@ def long_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], pro
     few = few.groupBy(*at).agg(F.sort_array(F.collect_list("__x")).alias("__s"))
     several = found.join(few, at).select(*key, "__rank", F.element_at("__s", (F.col("__rank") - F.col("__below") + 1).cast("int")).alias("__v"))
     by_rank = single.unionByName(several).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m")).join(large.select(*key, "__n"), key)
-    v = lambda r: F.element_at(F.col("__m"), r)
-    n = F.col("__n")
-    chosen = by_rank.select(*key, F.array(*(between(place(p, n), v(F.floor(place(p, n))), v(F.ceil(place(p, n)))) for p in probabilities)).alias("q"))
+    v = lambda r: F.element_at(F.col("__m"), r.cast("long"))
+    chosen = by_rank.select(*key, F.array(*(between(at, v(F.floor(at)), v(F.ceil(at))) for at in places(F.col("__n")))).alias("q"))
     return sorted_(values.join(large.select(*key), key, "left_anti")).unionByName(chosen)
 
 
