@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .metrics import evaluate, residuals, smearing
 from .preprocess import Preprocessor
+from .stored import stored
 
 SEED = 20260829
 
@@ -158,7 +159,9 @@ def final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], ca
             model = PipelineModel([prepared, shorter.fit(prepared.transform(parts[train]))])
     predict = lambda df: model.transform(df) if back is None else model.transform(df).withColumn("prediction", back)
     duan = smearing(predict(parts[train]), target, "prediction")
-    scored = {k: predict(v) for k, v in parts.items() if k != train}
+    scored = {k: stored(predict(v).drop("features")) for k, v in parts.items() if k != train}
+    for v in parts.values():
+        v.unpersist()
     return Final(model, duan, {k: evaluate(v, target, "prediction", axes, duan) for k, v in scored.items()}, {k: residuals(v, target, "prediction", axes) for k, v in scored.items()} if axes else {})
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, numeric, text
 from ..operators import aggregates as agg
 from ..operators import checks, relational
-from ..sources import archives, provenance
+from ..operators.stored import shared_folder
+from ..sources import archives, files, provenance
 from .case import Catalogue, panel, rounded, t, with_
 
 QUERIES = Catalogue()
@@ -27,11 +28,32 @@ def s2_chain_join(spark, d):
     return relational.chain_join(list(parts.values()), "o_orderkey")
 
 
-@QUERIES.add("SELECT 'nation' AS what, count(*) AS n, count(DISTINCT n_nationkey) AS keys FROM nation")
+@QUERIES.add("""WITH h AS (SELECT sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders),
+    s AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT) AS a, sum(('0x' || substr(h, 16, 15))::BIGINT) AS b, sum(('0x' || substr(h, 31, 15))::BIGINT) AS c, sum(('0x' || substr(h, 46, 15))::BIGINT) AS d FROM h)
+    SELECT 'orders' AS what, n, sha256(concat_ws('-', a, b, c, d)) AS sha256 FROM s""")
 def s9_fingerprint(spark, d):
-    a, b = t(spark, d, "nation"), t(spark, d, "nation").repartition(7)
-    same = provenance.fingerprint(a).first() == provenance.fingerprint(b).first()
-    return provenance.fingerprint(a).select(F.lit("nation" if same else "differs").alias("what"), "n").join(a.agg(F.count_distinct("n_nationkey").alias("keys")), F.lit(True))
+    a = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    same = provenance.fingerprint(a).first() == provenance.fingerprint(a.repartition(7)).first()
+    return provenance.fingerprint(a).select(F.lit("orders" if same else "differs").alias("what"), "n", "sha256")
+
+
+@QUERIES.add("SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS size, nullif(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1), '') AS title FROM pages")
+def s12_zip_pages(spark, d):
+    """Pages packed into ZIP files in the shared folder, then read by tasks that share archives."""
+    folder = shared_folder(spark)
+    pages = t(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), "html")
+    files.write_zip(pages, "name", "html", folder).agg(F.sum("members")).first()
+    back = files.read_zip(spark, folder, part_bytes=1 << 20)
+    page = F.decode("content", "UTF-8")
+    return back.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), "size", archives.extracted(page, "<title>([^<]*)</title>").alias("title"))
+
+
+@QUERIES.add("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 100 AND c_custkey >= 10")
+def s1_sqlite_rows(spark, d):
+    """Customers in SQLite files in the shared folder, read in ranges of row ids with pushed filters."""
+    folder = shared_folder(spark).removeprefix("file://")
+    files.write_sqlite(t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "customer", folder).agg(F.sum("members")).first()
+    return files.read_sqlite(spark, folder, "customer", rows=500).where("c_acctbal > 100 and c_custkey >= 10")
 
 
 @QUERIES.add("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import MEMBER_BYTES, read_zip
+
 #: A page's canonical address: a link element of that kind, with its attributes in either order and quoting.
 _LINK = re.compile(r"<link\b[^>]*>", re.I)
 _KIND = re.compile(r"""\brel\s*=\s*["']?canonical\b""", re.I)
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
-#: Archives up to this size come with their rows; larger ones are opened where they lie.
-IN_ROW = 1 << 28
 
 
 def canonical(page: str) -> str | None:
@@ -26,36 +24,16 @@ def canonical(page: str) -> str | None:
     return None
 
 
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+def zip_entries(spark: SparkSession, path: str, part_bytes: int = MEMBER_BYTES) -> DataFrame:
     """(archive, name, modified, size, canonical) of every page in the ZIP files at a path.
 
-    An archive is one task's work; its pages are read one at a time, each as a whole.
-    Archives above IN_ROW bytes are read in place, so they must lie in a store that
-    ``pyarrow.fs`` opens (local, HDFS, S3, GCS)."""
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    names = ["archive", "name", "modified", "size", "canonical"]
-
-    def run(batches):
-        from pyarrow import fs
-
-        for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if content.is_valid:
-                    source = io.BytesIO(content.as_buffer())
-                else:
-                    store, at = fs.FileSystem.from_uri(where)
-                    source = store.open_input_file(at)
-                with source, zipfile.ZipFile(source) as z:
-                    for e in z.infolist():
-                        if not e.is_dir():
-                            modified = "%04d-%02d-%02d %02d:%02d:%02d" % e.date_time
-                            row = (where.rsplit("/", 1)[-1], e.filename, modified, e.file_size, canonical(z.read(e).decode("utf-8", "replace")))
-                            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= IN_ROW).select("path", "content")
-    large = files.where(F.col("length") > IN_ROW).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large).mapInArrow(run, "archive string, name string, modified string, size long, canonical string")
+    An archive's members are spread over tasks and read one at a time, each as a whole."""
+
+    @F.arrow_udf("string")
+    def address(pages: pa.Array) -> pa.Array:
+        return pa.array([canonical(p.as_buffer().to_pybytes().decode("utf-8", "replace")) for p in pages], pa.string())
+
+    return read_zip(spark, path, part_bytes=part_bytes).select("archive", "name", "modified", "size", address(F.coalesce("content", F.lit(b""))).alias("canonical"))
 
 
 def archive_summary(entries: DataFrame, season: Column) -> DataFrame:

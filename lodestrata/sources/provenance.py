@@ -9,9 +9,15 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .files import _store, files_below
+
+#: Bytes that one task hashes of a file.
+CHUNK = 64 << 20
+
 
 def file_sha256(path: str | Path) -> str:
     with open(path, "rb") as f:
@@ -33,6 +39,41 @@ def directory_fingerprint(spark, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+def tree_hashes(spark: SparkSession, path: str, suffix: str = "", chunk: int = CHUNK) -> DataFrame:
+    """(file, length, tree_sha256) of the files with a suffix at or below a path, of any size.
+
+    A file is cut into chunks of ``chunk`` bytes, each read and hashed in a task; the
+    file's hash is the SHA-256 of its chunks' digests, one after the other (of nothing for an
+    empty file). It depends on the chunk's size, not on tasks. The driver sees names
+    and lengths only."""
+    sizes = []
+    for name in files_below(path, suffix):
+        store, at = _store(name)
+        sizes.append((name, store.get_file_info(at).size))
+    files = spark.createDataFrame(sizes, "path string, length long")
+    parts = files.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / chunk) - 1, F.lit(0).cast("long")))))
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for name, i in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                store, at = _store(name)
+                with store.open_input_file(at) as f:
+                    f.seek(i * chunk)
+                    left, digest = chunk, hashlib.sha256()
+                    while left and (block := f.read(min(left, 1 << 20))):
+                        digest.update(block)
+                        left -= len(block)
+                digests.append(digest.digest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["path", "length", "i", "digest"])
+
+    many = max(1, min(10_000, sum(-(-n // chunk) for _, n in sizes)))
+    hashed = parts.repartition(many, "path", "i").mapInArrow(run, "path string, length long, i long, digest binary")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", F.hex("digest").alias("d")))), lambda x: x["d"])
+    whole = F.when(F.col("length") > 0, F.sha2(F.unhex(F.array_join("d", "")), 256)).otherwise(F.lit(hashlib.sha256().hexdigest()))
+    return hashed.groupBy("path", "length").agg(ordered.alias("d")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", whole.alias("tree_sha256"))
+
+
 def agrees(expected: str | None, found: str, strict: bool = True) -> bool:
     """Whether a fingerprint is the expected one; ``strict`` raises if it is not."""
     same = expected == found

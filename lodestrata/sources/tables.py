@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..functions.numeric import clean_frame
+from .files import read_sqlite  # noqa: F401  one of the readers
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -26,23 +27,6 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return clean_frame(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load())
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of an SQLite file, opened read-only and read as a whole on the driver.
-
-    SQLite files cannot be read in parallel; for more than some millions of rows
-    export to Parquet, or use ``read_jdbc`` with a driver."""
-    import sqlite3
-
-    import pyarrow as pa
-
-    with sqlite3.connect(f"file:{Path(path).resolve()}?mode=ro", uri=True) as db:
-        cursor = db.execute(f'SELECT * FROM "{table.replace(chr(34), chr(34) * 2)}"')
-        names = [d[0] for d in cursor.description]
-        rows = cursor.fetchall()
-    columns = [pa.array([r[i] for r in rows]) for i in range(len(names))]
-    return clean_frame(spark.createDataFrame(pa.table([c.cast(pa.string()) if pa.types.is_null(c.type) else c for c in columns], names)))
-
-
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)

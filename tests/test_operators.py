@@ -193,7 +193,7 @@ def test_fingerprints(spark, tmp_path):
     assert m["rows"] == {"stage 1": 3} and m["parameters"] == {"seasons": [1, 2], "at": [1, 2]} and m["inputs"]["file"]["sha256"] == sha
 
 
-def test_files(spark, tmp_path, monkeypatch):
+def test_files(spark, tmp_path):
     import sqlite3
     import zipfile
 
@@ -214,10 +214,8 @@ def test_files(spark, tmp_path, monkeypatch):
         z.writestr("s1/a.html", '<link rel="canonical" href="http://a/1">')
         z.writestr("s1/b.html", "none")
     whole = archives.zip_entries(spark, str(tmp_path / "z.zip"))
-    with monkeypatch.context() as m:  # as if the archive were too large for a row
-        m.setattr(archives, "IN_ROW", 0)
-        entries = archives.zip_entries(spark, str(tmp_path / "z.zip"))
-        assert sorted(entries.collect()) == sorted(whole.collect())
+    entries = archives.zip_entries(spark, str(tmp_path / "z.zip"), part_bytes=1)  # a task for each member
+    assert entries.rdd.getNumPartitions() == 2 and sorted(entries.collect()) == sorted(whole.collect())
     assert archives.canonical("<p>" * 100_000 + "<LINK href='http://b' rel='canonical'>") == "http://b"
     assert values(entries, "name", "canonical") == [("s1/a.html", "http://a/1"), ("s1/b.html", None)]
     assert values(archives.archive_summary(entries, F.substring_index("name", "/", 1)), "season", "n") == [("s1", 2)]
