@@ -6,16 +6,20 @@ import math
 import random
 import statistics
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import Boosting
 from .metrics import evaluate, residuals, smearing
 from .preprocess import Preprocessor
 from .stored import stored
+from .tpe import TPE
 
 SEED = 20260829
 
@@ -29,8 +33,8 @@ def random_forest(n_estimators: int = 100, max_depth: int = 10, min_samples_leaf
     return RandomForestRegressor(numTrees=n_estimators, maxDepth=min(30, max_depth), minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=str(max_features), seed=seed)
 
 
-def boosting(n_estimators: int = 50, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 0.8, min_samples_leaf: int = 5, seed: int = SEED):
-    return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, minInstancesPerNode=min_samples_leaf, seed=seed)
+def boosting(n_estimators: int = 50, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 0.8, min_child_weight: float = 5, reg_lambda: float = 1.0, colsample_bytree: float = 1.0, seed: int = SEED):
+    return Boosting(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsample=subsample, minChildWeight=float(min_child_weight), regLambda=reg_lambda, colsample=colsample_bytree, seed=seed)
 
 
 def rounds(errors: Sequence[float], patience: int = 50) -> int:
@@ -52,7 +56,7 @@ MODELS = {"elastic_net": elastic_net, "random_forest": random_forest, "boosting"
 SPACES: dict[str, dict[str, tuple]] = {
     "elastic_net": {"alpha": ("log", 1e-4, 1.0), "l1_ratio": ("uniform", 0.0, 1.0)},
     "random_forest": {"n_estimators": ("int", 50, 300, 50), "max_depth": ("int", 4, 16, 2), "min_samples_leaf": ("int", 1, 10, 1), "max_features": ("uniform", 0.2, 1.0)},
-    "boosting": {"n_estimators": ("int", 20, 100, 10), "max_depth": ("int", 2, 8, 1), "learning_rate": ("log", 0.02, 0.3), "subsample": ("uniform", 0.5, 1.0), "min_samples_leaf": ("int", 1, 20, 1)},
+    "boosting": {"n_estimators": ("int", 20, 100, 10), "max_depth": ("int", 2, 8, 1), "learning_rate": ("log", 0.02, 0.3), "subsample": ("uniform", 0.5, 1.0), "min_child_weight": ("int", 1, 20, 1), "reg_lambda": ("log", 1e-3, 1e2), "colsample_bytree": ("uniform", 0.3, 1.0)},
 }
 
 
@@ -107,29 +111,70 @@ class Search:
         return spark.createDataFrame(rows, "trial int, state string, score double, params map<string,double>")
 
 
-def search(df: DataFrame, model: str, numeric: Sequence[str], categorical: Sequence[str], target: str, fold: str, n: int = 20, seed: int = SEED, prune_after: int = 5) -> Search:
-    """Random search under grouped folds. From ``prune_after`` trials on, one whose mean so
-    far is above the median of earlier trials at that fold is given up."""
+def search(df: DataFrame, model: str, numeric: Sequence[str], categorical: Sequence[str], target: str, fold: str, n: int = 20, seed: int = SEED, prune_after: int = 10, parallel: int = 1) -> Search:
+    """Search by tree-structured Parzen densities under grouped folds (see ``optimise``)."""
+
+    def trial(point: dict[str, float], after: Callable[[int, float], bool]) -> float:
+        return statistics.fmean(fold_scores(df, build(MODELS[model](**point), numeric, categorical, target), target, fold, after))
+
+    return optimise(trial, SPACES[model], n, seed, prune_after, parallel)
+
+
+def optimise(trial: Callable[[dict, Callable[[int, float], bool]], float], space: dict[str, tuple], n: int, seed: int = SEED, prune_after: int = 10, parallel: int = 1) -> Search:
+    """The point of least score among ``n`` trials. ``trial`` gets a point and a function that it may
+    tell after each fold how many are done and their mean, and that says whether to give up.
+
+    ``parallel`` trials run at once, each as jobs of a pool of its own. They are suggested
+    together, count as poor for one another, and are held only against trials of earlier rounds; so the same seed
+    gives the same trials whichever ends first. From ``prune_after`` trials on, one whose mean so far is above the
+    median of earlier trials at that fold is given up; the first fold gives up none. It still tells
+    the densities what it knows."""
+    sampler, found = TPE(space, seed), Search({}, math.inf)
     history: dict[int, list[float]] = {}
-    found = Search({}, math.inf)
-    for i, point in enumerate(draws(SPACES[model], n, seed)):
+
+    def run(number: int, point: dict[str, float]) -> dict:
+        means: list[float] = []
         pruned = False
 
         def after(done: int, mean: float) -> bool:
             nonlocal pruned
-            before = history.setdefault(done, [])
-            pruned = i >= prune_after and len(before) > 0 and mean > statistics.median(before)
-            before.append(mean)
+            means.append(mean)
+            before = history.get(done, [])
+            pruned = number >= prune_after and done > 1 and len(before) > 0 and mean > statistics.median(before)
             return pruned
 
-        scores = fold_scores(df, build(MODELS[model](**point), numeric, categorical, target), target, fold, after)
-        score = statistics.fmean(scores)
-        found.trials.append({"trial": i, "state": "PRUNED" if pruned else "COMPLETE", "score": score, "params": {k: float(v) for k, v in point.items()}})
-        if not pruned and score < found.score:
-            found.best, found.score = point, score
+        score = trial(point, after)
+        return {"trial": number, "state": "PRUNED" if pruned else "COMPLETE", "score": score, "params": {k: float(v) for k, v in point.items()}, "point": point, "means": means}
+
+    with ThreadPoolExecutor(parallel) as pool:
+        while len(found.trials) < n:
+            start = len(found.trials)
+            points = sampler.suggest(min(parallel, n - start))
+            running = [pool.submit(in_pool(run, f"trial-{i}"), i, point) for i, point in enumerate(points, start)]
+            for t in [r.result() for r in running]:
+                sampler.tell(t["point"], t["score"])
+                for done, mean in enumerate(t.pop("means"), 1):
+                    history.setdefault(done, []).append(mean)
+                point = t.pop("point")
+                if t["state"] == "COMPLETE" and t["score"] < found.score:
+                    found.best, found.score = point, t["score"]
+                found.trials.append(t)
     return found
 
 
+def in_pool(run: Callable, name: str) -> Callable:
+    """``run`` for another thread, with a copy of the caller's job properties and a scheduler pool."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return run
+
+    def pooled(*args):
+        session.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        return run(*args)
+
+    return inheritable_thread_target(session)(pooled)
+
+
 @dataclass
 class Final:
     """A fitted model, its smearing factor, and its metrics and residuals by part."""
@@ -143,20 +188,23 @@ class Final:
 def final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], categorical: Sequence[str], target: str, axes: Sequence[str] = (), train: str = "train", stop_on: str | None = None, patience: int = 50, threshold: float = 0.0, fit_on: str | None = None, back: Column | None = None) -> Final:
     """Fit on the training part; the smearing factor comes from its residuals alone.
 
-    With ``stop_on`` that part's errors say after which round boosting stops (``rounds``); nothing
-    is learned from its rows, and the first rounds are the same when fewer are asked for.
+    With ``stop_on`` that part's errors say after which round boosting stops, inside of its one fit;
+    nothing else is learned from its rows.
     ``fit_on`` names another target to learn, from whose ``prediction`` the
     expression ``back`` makes one of ``target``.
     """
     parts = {k: v.persist() for k, v in parts.items()}
     label = fit_on or target
-    model = build(estimator, numeric, categorical, label, threshold).fit(parts[train])
+    fitted = build(estimator, numeric, categorical, label, threshold)
+    if stop_on and not isinstance(estimator, Boosting):
+        raise ValueError("only boosting stops by the errors of a part")
     if stop_on:
-        prepared, trees = model.stages
-        keep = rounds(trees.evaluateEachIteration(prepared.transform(parts[stop_on]), "squared"), patience)
-        if keep < estimator.getMaxIter():
-            shorter = estimator.copy().setFeaturesCol("features").setLabelCol(label).setPredictionCol("prediction").setMaxIter(keep)
-            model = PipelineModel([prepared, shorter.fit(prepared.transform(parts[train]))])
+        preprocessor, trees = fitted.getStages()
+        prepared = preprocessor.fit(parts[train])
+        both = [prepared.transform(parts[p]).select("features", F.col(label), F.lit(p == stop_on).alias("__stop")) for p in (train, stop_on)]
+        model = PipelineModel([prepared, trees.stopping("__stop", patience).fit(both[0].unionByName(both[1]))])
+    else:
+        model = fitted.fit(parts[train])
     predict = lambda df: model.transform(df) if back is None else model.transform(df).withColumn("prediction", back)
     duan = smearing(predict(parts[train]), target, "prediction")
     scored = {k: stored(predict(v).drop("features")) for k, v in parts.items() if k != train}

@@ -65,14 +65,14 @@ def long_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], pro
     def sorted_(rows: DataFrame) -> DataFrame:
         """Quantiles of groups that a task may sort."""
         s, n = F.col("__s"), F.size("__s")
-        q = [between(at, F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))) for at in places(n)]
-        return rows.groupBy(*key).agg(F.sort_array(F.collect_list("__x")).alias("__s")).select(*key, F.array(*q).alias("q"))
+        q = F.transform(F.array(*places(n)), lambda at: between(at, F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))))
+        return rows.groupBy(*key).agg(F.sort_array(F.collect_list("__x")).alias("__s")).select(*key, q.alias("q"))
 
     about = values.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__low"), F.max("__x").alias("__high"))
     large = stored(about.where(F.col("__n") > FEW))
     if large.isEmpty():
         return sorted_(values)
-    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at).cast("long"), F.ceil(at).cast("long")) for at in places(F.col("__n"))))))
+    ranks = F.array_distinct(F.flatten(F.transform(F.array(*places(F.col("__n"))), lambda at: F.array(F.floor(at).cast("long"), F.ceil(at).cast("long")))))
     ranges = large.select(*key, F.explode(ranks).alias("__rank"), "__low", "__high", F.lit(0).cast("long").alias("__below"), "__n")
     found = None
     while True:
@@ -91,7 +91,7 @@ def long_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], pro
     several = found.join(few, at).select(*key, "__rank", F.element_at("__s", (F.col("__rank") - F.col("__below") + 1).cast("int")).alias("__v"))
     by_rank = single.unionByName(several).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m")).join(large.select(*key, "__n"), key)
     v = lambda r: F.element_at(F.col("__m"), r.cast("long"))
-    chosen = by_rank.select(*key, F.array(*(between(at, v(F.floor(at)), v(F.ceil(at))) for at in places(F.col("__n")))).alias("q"))
+    chosen = by_rank.select(*key, F.transform(F.array(*places(F.col("__n"))), lambda at: between(at, v(F.floor(at)), v(F.ceil(at)))).alias("q"))
     return sorted_(values.join(large.select(*key), key, "left_anti")).unionByName(chosen)
 
 
