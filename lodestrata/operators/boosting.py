@@ -49,6 +49,11 @@ def codes_of(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def unit_of(largest: float, n: int) -> float:
+    """A power of two so small, yet so large, that ``n`` numbers up to ``largest`` add up exactly as whole multiples in 64 bits."""
+    return 2.0 ** (math.ceil(math.log2(max(largest, 1e-200))) - min(36, 61 - math.ceil(math.log2(n + 1))))
+
+
 def empty_tree(depth: int) -> dict[str, np.ndarray]:
     n = 2 ** (depth + 1) - 1
     return {"feature": np.full(n, -1, np.int32), "code": np.zeros(n, np.int32), "gone_left": np.zeros(n, bool), "value": np.zeros(n)}
@@ -216,16 +221,17 @@ class Boosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Default
         features = F.col(p("featuresCol"))
         dataset = dataset.where(F.col(p("labelCol")).isNotNull() & ~F.isnan(F.col(p("labelCol")).cast("double")))
         stop = F.coalesce(F.col(p("stopCol")), F.lit(False)) if p("stopCol") else F.lit(False)
-        x = vector_to_array(features)
-        of = F.col(p("idCol")) if p("idCol") else F.struct("x", "y")
-        rows = dataset.select(x.alias("x"), F.col(p("labelCol")).cast("double").alias("y"), stop.alias("stop"), *([F.col(p("idCol"))] if p("idCol") else []))
-        rows = stored(rows.select("x", "y", F.xxhash64(of).alias("id"), "stop"))
+        x, y = vector_to_array(features), F.col(p("labelCol")).cast("double")
+        number = F.xxhash64(F.col(p("idCol"))) if p("idCol") else F.xxhash64(x, y)
+        rows = stored(dataset.select(x.alias("x"), y.alias("y"), number.alias("id"), stop.alias("stop")))
         learned = rows.where(~F.col("stop"))
-        n, mean, low, high, width = learned.agg(F.count(F.lit(1)), F.avg("y"), F.min("y"), F.max("y"), F.max(F.size("x"))).first()
+        n, low, high, width = learned.agg(F.count(F.lit(1)), F.min("y"), F.max("y"), F.max(F.size("x"))).first()
         if not n:
             raise ValueError("no rows to learn from")
         if width > MOST_FEATURES or p("maxDepth") > DEEPEST:
             raise ValueError(f"at most {MOST_FEATURES} features and {DEEPEST} levels")
+        unit = unit_of(max(abs(low), abs(high)), n)
+        mean = learned.agg(F.sum(F.rint(F.col("y") / unit).cast("long"))).first()[0] * unit / n
         if p("objective") == "logistic":
             if low < 0 or high > 1:
                 raise ValueError("labels of the logistic loss lie from 0 to 1")
@@ -233,8 +239,6 @@ class Boosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Default
             base, slope = math.log(rate / (1 - rate)), 1.0
         else:
             base, slope = mean, max(high - mean, mean - low)
-        # A sum of doubles depends on its order in the last digits, so the start is a mean of fewer.
-        base = float(np.float32(base))
         names = [f"x{i}" for i in range(width)]
         values = learned.select(*(F.col("x")[i].alias(c) for i, c in enumerate(names)))
         cuts = cuts_of(column_quantiles(values, names, [j / MOST_CUTS for j in range(MOST_CUTS + 1)]))
@@ -255,7 +259,7 @@ class Boosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Default
             only_loss = number == p("maxIter")
             if only_loss and not p("stopCol"):
                 break
-            unit = 2.0 ** (math.ceil(math.log2(max(slope, 1.0))) - min(36, 61 - math.ceil(math.log2(n + 1))))
+            unit = unit_of(max(slope, 1.0), n)
             used = np.sort(np.random.default_rng([p("seed"), number]).permutation(width)[: max(1, round(p("colsample") * width))])
             tree = empty_tree(p("maxDepth"))
             for level in range(p("maxDepth")):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosting
+from .elastic import FoldMoments, path_scores
 from .metrics import evaluate, residuals, smearing
 from .preprocess import Preprocessor
 from .stored import stored
@@ -162,6 +163,20 @@ def optimise(trial: Callable[[dict, Callable[[int, float], bool]], float], space
     return found
 
 
+def search_elastic_net(m: FoldMoments, n: int = 20, seed: int = SEED, prune_after: int = 10) -> Search:
+    """The same search over elastic nets, whose fold scores need no rows once their moments are there."""
+
+    def trial(point: dict[str, float], after: Callable[[int, float], bool]) -> float:
+        seen: list[float] = []
+        for _, _, _, score in path_scores(m, [point["alpha"]], [point["l1_ratio"]], scaled_label=True):
+            seen.append(score)
+            if after(len(seen), statistics.fmean(seen)):
+                break
+        return statistics.fmean(seen)
+
+    return optimise(trial, SPACES["elastic_net"], n, seed, prune_after)
+
+
 def in_pool(run: Callable, name: str) -> Callable:
     """``run`` for another thread, with a copy of the caller's job properties and a scheduler pool."""
     session = SparkSession.getActiveSession()

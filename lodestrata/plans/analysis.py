@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import aggregates as agg
 from ..operators import deflate, drift, elastic, linear, models, redundancy, relational, splits
+from ..operators.boosting import MOST_CUTS, Boosting
 from ..operators.preprocess import Preprocessor
 from ..operators.stored import stored
 from .case import Catalogue, model_table, panel, rounded, t, with_
@@ -14,6 +16,8 @@ from .evaluation import price_index
 
 QUERIES = Catalogue()
 FEATURES = ["quantity", "items", "orders", "returned", "accepted", "discount", "tax", "balance"]
+#: What trees split by: none of it is the value that they learn, nor quantity, which nearly is.
+TREE_FEATURES = ["items", "orders", "returned", "discount", "balance"]
 LOGS = ["log_quantity", "log_items", "balance", "orders"]
 EXTRA = ["returned", "discount", "tax"]
 
@@ -265,6 +269,45 @@ def e8_elastic_net_path(spark, d):
     return rounded(spark.createDataFrame(scores, "fold int, alpha double, l1_ratio double, rmsle double"))
 
 
+@QUERIES.add()
+def e10_search(spark, d):
+    """Thirty trials of penalties, suggested by Parzen densities and scored from the moments of three folds."""
+    log = models.search_elastic_net(_folds(spark, d), 30).log(spark)
+    return rounded(log.select("trial", "state", "score", F.col("params")["alpha"].alias("alpha"), F.col("params")["l1_ratio"].alias("l1_ratio")))
+
+
+def _vectors(spark, d):
+    m = model_table(spark, d).where("split in ('train', 'calibration', 'test')")
+    return m.select("entity", "period", "split", "y", array_to_vector(F.array(*(F.col(c).cast("double") for c in TREE_FEATURES))).alias("features"))
+
+
+@QUERIES.add()
+def e3_boosting(spark, d):
+    """Predictions of test rows by trees that learn from training rows and stop by the others; tests search all splits."""
+    m = stored(_vectors(spark, d).withColumn("stop", F.col("split") == "calibration"))
+    model = Boosting(maxIter=12, maxDepth=3, stepSize=0.4, minChildWeight=5.0, labelCol="y", idCol="entity").stopping("stop", 3).fit(m.where("split <> 'test'"))
+    return rounded(model.transform(m.where("split = 'test'")).select("entity", "period", "prediction", F.lit(model.getNumTrees).alias("trees")))
+
+
+def split_sql(c: str) -> str:
+    """Gain and leaves of each split of one feature, by window sums over the codes of its values."""
+    cuts = "[" + ", ".join(str(j / MOST_CUTS) for j in range(MOST_CUTS + 1)) + "]"
+    return f"""SELECT '{c}' AS feature, q[code + 1] AS threshold, sum(n) OVER w AS n_left, (sum(n) OVER ()) - n_left AS n_right, sum(g) OVER w AS g_left, (sum(g) OVER ()) - g_left AS g_right
+        FROM (SELECT len(list_filter(q, lambda v: v < {c}))::INTEGER AS code, any_value(q) AS q, count(*) AS n, sum(base - y) AS g
+              FROM t, (SELECT avg(y) AS base, list_sort(list_distinct(quantile_cont({c}::DOUBLE, {cuts})))[:-2] AS q FROM t) GROUP BY 1) WINDOW w AS (ORDER BY code)"""
+
+
+@QUERIES.add(with_("model") + ", t AS (SELECT * FROM model WHERE split = 'train'), c AS (" + " UNION ALL ".join(map(split_sql, TREE_FEATURES)) + """),
+    sp AS (SELECT *, g_left ** 2 / (n_left + 1) + g_right ** 2 / (n_right + 1) - (g_left + g_right) ** 2 / (n_left + n_right + 1) AS gain FROM c WHERE n_left >= 5 AND n_right >= 5)
+    SELECT feature, round(threshold, 4) AS threshold, round(-g_left / (n_left + 1), 6) AS left_value, round(-g_right / (n_right + 1), 6) AS right_value FROM sp ORDER BY gain DESC LIMIT 1""")
+def e3_first_split(spark, d):
+    """The split of the largest gain over all features, and the Newton steps on its two sides."""
+    m = _vectors(spark, d).where("split = 'train'")
+    (tree,) = Boosting(maxIter=1, maxDepth=1, stepSize=1.0, minChildWeight=5.0, labelCol="y", idCol="entity").fit(m).learned()["trees"]
+    row = (TREE_FEATURES[tree["feature"][0]], tree["threshold"][0], tree["value"][1], tree["value"][2])
+    return rounded(spark.createDataFrame([row], "feature string, threshold double, left_value double, right_value double").withColumn("threshold", F.round("threshold", 4)))
+
+
 @QUERIES.add()
 def e12_variants(spark, d):
     m = model_table(spark, d)

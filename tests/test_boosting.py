@@ -131,3 +131,49 @@ def test_rows_are_drawn_by_their_id_at_the_rate():
     first, second = drawn(ids, 1, 0, 0.3), drawn(ids, 1, 1, 0.3)
     assert first.mean() == pytest.approx(0.3, abs=0.01) and (first & second).mean() == pytest.approx(0.09, abs=0.01)
     assert drawn(ids, 1, 0, 1.0).all()
+
+
+def test_the_query_equals_a_search_over_all_cuts(spark):
+    """Every row of the smallest tables; splits are tried at each of 254 quantiles."""
+    from lodestrata.plans import analysis
+
+    sf = "/root/testdata/sf0.001"
+    rows = analysis._vectors(spark, sf).collect()
+    x, y = np.array([r["features"].toArray() for r in rows]), np.array([r["y"] for r in rows])
+    part = np.array([r["split"] for r in rows])
+    train = part == "train"
+    cuts = [np.unique(np.quantile(c, np.arange(255) / 254))[:-1] for c in x[train].T]
+    margin = np.full(len(y), y[train].mean())
+
+    def grow(at, left):
+        mine = at & train
+        g, n = (margin - y)[mine], mine.sum()
+        best = 1e-9, None, None
+        for j, c in enumerate(cuts) if left else ():
+            for v in c:
+                go = x[mine, j] <= v
+                if min(go.sum(), n - go.sum()) >= 5:
+                    gain = g[go].sum() ** 2 / (go.sum() + 1) + g[~go].sum() ** 2 / (n - go.sum() + 1) - g.sum() ** 2 / (n + 1)
+                    if gain > best[0] + 1e-9:
+                        best = gain, j, v
+        if best[1] is None:
+            return [(at, -0.4 * g.sum() / (n + 1))]
+        go = x[:, best[1]] <= best[2]
+        return grow(at & go, left - 1) + grow(at & ~go, left - 1)
+
+    stop, margins, errors = part == "calibration", [margin.copy()], []
+    for _ in range(12):
+        errors.append(((margin - y)[stop] ** 2).mean())
+        for at, step in grow(np.ones(len(y), bool), 3):
+            margin[at] += step
+        margins.append(margin.copy())
+    errors.append(((margin - y)[stop] ** 2).mean())
+    keep = 0
+    for i, e in enumerate(errors):
+        keep = i if e < errors[keep] else keep
+        if i - keep >= 3:
+            break
+    got = {(r["entity"], r["period"]): r for r in analysis.e3_boosting(spark, sf).collect()}
+    want = {(r["entity"], r["period"]): m for r, m, p in zip(rows, margins[keep], part, strict=True) if p == "test"}
+    assert got.keys() == want.keys() and len(want) > 50 and {r["trees"] for r in got.values()} == {keep}
+    assert all(got[k]["prediction"] == pytest.approx(v, abs=2e-6) for k, v in want.items())

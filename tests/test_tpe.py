@@ -64,3 +64,18 @@ def test_trials_that_end_in_any_order_give_the_same_search(spark):
     assert a.trials == b.trials and len(a.trials) == 14 and len({pool for _, pool in seen}) == 14
     assert {t["state"] for t in a.trials} == {"PRUNED", "COMPLETE"} and all(t["state"] == "COMPLETE" for t in a.trials[:6])
     assert a.score == min(t["score"] for t in a.trials if t["state"] == "COMPLETE") == bowl(a.best)
+
+
+def test_the_query_scores_what_it_suggests(spark):
+    from lodestrata.operators import elastic
+    from lodestrata.plans import analysis
+
+    sf = "/root/testdata/sf0.001"
+    rows = analysis.e10_search(spark, sf).collect()
+    m = analysis._folds(spark, sf)
+    score = lambda r: statistics.fmean(s for *_, s in elastic.path_scores(m, [r["alpha"]], [r["l1_ratio"]], scaled_label=True))
+    whole = [r for r in rows if r["state"] == "COMPLETE"]
+    assert [r["trial"] for r in rows] == list(range(30)) and len(whole) >= 10
+    assert all(r["score"] == pytest.approx(score(r), abs=1e-5) for r in whole)
+    grid = min(statistics.fmean(s for *_, s in elastic.path_scores(m, [a], [q], scaled_label=True)) for a in (1e-3, 1e-2, 1e-1, 1.0) for q in (0.0, 0.5, 1.0))
+    assert min(r["score"] for r in whole) <= grid + 1e-3
