@@ -7,18 +7,20 @@ case's tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean_frame
-from ..operators.aggregates import weighted_argmax
 from ..operators.splits import split_label
 
 HELD_OUT, PARTS = "EUROPE", {"train": [1995, 1996, 1998], "calibration": [1999], "test": [2000]}
 LEAST_QUANTITY = 50
+#: Order lines that one task of the panel adds up.
+LINES = 250_000
 
 
 @dataclass(frozen=True)
@@ -77,22 +79,39 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each entity and period with enough quantity: one wide aggregation for
-    all sums, and the position by its own."""
-    e = events(spark, d)
-    sums = e.groupBy("entity", "period").agg(
-        exact("l_quantity").alias("quantity"),
-        exact("l_extendedprice").alias("value"),
-        exact(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).alias("returned"),
-        exact(F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0)).alias("accepted"),
-        F.count(F.lit(1)).alias("items"),
-        F.count_distinct("o_orderkey").alias("orders"),
-        exact("l_discount").alias("discount"),
-        exact("l_tax").alias("tax"),
-    )
-    position = weighted_argmax(e.withColumn("w", F.col("l_quantity").cast("decimal(18,2)")), ["entity", "period"], "o_orderpriority", "w").withColumnRenamed("o_orderpriority", "position")
-    kept = sums.where(F.col("quantity") >= LEAST_QUANTITY)
-    return kept.join(position, ["entity", "period"]).join(customers(spark, d), "entity").withColumn("y", F.log1p("value"))
+    """One row for each entity and period with enough quantity.
+
+    Lines are added up by order where they meet it, then orders by entity, period and
+    priority, then those by entity and period. So rows are shuffled by order and once more, one an
+    order, by entity, which serves all groupings and the join of customers; sums of
+    decimals are exact in any order. The number of tasks grows with the lines, so that their memory does not. Of orders that share a key, an entity and a period one counts."""
+    lines = t(spark, d, "lineitem")
+    n = max(1, math.ceil(lines.count() / LINES))
+    o = t(spark, d, "orders").where(F.year("o_orderdate") != 1997)
+    o = o.select("o_orderkey", F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("period"), "o_orderpriority").repartition(n, "o_orderkey")
+    same = Window.partitionBy("o_orderkey", "entity", "period").orderBy("o_orderpriority")
+    o = o.withColumn("first", (F.row_number().over(same) == 1).cast("int"))
+    cents = lambda c: F.sum(c.cast("decimal(18,2)"))
+    quantity, flag = F.col("l_quantity"), F.col("l_returnflag")
+    terms = {
+        "quantity": quantity,
+        "value": F.col("l_extendedprice"),
+        "returned": F.when(flag == "R", quantity).otherwise(0),
+        "accepted": F.when(flag == "A", quantity).otherwise(0),
+        "discount": F.col("l_discount"),
+        "tax": F.col("l_tax"),
+    }
+    lines = lines.repartition(n, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = lines.groupBy("o_orderkey", "entity", "period", "o_orderpriority", "first").agg(*(cents(c).alias(name) for name, c in terms.items()), F.count(F.lit(1)).alias("items"))
+    counts = [F.sum("items").alias("items"), F.sum("orders").alias("orders")]
+    whole = lambda: (F.sum(name).alias(name) for name in terms)
+    each = orders.withColumnRenamed("first", "orders").repartition(math.ceil(n / 2), "entity").groupBy("entity", "period", "o_orderpriority").agg(*whole(), *counts)
+    heaviest = F.min_by("o_orderpriority", F.when(F.col("o_orderpriority").isNotNull(), F.struct(-F.col("quantity"), F.col("o_orderpriority"))))
+    sums = each.groupBy("entity", "period").agg(*whole(), *counts, heaviest.alias("position"))
+    sums = sums.withColumns({name: F.col(name).cast("double") for name in terms})
+    kept = sums.where((F.col("quantity") >= LEAST_QUANTITY) & F.col("position").isNotNull())
+    kept = kept.select("entity", "period", "quantity", "value", "returned", "accepted", "items", "orders", "discount", "tax", "position")
+    return kept.join(customers(spark, d), "entity").withColumn("y", F.log1p("value"))
 
 
 def model_table(spark: SparkSession, d: str) -> DataFrame:
