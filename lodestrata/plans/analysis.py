@@ -26,11 +26,16 @@ def _logged(df):
     return df.withColumns({"log_quantity": F.log1p("quantity"), "log_items": F.log1p("items"), "balance": F.col("balance") / 1000})
 
 
+def _kept(df, *columns):
+    """The columns that a query reads, written once: each pass over the panel would join and shuffle all orders again."""
+    return stored(df.select(*columns))
+
+
 @QUERIES.add(with_("panel") + """, f AS (SELECT segment || position AS v, count(*) AS n, sum(count(*)) OVER (ORDER BY count(*) DESC, segment || position ROWS UNBOUNDED PRECEDING) AS c, sum(count(*)) OVER () AS tot FROM panel GROUP BY 1)
     SELECT (SELECT count(*) FROM panel) AS n, round(skewness(value), 6) AS skewness, round(kurtosis(value), 6) AS kurtosis, round(median(value), 2) AS median, round(max(value), 2) AS largest,
            (SELECT count(*) FROM f) AS n_values, (SELECT count(*) FILTER (c / tot < 0.5) + 1 FROM f) AS for_50 FROM panel""")
 def q1_target_shape(spark, d):
-    p = panel(spark, d)
+    p = _kept(panel(spark, d), "segment", "position", "value")
     s = agg.shape(p, [], "value").join(p.agg(F.round(F.max("value"), 2).alias("largest")), F.lit(True))
     s = s.join(agg.group_quantiles(p, [], "value", {"median": 0.5}).select(F.round("median", 2).alias("median")), F.lit(True))
     c = agg.concentration(p.withColumn("v", F.concat("segment", "position")), "v").select("n_values", "for_50")
@@ -40,7 +45,7 @@ def q1_target_shape(spark, d):
 @QUERIES.add(with_("panel") + """, m AS (SELECT period, avg(y) AS m, median(y) AS md FROM panel GROUP BY 1)
     SELECT round(max(m) - min(m), 6) AS spread_of_means, round(max(md) - min(md), 6) AS spread_of_medians, round(100 * (exp(arg_max(m, period) - arg_min(m, period)) - 1), 6) AS growth FROM m""")
 def q2_period_levels(spark, d):
-    p = panel(spark, d)
+    p = _kept(panel(spark, d), "period", "y")
     m = p.groupBy("period").agg(F.avg("y").alias("m")).join(agg.group_quantiles(p, ["period"], "y", {"md": 0.5}), "period")
     growth = numeric.percent_growth(F.max_by("m", "period") - F.min_by("m", "period"))
     return rounded(m.agg((F.max("m") - F.min("m")).alias("spread_of_means"), (F.max("md") - F.min("md")).alias("spread_of_medians"), growth.alias("growth")))
@@ -49,7 +54,7 @@ def q2_period_levels(spark, d):
 @QUERIES.add(with_("panel") + """ SELECT round(regr_slope(y, balance / 1000), 6) AS slope, round(regr_intercept(y, balance / 1000), 6) AS intercept, round(regr_r2(y, balance / 1000), 6) AS r2,
     round((SELECT 1 - var_pop(y - m) / var_pop(y) FROM (SELECT y, avg(y) OVER (PARTITION BY floor(balance / 1000)) AS m FROM panel)), 6) AS ceiling FROM panel""")
 def q3_curve(spark, d):
-    p = _logged(panel(spark, d))
+    p = _kept(_logged(panel(spark, d)), "balance", "y")
     b = linear.polynomial(p, "balance", "y", 1)
     r2 = linear.variance_explained(p, F.lit(b[0]) + F.lit(b[1]) * F.col("balance"), "y")
     g = agg.with_group_mean(p.withColumn("bin", F.floor("balance")), "bin", "y", "m")
@@ -60,7 +65,7 @@ def q3_curve(spark, d):
     bend AS (SELECT *, regr_slope(y, w) OVER () AS b2 FROM slant), line AS (SELECT *, regr_slope(y - b2 * x * x, x) OVER () AS b1, regr_intercept(y - b2 * x * x, x) OVER () AS b0 FROM bend)
     SELECT round(any_value(b0), 6) AS b0, round(any_value(b1), 6) AS b1, round(any_value(b2), 6) AS b2, round(any_value(-b1 / (2 * b2)), 6) AS vertex, round(1 - var_pop(y - b0 - b1 * x - b2 * x * x) / var_pop(y), 6) AS r2 FROM line""")
 def q3_parabola(spark, d):
-    p = _logged(panel(spark, d))
+    p = _kept(_logged(panel(spark, d)), "log_quantity", "y")
     b = linear.polynomial(p, "log_quantity", "y", 2)
     fit = F.lit(b[0]) + F.lit(b[1]) * F.col("log_quantity") + F.lit(b[2]) * F.col("log_quantity") * F.col("log_quantity")
     return rounded(spark.createDataFrame([(*b, linear.vertex(b), linear.variance_explained(p, fit, "y"))], "b0 double, b1 double, b2 double, vertex double, r2 double"))
@@ -73,7 +78,7 @@ PAIRED = with_("panel") + """, r AS (SELECT *, dense_rank() OVER (ORDER BY perio
 @QUERIES.add(PAIRED + """ SELECT count(*) AS n_pairs, round(corr(y, before), 6) AS r, round(100 * avg(CASE WHEN abs(y - before) < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS near_same,
     (SELECT round(100 * avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT count(*) AS k FROM panel GROUP BY entity)) AS single_period FROM l WHERE p = place - 1""")
 def q4_persistence(spark, d):
-    p = panel(spark, d)
+    p = _kept(panel(spark, d), "entity", "period", "y")
     places = relational.global_rank(p.select("period").distinct(), [F.col("period")], "place").withColumn("place", F.col("place").cast("int"))
     pairs = relational.lag_pairs(p.join(places, "period"), "entity", "place", "y")
     out = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("y", "y_before").alias("r"), (100 * F.avg(F.when(F.abs(F.col("y") - F.col("y_before")) < 0.05, 1.0).otherwise(0.0))).alias("near_same"))
@@ -84,7 +89,7 @@ def q4_persistence(spark, d):
 @QUERIES.add(with_("panel") + """, c AS (SELECT *, ln(1 + quantity) AS q FROM panel), f AS (SELECT *, regr_slope(y, q) OVER () AS b, regr_intercept(y, q) OVER () AS a FROM c)
     SELECT segment, count(*) AS n, round(avg(y - a - b * q), 6) + 0.0 AS premium, round(100 * (exp(avg(y - a - b * q)) - 1), 4) + 0.0 AS percent FROM f GROUP BY 1""")
 def q5_premium(spark, d):
-    p = _logged(panel(spark, d))
+    p = _kept(_logged(panel(spark, d)), "segment", "log_quantity", "y")
     fit = linear.least_squares(linear.moments(p, ["log_quantity", "y"]), ["log_quantity"], "y")
     rest = p.withColumn("rest", F.col("y") - fit.column()).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.avg("rest").alias("premium"))
     return rounded(rest.withColumn("percent", F.round(numeric.percent_growth(F.col("premium")), 4)))
@@ -92,8 +97,9 @@ def q5_premium(spark, d):
 
 @QUERIES.add()
 def q6_filter_cost(spark, d):
-    m = _logged(model_table(spark, d))
-    return rounded(redundancy.filter_cost(m.where("split = 'train'"), m.where("split = 'calibration'"), [*FEATURES, "log_quantity", "log_items"], "y"))
+    columns = [*FEATURES, "log_quantity", "log_items"]
+    m = _kept(_logged(model_table(spark, d)).where("split in ('train', 'calibration')"), "split", "y", *columns)
+    return rounded(redundancy.filter_cost(m.where("split = 'train'"), m.where("split = 'calibration'"), columns, "y"))
 
 
 @QUERIES.add()
@@ -110,7 +116,7 @@ def q7_redundancy(spark, d):
     SELECT segment, count(*) FILTER (returned IS NULL) AS n_missing, round(count(*) FILTER (returned IS NULL) / count(*), 8) AS share,
            round(median(y) FILTER (returned IS NULL), 6) AS median_missing, round(median(y) FILTER (returned IS NOT NULL), 6) AS median_known FROM p GROUP BY 1""")
 def q8_missingness(spark, d):
-    p = panel(spark, d).select("segment", F.nullif("returned", F.lit(0.0)).alias("returned"), "y")
+    p = _kept(panel(spark, d), "segment", F.nullif("returned", F.lit(0.0)).alias("returned"), "y")
     gone = F.col("returned").isNull()
     median = lambda rows, name: rounded(agg.group_quantiles(rows, ["segment"], "y", {name: 0.5}))
     out = rounded(agg.missing(p, ["returned"], "segment").drop("feature"), 8)
@@ -128,7 +134,7 @@ def q9_threshold_sensitivity(spark, d):
 
 @QUERIES.add()
 def q10_incremental(spark, d):
-    m = _logged(model_table(spark, d))
+    m = _kept(_logged(model_table(spark, d)).where("split in ('train', 'calibration')"), "split", "y", "balance", "orders", "log_quantity", "log_items")
     steps = [("balance", ["balance"]), ("+ orders", ["orders"]), ("+ volume", ["log_quantity", "log_items"])]
     return rounded(redundancy.incremental(m.where("split = 'train'"), m.where("split = 'calibration'"), steps, "y"))
 
@@ -144,7 +150,7 @@ def psi_sql(c: str, a: str = "train", b: str = "test") -> str:
 @QUERIES.add(with_("model") + " " + " UNION ALL ".join(psi_sql(c) for c in ("quantity", "value", "balance")))
 def q11_psi(spark, d):
     columns = ["quantity", "value", "balance"]
-    m = model_table(spark, d)
+    m = _kept(model_table(spark, d), "split", *columns)
     rows = stored(drift.long_form(m.where("split = 'train'"), m.where("split = 'test'"), columns))
     return rounded(spark.createDataFrame([(c, v[0]) for c, v in drift.stability(rows, columns).items()], "feature string, psi double"))
 
@@ -165,7 +171,7 @@ def q12_ks(spark, d):
 @QUERIES.add()
 def q12_ks_exact(spark, d):
     """Exact p-values by lattice paths, of all columns; tested against counted paths."""
-    m = model_table(spark, d)
+    m = _kept(model_table(spark, d), "split", *DRIFTING)
     rows = stored(drift.long_form(m.where("split = 'test'"), m.where("split = 'held_out'"), DRIFTING))
     out = drift.with_exact(drift.distances(rows))
     return rounded(out.select("feature", "ks", "n_a", "n_b", drift.asymptotic(F.col("ks"), F.col("n_a"), F.col("n_b")).alias("p_value"), "p_exact"), 8)
@@ -179,7 +185,7 @@ DRIFTING = ["quantity", "value", "returned", "balance"]
     + """) SELECT feature, CASE WHEN NOT isnan(psi) THEN psi END AS psi, round(ks, 6) AS ks, round(p_value, 6) AS ks_p, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
     CASE WHEN psi > 0.25 THEN 'large' WHEN psi > 0.1 THEN 'moderate' ELSE 'stable' END AS band FROM stability JOIN distance USING (feature) JOIN means USING (feature)""")
 def q12_drift_table(spark, d):
-    m = model_table(spark, d)
+    m = _kept(model_table(spark, d), "split", *DRIFTING)
     return rounded(drift.drift_table(m.where("split = 'test'"), m.where("split = 'held_out'"), DRIFTING))
 
 
@@ -191,12 +197,12 @@ BREAKS = with_("panel") + """, m AS (SELECT period, avg(returned) AS returned, a
     SELECT feature, round(max(jump), 6) AS largest_jump, arg_max(period, (coalesce(jump, -1), -i)) AS jump_in, round(avg(mean) FILTER (i <= 2), 6) AS early, round(avg(mean) FILTER (i > n - 2), 6) AS late,
            round(100 * (arg_max(mean, period) - arg_min(mean, period)) / abs(arg_min(mean, period)), 6) AS change_percent FROM j GROUP BY 1""")
 def q13_definition_breaks(spark, d):
-    return rounded(drift.definition_breaks(panel(spark, d), "period", ["returned", "quantity"]))
+    return rounded(drift.definition_breaks(_kept(panel(spark, d), "period", "returned", "quantity"), "period", ["returned", "quantity"]))
 
 
 @QUERIES.add(BREAKS + " SELECT feature, period, round(abs(mean - (before + after) / 2) / sd, 6) AS anomaly FROM (SELECT *, lag(mean) OVER w AS before, lead(mean) OVER w AS after FROM u WINDOW w AS (PARTITION BY feature ORDER BY period)) WHERE before IS NOT NULL AND after IS NOT NULL")
 def q13_local_anomaly(spark, d):
-    return rounded(drift.local_anomaly(panel(spark, d), "period", ["returned", "quantity"]))
+    return rounded(drift.local_anomaly(_kept(panel(spark, d), "period", "returned", "quantity"), "period", ["returned", "quantity"]))
 
 
 @QUERIES.add(with_("panel") + " SELECT period, round(100 * avg(CASE WHEN round(returned + accepted - quantity, 6) = 0 THEN 1.0 ELSE 0.0 END), 6) AS percent FROM panel GROUP BY 1")
@@ -212,7 +218,7 @@ def q14_target_correlations(spark, d):
 @QUERIES.add(with_("panel") + """, g AS (SELECT segment, corr(balance, y) AS r, count(*) AS n FROM panel GROUP BY 1)
     SELECT round((SELECT corr(balance, y) FROM panel), 6) AS overall, round(sum(r * n) / sum(n), 6) AS within, round(min(r), 6) AS least, round(max(r), 6) AS most FROM g""")
 def q14_within_groups(spark, d):
-    p = panel(spark, d)
+    p = _kept(panel(spark, d), "segment", "balance", "y")
     g = p.groupBy("segment").agg(F.corr("balance", "y").alias("r"), F.count(F.lit(1)).alias("n"))
     out = g.agg(agg.weighted_mean(F.col("r"), F.col("n")).alias("within"), F.min("r").alias("least"), F.max("r").alias("most"))
     return rounded(p.agg(F.corr("balance", "y").alias("overall")).join(out, F.lit(True)))
@@ -229,18 +235,19 @@ def q14_date_waves(spark, d):
 def x7_preprocessing(spark, d):
     """Rows and width of the features, and the largest mean of a scaled one (0)."""
     m = _logged(model_table(spark, d)).withColumn("returned", F.nullif("returned", F.lit(0.0)))
-    train = m.where("split = 'train'")
-    p = Preprocessor(numeric=["log_quantity", "log_items", "balance", "returned", "quantity"], categorical=["segment", "position"], threshold=0.9).fit(train)
+    numeric, categorical = ["log_quantity", "log_items", "balance", "returned", "quantity"], ["segment", "position"]
+    train = _kept(m.where("split = 'train'"), *numeric, *categorical)
+    p = Preprocessor(numeric=numeric, categorical=categorical, threshold=0.9).fit(train)
     from pyspark.ml.functions import vector_to_array
 
     x = p.transform(train).select(vector_to_array("features").alias("x"))
-    n = sum("=" not in f for f in p.features())
-    means = x.agg(*(F.avg(x.x[i]).alias(f"m{i}") for i in range(n))).first()
+    width = sum("=" not in f for f in p.features())
+    means = x.agg(*(F.avg(x.x[i]).alias(f"m{i}") for i in range(width))).first()
     return rounded(spark.createDataFrame([(train.count(), len(p.features()), max(abs(v) for v in means))], "n long, width int, largest_mean double"))
 
 
 def _parts(spark, d):
-    m = _logged(model_table(spark, d)).select("entity", "split", "y", "segment", "position", *LOGS, *EXTRA)
+    m = _kept(_logged(model_table(spark, d)), "entity", "split", "y", "segment", "position", *LOGS, *EXTRA)
     return {s: m.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}
 
 
@@ -310,7 +317,7 @@ def e3_first_split(spark, d):
 
 @QUERIES.add()
 def e12_variants(spark, d):
-    m = model_table(spark, d)
+    m = stored(model_table(spark, d))
     index = deflate.extended_index(price_index(m), m, "period")
     real = _logged(deflate.deflate(m, index, "period", "value")).select("split", "y", "log_real", "factor", "segment", *LOGS, *EXTRA)
     parts = {s: real.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")}

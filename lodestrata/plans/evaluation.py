@@ -157,7 +157,7 @@ def a28_five_numbers(spark, d):
     SELECT entity, period, split, split <> 'train' AND entity IN (SELECT entity FROM k WHERE split = 'train') AS known FROM k""")
 def f1_split(spark, d):
     parts = {"train": [1995], "calibration": [1999], "test": [2000]}
-    return splits.split(panel(spark, d), "period", "domain", parts, HELD_OUT, "entity", strict=False).select("entity", "period", "split", "known")
+    return splits.split(stored(panel(spark, d).select("entity", "period", "domain")), "period", "domain", parts, HELD_OUT, "entity", strict=False).select("entity", "period", "split", "known")
 
 
 @QUERIES.add(with_("model") + """, g AS (SELECT entity, count(*) AS n FROM model WHERE split = 'train' GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, entity) - 1 AS i FROM g)
@@ -178,7 +178,7 @@ def f3_balanced_folds(spark, d):
     f AS (SELECT n, (CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INTEGER AS fold FROM r)
     SELECT fold, (sum(sum(n)) OVER () - sum(n))::BIGINT AS n_train, sum(n)::BIGINT AS n_val, (sum(count(*)) OVER () - count(*))::BIGINT AS groups_train, count(*) AS groups_val, 0::BIGINT AS shared FROM f GROUP BY fold""")
 def f4_fold_summary(spark, d):
-    train = model_table(spark, d).where("split = 'train'")
+    train = stored(model_table(spark, d).where("split = 'train'").select("entity"))
     return splits.fold_summary(train, splits.fold_map(train, "entity", 5), "entity")
 
 
@@ -187,7 +187,7 @@ def f4_fold_summary(spark, d):
     SELECT p.split AS a, q.split AS b, 0::BIGINT AS shared_keys, coalesce(c, 0)::BIGINT AS shared_groups, round(coalesce(c, 0) / q.g, 8) AS share_of_b
     FROM n p JOIN n q ON p.split < q.split LEFT JOIN sh ON sh.a = p.split AND sh.b = q.split""")
 def f6_overlap(spark, d):
-    return rounded(splits.overlap(model_table(spark, d), "split", ["entity", "period"], "entity"), 8)
+    return rounded(splits.overlap(stored(model_table(spark, d).select("split", "entity", "period")), "split", ["entity", "period"], "entity"), 8)
 
 
 # Deflation
@@ -207,13 +207,13 @@ def price_index(m):
 
 @QUERIES.add(INDEX + " SELECT period, round(factor, 8) AS factor FROM ix")
 def d1_chained_index(spark, d):
-    return rounded(price_index(model_table(spark, d)), 8)
+    return rounded(price_index(stored(model_table(spark, d).select("split", "period", "balance", "segment", "value"))), 8)
 
 
 @QUERIES.add(INDEX + """, f AS (SELECT m.*, coalesce(factor, (SELECT arg_max(factor, period) FROM ix)) AS factor FROM model m LEFT JOIN ix USING (period))
     SELECT entity, period, round(factor, 8) AS factor, round(value / factor, 2) AS real, round(ln(1 + value / factor), 8) AS log_real, round(ln(1 + value), 8) AS nominal FROM f""")
 def d3_deflate(spark, d):
-    m = model_table(spark, d)
+    m = stored(model_table(spark, d).select("entity", "split", "period", "balance", "segment", "value"))
     index = deflate.extended_index(price_index(m), m, "period")
     out = deflate.deflate(m, index, "period", "value")
     return rounded(out.select("entity", "period", "factor", F.round("real", 2).alias("real"), "log_real", numeric.nominal(F.col("log_real"), F.col("factor")).alias("nominal")), 8)
