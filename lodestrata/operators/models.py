@@ -206,9 +206,13 @@ def final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], ca
     With ``stop_on`` that part's errors say after which round boosting stops, inside of its one fit;
     nothing else is learned from its rows.
     ``fit_on`` names another target to learn, from whose ``prediction`` the
-    expression ``back`` makes one of ``target``.
+    expression ``back`` makes one of ``target``. The parts are written once, as every pass reads them.
     """
-    parts = {k: v.persist() for k, v in parts.items()}
+    return _final_fit({k: stored(v) for k, v in parts.items()}, estimator, numeric, categorical, target, axes, train, stop_on, patience, threshold, fit_on, back)
+
+
+def _final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], categorical: Sequence[str], target: str, axes: Sequence[str] = (), train: str = "train", stop_on: str | None = None, patience: int = 50, threshold: float = 0.0, fit_on: str | None = None, back: Column | None = None) -> Final:
+    """``final_fit`` of parts that lie in the shared folder."""
     label = fit_on or target
     fitted = build(estimator, numeric, categorical, label, threshold)
     if stop_on and not isinstance(estimator, Boosting):
@@ -222,18 +226,19 @@ def final_fit(parts: dict[str, DataFrame], estimator, numeric: Sequence[str], ca
         model = fitted.fit(parts[train])
     predict = lambda df: model.transform(df) if back is None else model.transform(df).withColumn("prediction", back)
     duan = smearing(predict(parts[train]), target, "prediction")
-    scored = {k: stored(predict(v).drop("features")) for k, v in parts.items() if k != train}
-    for v in parts.values():
-        v.unpersist()
+    scored = {k: stored(predict(v).select(*dict.fromkeys([target, "prediction", *axes]))) for k, v in parts.items() if k != train}
     return Final(model, duan, {k: evaluate(v, target, "prediction", axes, duan) for k, v in scored.items()}, {k: residuals(v, target, "prediction", axes) for k, v in scored.items()} if axes else {})
 
 
 def variants(parts: dict[str, DataFrame], runs: dict[str, dict], target: str, choose_on: str = "calibration") -> tuple[str, DataFrame]:
     """The metrics of all runs (keyword arguments of ``final_fit``) on all parts, and the name
-    of the run with the least RMSLE on the part that may be looked at for choosing."""
+    of the run with the least RMSLE on the part that may be looked at for choosing. All runs
+    read the same parts, which are written once; a run's metrics are computed once."""
     out, scores = None, {}
+    parts = {k: stored(v) for k, v in parts.items()}
     for name, kwargs in runs.items():
-        f = final_fit(parts, target=target, **kwargs)
+        f = _final_fit(parts, target=target, **kwargs)
+        f.metrics = {part: stored(m) for part, m in f.metrics.items()}
         for part, m in f.metrics.items():
             row = m.withColumns({"variant": F.lit(name), "part": F.lit(part)})
             out = row if out is None else out.unionByName(row)
