@@ -29,8 +29,8 @@ PROBES = np.random.default_rng(5).integers(0, DRAWS * DRAWN, (64, DRAWS * DRAWN)
 MARKS = np.random.default_rng(6).integers(0, 2**64, DRAWS, np.uint64)
 #: Documents, and hashes of their shingles, of one task that compares documents.
 DOCS, HASHES = 1_024, 1 << 19
-#: Documents with one code whose sketches are compared in one task; more are told apart by a
-#: second code, a third, and so on.
+#: Documents with one code whose sketches are compared in one task; more are dealt into parts of
+#: half as many, and every two parts meet in a task.
 MOST = 2_048
 #: How many deviations below the wanted similarity an estimate from sketches may lie.
 SLACK = 4.5
@@ -396,28 +396,19 @@ def star_links(pairs: DataFrame, texts: DataFrame, least: float, words: int, shi
     return meet.repartition("hub", "task").sortWithinPartitions("hub", "task", "ray").mapInArrow(compare, "a long, b long")
 
 
-def open_buckets(member: DataFrame, drawn: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(bucket, n, comp) of buckets that hold several components and ``MOST`` documents at
-    most, and of larger ones that no further code divides (None: there is none).
-
-    ``member`` has bucket, n, comp and last (the draw that the bucket's last code comes from). A
-    larger bucket is divided by each of the draws after it: similar texts share many
-    codes, texts that share a passage share few."""
-    done, whole = None, None
-    while True:
-        sized = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("last").alias("at"))
-        sized = table(sized.where("low != high").select("bucket", "size", "at"))
-        member = member.join(sized, "bucket")
-        here = member.where(F.col("size") <= MOST).select("bucket", "n", "comp")
-        done = here if done is None else done.unionByName(here)
-        if sized.where((F.col("size") > MOST) & (F.col("at") == DRAWS - 1)).count():
-            rest = member.where((F.col("size") > MOST) & (F.col("at") == DRAWS - 1)).select("bucket", "n", "comp")
-            whole = rest if whole is None else whole.unionByName(rest)
-        if not sized.where((F.col("size") > MOST) & (F.col("at") < DRAWS - 1)).count():
-            return done, whole
-        large = member.where((F.col("size") > MOST) & (F.col("at") < DRAWS - 1)).select("bucket", "n", "comp", "last").join(drawn, "n")
-        further = large.select("bucket", "n", "comp", "last", F.posexplode("drawn").alias("place", "code")).where("place > last")
-        member = table(further.select(F.xxhash64("bucket", "code").alias("bucket"), "n", "comp", F.col("place").alias("last")))
+def open_buckets(member: DataFrame) -> DataFrame:
+    """(bucket, p, q, part, n, comp): the documents of buckets that hold several components, for each
+    task (bucket, p, q) that they meet in.
+
+    ``member`` has bucket, n and comp. A bucket of ``MOST`` documents at most is one task; a larger one is dealt
+    into parts, every two of which meet, so every pair of its documents does, in tasks of bounded size. The number
+    of tasks grows with the square of a large bucket."""
+    sized = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    parts = F.when(F.col("size") <= MOST, 1).otherwise(F.ceil(F.col("size") / (MOST // 2))).cast("int")
+    sized = table(sized.where("low != high").select("bucket", parts.alias("parts")))
+    dealt = member.join(sized, "bucket").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("bucket", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "n", "comp")
 
 
 def similar_texts(rows: DataFrame, texts: DataFrame, least: float = 0.8, words: int = 5, shingle: int = 3) -> DataFrame:
@@ -428,9 +419,9 @@ def similar_texts(rows: DataFrame, texts: DataFrame, least: float = 0.8, words:
     text. Texts with a drawn code in common are a bucket. First each is compared with the first of its
     buckets, by sketches, then by whole texts where these may be similar; a group of
     near copies is one component after that, at a cost of its size. Of buckets that still hold
-    several components, all pairs are compared by their sketches; only documents with a pair
-    that may be similar, across components, are then compared by their whole texts. So texts that
-    share boilerplate and no more meet by sketches of 120 bytes, in buckets of bounded size, and
+    several components, all pairs are compared by their sketches, however large the bucket (see ``open_buckets``);
+    only documents with a pair that may be similar, across components, are then compared by their whole texts. So
+    texts that share boilerplate and no more meet by sketches of 120 bytes, in tasks of bounded size, and
     unverified pairs never join clusters. A set of documents with too much text for one task is dealt into parts,
     and every two parts meet in a task; tasks emit a spanning forest.
     """
@@ -451,25 +442,28 @@ def similar_texts(rows: DataFrame, texts: DataFrame, least: float = 0.8, words:
     pairs = pairs.join(sketches.select(F.col("n").alias("hub"), F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch")), "hub")
     stars = table(star_links(table(pairs.mapInArrow(pass_on, "n long, hub long")), texts, least, words, shingle))
     joint = components(stars).withColumnRenamed("node", "n")
-    member = member.drop("hub").join(joint, "n", "left").select("bucket", "n", F.coalesce("root", "n").alias("comp"), "last")
-    small, whole = open_buckets(table(member), rows.select("n", "drawn"))
+    member = member.drop("hub").join(joint, "n", "left").select("bucket", "n", F.coalesce("root", "n").alias("comp"))
+    met = open_buckets(table(member))
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        n, comp, size = (pdf[c].to_numpy() for c in ("n", "comp", "size"))
+        n, comp, size, part = (pdf[c].to_numpy() for c in ("n", "comp", "size", "part"))
+        left, right = (np.flatnonzero(part == pdf[c].iloc[0]) for c in ("p", "q"))
         parent, hit = np.arange(len(n)), np.zeros(len(n), bool)
-        for lo in range(0, len(n), 64):
-            near = may_be(sketch[lo : lo + 64, None], sketch[None], np.minimum(size[lo : lo + 64, None], size), least)
-            a, b = np.nonzero(near & (comp[lo : lo + 64, None] != comp))
-            hit[a + lo] = hit[b] = True
-            join_up(parent, a + lo, b)
+        others, other_comp, other_size = sketch[right][None], comp[right], size[right]
+        for lo in range(0, len(left), 64):
+            some = left[lo : lo + 64]
+            near = may_be(sketch[some][:, None], others, np.minimum(size[some][:, None], other_size), least)
+            a, b = np.nonzero(near & (comp[some][:, None] != other_comp))
+            a, b = some[a], right[b]
+            hit[a] = hit[b] = True
+            join_up(parent, a, b)
         while (parent[parent] != parent).any():
             parent = parent[parent]
         return pd.DataFrame({"bucket": pdf["bucket"].to_numpy()[hit], "root": n[parent[hit]], "n": n[hit]})
 
-    found = small.join(sketches, "n").groupBy("bucket").applyInPandas(candidates, "bucket long, root long, n long")
-    if whole is not None:
-        found = found.unionByName(whole.select("bucket", F.lit(-1).cast("long").alias("root"), "n"))
+    # Tasks of one bucket may find the same root: what they found is one set then.
+    found = met.join(sketches, "n").groupBy("bucket", "p", "q").applyInPandas(candidates, "bucket long, root long, n long").distinct()
     found = table(found.join(rows.select("n", "size"), "n"))
     # The same documents meet in several buckets: they are compared in one.
     sets = found.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("n")).alias("who"))

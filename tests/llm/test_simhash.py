@@ -259,3 +259,21 @@ def test_sketches_estimate_similarity():
             missed += not simhash.may_be(a, b, np.array(size), 0.8)
             passed += bool(simhash.may_be(a, c, np.array(size), 0.8))
         assert missed == 0 and (size < 200 or passed == 0)
+
+
+@pytest.mark.parametrize("most", [8, 2048])
+def test_pairs_of_one_common_code_are_found_in_large_buckets(spark, monkeypatch, most):
+    """Forty texts with one code in common and no other; similar ones among them are linked, in one task or many."""
+    monkeypatch.setattr(simhash, "MOST", most)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, 200)) for _ in range(20)]
+    texts += [t + f" end{i}" for i, t in enumerate(texts)]
+    rows = []
+    for n, t in enumerate(texts):
+        words = t.encode().split()
+        found = np.unique(simhash.widened(simhash.shingle_hashes(words, 3, 42), words, 3, 5))
+        rows.append((n, bytes([n]), len(found), [7, *(1_000 * n + k for k in range(1, simhash.DRAWS))], simhash.draws(found)[1]))
+    df = spark.createDataFrame(rows, "n long, rid binary, size long, drawn array<long>, sketch binary")
+    edges = simhash.similar_texts(df, spark.createDataFrame([(bytes([n]), t) for n, t in enumerate(texts)], "rid binary, text string"))
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {n: n % 20 for n in range(40)}
