@@ -117,10 +117,11 @@ def q7_redundancy(spark, d):
            round(median(y) FILTER (returned IS NULL), 6) AS median_missing, round(median(y) FILTER (returned IS NOT NULL), 6) AS median_known FROM p GROUP BY 1""")
 def q8_missingness(spark, d):
     p = _kept(panel(spark, d), "segment", F.nullif("returned", F.lit(0.0)).alias("returned"), "y")
-    gone = F.col("returned").isNull()
-    median = lambda rows, name: rounded(agg.group_quantiles(rows, ["segment"], "y", {name: 0.5}))
-    out = rounded(agg.missing(p, ["returned"], "segment").drop("feature"), 8)
-    return out.join(median(p.where(gone), "median_missing"), "segment", "left").join(median(p.where(~gone), "median_known"), "segment", "left")
+    # One selection for both sides of all segments.
+    sides = rounded(agg.group_quantiles(p.withColumn("gone", F.col("returned").isNull()), ["segment", "gone"], "y", {"q": 0.5}))
+    side = lambda gone, name: F.max(F.when(F.col("gone") == gone, F.col("q"))).alias(name)
+    medians = sides.groupBy("segment").agg(side(True, "median_missing"), side(False, "median_known"))
+    return rounded(agg.missing(p, ["returned"], "segment").drop("feature"), 8).join(medians, "segment", "left")
 
 
 @QUERIES.add(with_("panel") + """ SELECT least_quantity, count(*) AS n, count(DISTINCT entity) AS entities, round(stddev_samp(items / quantity) / avg(items / quantity), 6) AS cv, round(avg(y), 6) AS mean

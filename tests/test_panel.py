@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.operators import models
+from lodestrata.operators import models, selection
 from lodestrata.plans import analysis
 from lodestrata.plans.case import panel, with_
 
@@ -70,3 +70,14 @@ def test_parts_of_variants_are_computed_once(spark):
     _, out = models.variants(parts, {"one": run, "two": run}, "y")
     assert out.count() == 4
     assert seen.value == 3 * 300  # each part filters what it is made of
+
+
+def test_missingness_selects_both_medians_at_once(spark, monkeypatch):
+    """Also where segments are too large for a task, so that selection takes passes."""
+    want = sorted(map(tuple, analysis.QUERIES["q8_missingness"].plan(spark, SF).collect()))
+    seen, n = spark.sparkContext.accumulator(0), panel(spark, SF).count()
+    keep = analysis._kept
+    monkeypatch.setattr(analysis, "_kept", lambda df, *columns: counted(seen, lambda spark, d: keep(df, *columns))(spark, SF))
+    monkeypatch.setattr(selection, "FEW", 8)
+    assert sorted(map(tuple, analysis.QUERIES["q8_missingness"].plan(spark, SF).collect())) == want
+    assert seen.value <= 6 * n
