@@ -94,6 +94,16 @@ def variance_explained(df: DataFrame, prediction, target: str) -> float:
     return float("nan") if not r["v"] else 1 - r["e"] / r["v"]
 
 
+def between_groups(df: DataFrame, by: str, target: str) -> float:
+    """``variance_explained`` by the mean of each group, where a null key is a group too. Variances are added up
+    by group, so that no row travels to meet its mean."""
+    y = F.col(target).cast("double")
+    rows = df.select(F.col(by).alias("g"), y.alias("y")).dropna(subset=["y"])
+    r = rows.groupBy("g").agg(F.count("y").alias("n"), F.var_pop("y").alias("v")).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("e")).first()
+    whole = rows.agg(F.var_pop("y")).first()[0]
+    return float("nan") if not whole else 1 - r["e"] / whole
+
+
 def ridge_searches(train: DataFrame, m: Moments, sets: Sequence[Sequence[str]], target: str, alphas: Sequence[float] | None = None) -> list[tuple[Linear, float]]:
     """For each set of features, the ridge whose penalty has the least leave-one-out error.
 

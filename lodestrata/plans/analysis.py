@@ -57,8 +57,8 @@ def q3_curve(spark, d):
     p = _kept(_logged(panel(spark, d)), "balance", "y")
     b = linear.polynomial(p, "balance", "y", 1)
     r2 = linear.variance_explained(p, F.lit(b[0]) + F.lit(b[1]) * F.col("balance"), "y")
-    g = agg.with_group_mean(p.withColumn("bin", F.floor("balance")), "bin", "y", "m")
-    return rounded(spark.createDataFrame([(b[1], b[0], r2, linear.variance_explained(g, F.col("m"), "y"))], "slope double, intercept double, r2 double, ceiling double"))
+    ceiling = linear.between_groups(p.withColumn("bin", F.floor("balance")), "bin", "y")
+    return rounded(spark.createDataFrame([(b[1], b[0], r2, ceiling)], "slope double, intercept double, r2 double, ceiling double"))
 
 
 @QUERIES.add(with_("panel") + """, curve AS (SELECT y, ln(1 + quantity) AS x FROM panel), slant AS (SELECT *, x * x - regr_intercept(x * x, x) OVER () - regr_slope(x * x, x) OVER () * x AS w FROM curve),

@@ -1,11 +1,12 @@
 """The panel against its SQL where keys repeat, and how often queries compute it."""
 
+import math
 import os
 
 import duckdb
 import pytest
 
-from lodestrata.operators import models, selection
+from lodestrata.operators import linear, models, selection
 from lodestrata.plans import analysis
 from lodestrata.plans.case import panel, with_
 
@@ -81,3 +82,25 @@ def test_missingness_selects_both_medians_at_once(spark, monkeypatch):
     monkeypatch.setattr(selection, "FEW", 8)
     assert sorted(map(tuple, analysis.QUERIES["q8_missingness"].plan(spark, SF).collect())) == want
     assert seen.value <= 6 * n
+
+
+def test_curve_of_unknown_balances_equals_sql(spark, tmp_path):
+    """Customers without a balance are a bin of their own; no row is shuffled to meet its bin's mean."""
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        rows = f"SELECT * FROM '{SF}/{f}'"
+        if f == "customer.parquet":
+            rows = f"SELECT * REPLACE (CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS c_acctbal) FROM ({rows})"
+        con.sql(f"COPY ({rows}) TO '{tmp_path}/{f}' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{tmp_path}/{f}'")
+    query = analysis.QUERIES["q3_curve"]
+    got, want = query.plan(spark, str(tmp_path)).collect(), con.sql(query.sql).fetchall()
+    assert tuple(got[0]) == pytest.approx(want[0], abs=2e-6)
+
+
+def test_variance_between_groups(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 2.0), ("b", 7.0), ("b", None), ("c", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, y double")
+    # Within: 1, 1; all around their mean of 3: 4, 0, 1, 1, 16.
+    assert linear.between_groups(df, "g", "y") == pytest.approx(1 - 2 / 22)
+    assert math.isnan(linear.between_groups(df.where("g = 'a'"), "g", "y"))
