@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .checks import keys, require_all
 from .relational import global_rank
+from .stored import stored
 
 
 def split_label(period: Column, domain: Column, parts: dict[str, Sequence], held_out: str, held_out_name: str = "held_out") -> Column:
@@ -31,6 +32,11 @@ def split(df: DataFrame, period: str, domain: str, parts: dict[str, Sequence], h
     return out.join(seen, entity, "left").withColumn("known", known).drop("__seen")
 
 
+def _sizes(df: DataFrame, group: str) -> DataFrame:
+    """Rows of each group, written once: they are counted before they are dealt."""
+    return stored(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+
+
 def fold_map(df: DataFrame, group: str, n: int = 5) -> DataFrame:
     """(group, fold): each group in one fold, folds of near equal size.
 
@@ -38,7 +44,7 @@ def fold_map(df: DataFrame, group: str, n: int = 5) -> DataFrame:
     which needs one distributed sort of the groups and no state. ``balanced_folds`` is the
     greedy form for few groups.
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = _sizes(df, group)
     if sizes.limit(n).count() < n:
         raise ValueError(f"fewer groups than {n} folds")
     lap, place = F.floor(F.col("__at") / n), F.col("__at") % n
@@ -53,7 +59,7 @@ def balanced_folds(df: DataFrame, group: str, n: int = 5, most: int = 1_000_000)
     """
     import heapq
 
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = _sizes(df, group)
     count = sizes.count()
     if count < n:
         raise ValueError(f"{count} groups for {n} folds")

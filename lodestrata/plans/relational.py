@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numeric, text
 from ..operators import aggregates as agg
 from ..operators import checks, relational
-from ..operators.stored import shared_folder
+from ..operators.stored import shared_folder, stored
 from ..sources import archives, files, provenance
 from .case import Catalogue, panel, rounded, t, with_
 
@@ -209,7 +209,7 @@ def j9_nearest_in_window(spark, d):
     SELECT entity, place, value_before, value FROM (SELECT entity, place, value, lag(value) OVER w AS value_before, lag(place) OVER w AS p FROM r
     WINDOW w AS (PARTITION BY entity ORDER BY place)) WHERE p = place - 1""")
 def j13_lag_pairs(spark, d):
-    p = panel(spark, d)
+    p = stored(panel(spark, d).select("entity", "period", "value"))
     periods = relational.global_rank(p.select("period").distinct(), [F.col("period")], "place").withColumn("place", (F.col("place") + 1).cast("int"))
     return relational.lag_pairs(p.join(periods, "period"), "entity", "place", "value")
 

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 from lodestrata.operators import linear, models, selection
-from lodestrata.plans import analysis
+from lodestrata.plans import analysis, case, evaluation, relational
 from lodestrata.plans.case import panel, with_
+from lodestrata.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +105,14 @@ def test_variance_between_groups(spark):
     # Within: 1, 1; all around their mean of 3: 4, 0, 1, 1, 16.
     assert linear.between_groups(df, "g", "y") == pytest.approx(1 - 2 / 22)
     assert math.isnan(linear.between_groups(df.where("g = 'a'"), "g", "y"))
+
+
+@pytest.mark.parametrize("name", ["f3_balanced_folds", "f3_group_folds", "j13_lag_pairs"])
+def test_other_queries_compute_the_panel_once(spark, monkeypatch, name):
+    n = panel(spark, SF).count()
+    seen = spark.sparkContext.accumulator(0)
+    make = counted(seen, panel)
+    for module in (case, evaluation, relational):  # case: where model_table takes it from
+        monkeypatch.setattr(module, "panel", make)
+    QUERIES[name].plan(spark, SF).collect()
+    assert seen.value == n
