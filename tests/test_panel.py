@@ -116,3 +116,14 @@ def test_other_queries_compute_the_panel_once(spark, monkeypatch, name):
         monkeypatch.setattr(module, "panel", make)
     QUERIES[name].plan(spark, SF).collect()
     assert seen.value == n
+
+
+def test_period_levels_in_passes_compute_the_panel_once(spark, monkeypatch):
+    """Periods too large for a task are selected in passes, which read what was kept."""
+    query, n = analysis.QUERIES["q2_period_levels"], panel(spark, SF).count()
+    want = query.plan(spark, SF).collect()
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(analysis, "panel", counted(seen, panel))
+    monkeypatch.setattr(selection, "FEW", 8)
+    assert query.plan(spark, SF).collect() == want
+    assert seen.value == n
