@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from lodestrata.operators import linear, models, selection
@@ -127,3 +128,38 @@ def test_period_levels_in_passes_compute_the_panel_once(spark, monkeypatch):
     monkeypatch.setattr(selection, "FEW", 8)
     assert query.plan(spark, SF).collect() == want
     assert seen.value == n
+
+
+def ridge(x, y, scale, alpha):
+    """Prediction of a ridge with a free intercept; the penalty is in units of ``scale``."""
+    z = (x - x.mean(0)) / scale
+    b = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean())) / scale
+    return lambda rows: y.mean() + (rows - x.mean(0)) @ b
+
+
+def test_filter_cost_equals_refits_from_one_panel(spark, monkeypatch):
+    """Each penalty's error by a fit without each row, over the panel of the SQL."""
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    terms = "quantity, items, orders, returned, accepted, discount, tax, balance / 1000, ln(1 + quantity), ln(1 + items), y"
+    fit, test = (np.array(con.sql(f"{with_('model')} SELECT {terms} FROM model WHERE split = '{s}'").fetchall(), dtype=float) for s in ("train", "calibration"))
+    x, y = fit[:, :-1], fit[:, -1]
+    r = np.abs(np.corrcoef(fit.T))
+    stays = {"all": list(range(10)), "greedy": [], "target_aware": []}
+    for name, order in (("greedy", range(10)), ("target_aware", np.argsort(-r[:-1, -1], kind="stable"))):
+        for j in order:
+            if all(r[i, j] <= 0.95 for i in stays[name]):
+                stays[name].append(j)
+    want = []
+    for name, at in stays.items():
+        z, scale, others = x[:, at], x[:, at].std(0), ~np.eye(len(x), dtype=bool)
+        error = [sum((y[i] - ridge(z[o], y[o], scale, a)(z[i])) ** 2 for i, o in enumerate(others)) for a in np.logspace(-2, 4, 25)]
+        p = ridge(z, y, scale, np.logspace(-2, 4, 25)[np.argmin(error)])(test[:, at])
+        want.append((name, len(at), 1 - ((test[:, -1] - p) ** 2).sum() / ((test[:, -1] - test[:, -1].mean()) ** 2).sum()))
+    n, seen = panel(spark, SF).count(), spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(analysis, "model_table", counted(seen, analysis.model_table))
+    got = sorted(map(tuple, analysis.QUERIES["q6_filter_cost"].plan(spark, SF).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-6)
+    assert 0 < seen.value <= n
