@@ -21,6 +21,8 @@ HELD_OUT, PARTS = "EUROPE", {"train": [1995, 1996, 1998], "calibration": [1999],
 LEAST_QUANTITY = 50
 #: Order lines that one task of the panel adds up.
 LINES = 250_000
+#: Up to so many tasks by entity take the orders of two tasks of lines each; more take those of eight.
+TASKS = 24
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,12 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.col("r_name").alias("domain"), F.col("c_acctbal").alias("balance"))
 
 
+def entity_tasks(n: int) -> int:
+    """Tasks by entity that follow ``n`` tasks of lines. An exchange has a block for every two tasks of its sides,
+    and blocks of few rows compress badly: shuffled bytes would grow faster than the rows."""
+    return max(min(math.ceil(n / 2), TASKS), math.ceil(n / 8))
+
+
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """One row for each entity and period with enough quantity.
 
@@ -105,7 +113,7 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     orders = lines.groupBy("o_orderkey", "entity", "period", "o_orderpriority", "first").agg(*(cents(c).alias(name) for name, c in terms.items()), F.count(F.lit(1)).alias("items"))
     counts = [F.sum("items").alias("items"), F.sum("orders").alias("orders")]
     whole = lambda: (F.sum(name).alias(name) for name in terms)
-    each = orders.withColumnRenamed("first", "orders").repartition(math.ceil(n / 2), "entity").groupBy("entity", "period", "o_orderpriority").agg(*whole(), *counts)
+    each = orders.withColumnRenamed("first", "orders").repartition(entity_tasks(n), "entity").groupBy("entity", "period", "o_orderpriority").agg(*whole(), *counts)
     heaviest = F.min_by("o_orderpriority", F.when(F.col("o_orderpriority").isNotNull(), F.struct(-F.col("quantity"), F.col("o_orderpriority"))))
     sums = each.groupBy("entity", "period").agg(*whole(), *counts, heaviest.alias("position"))
     sums = sums.withColumns({name: F.col(name).cast("double") for name in terms})

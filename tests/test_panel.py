@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -20,6 +21,18 @@ def test_lines_are_read_once(spark):
     assert plan.count("lineitem.parquet") == 1
 
 
+def test_blocks_by_entity_keep_their_rows(spark, monkeypatch):
+    """Tasks by entity are an eighth of many tasks of lines; the rows are the same."""
+    want = sorted(map(tuple, panel(spark, SF).collect()))
+    monkeypatch.setattr(case, "LINES", 25)
+    got = panel(spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    lines, entities = (max(map(int, re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan))) for key in ("l_orderkey", "entity"))
+    assert lines > 200 and entities <= lines / 8 + 1
+    assert sorted(map(tuple, got.collect())) == want
+    assert [case.entity_tasks(n) for n in (1, 3, 15, 144, 864)] == [1, 2, 8, 24, 108]
+
+
 def test_repeated_orders_equal_sql(spark, tmp_path):
     """Orders that share a key: with the same customer, year and priority, and with others."""
     con = duckdb.connect()
